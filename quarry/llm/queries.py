@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
-from . import neardup
+from . import encoding, fusion, generated, neardup, packing, spans, splitting
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,5 +20,79 @@ def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.join(ends, "rep", "left").select(F.col("id").alias("symbol_id"), F.col("rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes}
-SQL: dict[str, str] = {}
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_origins(spark, sf_dir).where("origin is not null").select("file_id").distinct()
+
+
+def p2_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generated.file_origins(table(spark, sf_dir, "files"), table(spark, sf_dir, "symbols"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split_blocks(table(spark, sf_dir, "symbols"))
+
+
+def p3_cohesion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lexical-cohesion form of problem 3, with the same window and overlap."""
+    return splitting.split_blocks(table(spark, sf_dir, "symbols"), splitting.cohesion_cuts)
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> list:
+    return [(table(spark, sf_dir, "semantic_results"), "similarity_score", True), (table(spark, sf_dir, "fts_results"), "fts_rank", False)]
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.fused_places(_scores(spark, sf_dir))
+
+
+def p6_component(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 6 by the first principal component of the rank-transformed scores."""
+    return fusion.component_places(_scores(spark, sf_dir))
+
+
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.encode_corpus(table(spark, sf_dir, "documents"))
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_items(encoding.token_sizes(table(spark, sf_dir, "documents")))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.container_fill(p8_containers(spark, sf_dir))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_stretches(table(spark, sf_dir, "documents"))
+
+
+def p9_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each document is shared with others."""
+    documents = table(spark, sf_dir, "documents")
+    return spans.shared_share(documents, spans.shared_stretches(documents))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_origins, p3_found, p3_cohesion, p6_found, p6_component, p7_ids, p8_containers, p8_fill, p9_found, p9_share)}
+
+SQL = {
+    "p1_found": """
+WITH blocks AS (SELECT DISTINCT id, code_block FROM symbols),
+words AS (SELECT id, unnest(regexp_extract_all(code_block, '[A-Za-z0-9_]+')) AS word FROM blocks),
+bags AS (SELECT id, word, count(*) AS n FROM words GROUP BY id, word),
+sizes AS (SELECT id, sum(n) AS total FROM bags GROUP BY id HAVING sum(n) >= 40),
+kept AS (SELECT b.id, word, n, total FROM bags b JOIN sizes s ON s.id = b.id),
+met AS (SELECT a.id AS symbol_a, b.id AS symbol_b, sum(least(a.n, b.n)) AS low, any_value(a.total + b.total) AS total
+         FROM kept a JOIN kept b ON a.word = b.word AND a.id < b.id AND least(a.total, b.total) >= 0.8 * greatest(a.total, b.total) GROUP BY 1, 2)
+SELECT symbol_a, symbol_b FROM met WHERE 10 * low >= 8 * (total - low)
+""",
+    "p6_found": """
+WITH s AS (SELECT query_id, symbol_id, max(similarity_score) AS v FROM semantic_results WHERE similarity_score IS NOT NULL AND NOT isnan(similarity_score) GROUP BY ALL),
+f AS (SELECT query_id, symbol_id, min(fts_rank) AS v FROM fts_results WHERE fts_rank IS NOT NULL AND NOT isnan(fts_rank) GROUP BY ALL),
+places AS (
+  SELECT query_id, symbol_id, 1.0::DOUBLE / (60 + row_number() OVER (PARTITION BY query_id ORDER BY v DESC, symbol_id)) AS x, 0 AS t FROM s
+  UNION ALL SELECT query_id, symbol_id, 1.0::DOUBLE / (60 + row_number() OVER (PARTITION BY query_id ORDER BY v, symbol_id)), 1 FROM f),
+fused AS (SELECT query_id, symbol_id, round(sum(x), 12) AS value FROM places GROUP BY ALL),
+ranked AS (SELECT query_id, symbol_id, row_number() OVER (PARTITION BY query_id ORDER BY value DESC, symbol_id)::INTEGER AS place FROM fused)
+SELECT query_id, place, symbol_id FROM ranked WHERE place <= 10
+""",
+}
