@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
-from . import encoding, fusion, generated, neardup, packing, spans, splitting
+from . import encoding, fusion, generated, neardup, neighbours, packing, spans, splitting
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,10 @@ def p3_cohesion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_blocks(table(spark, sf_dir, "symbols"), splitting.cohesion_cuts)
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_pairs(table(spark, sf_dir, "vec_symbols"))
+
+
 def _scores(spark: SparkSession, sf_dir: str) -> list:
     return [(table(spark, sf_dir, "semantic_results"), "similarity_score", True), (table(spark, sf_dir, "fts_results"), "fts_rank", False)]
 
@@ -72,7 +76,7 @@ def p9_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_share(documents, spans.shared_stretches(documents))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_origins, p3_found, p3_cohesion, p6_found, p6_component, p7_ids, p8_containers, p8_fill, p9_found, p9_share)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_origins, p3_found, p3_cohesion, p4_found, p6_found, p6_component, p7_ids, p8_containers, p8_fill, p9_found, p9_share)}
 
 SQL = {
     "p1_found": """
@@ -84,6 +88,17 @@ kept AS (SELECT b.id, word, n, total FROM bags b JOIN sizes s ON s.id = b.id),
 met AS (SELECT a.id AS symbol_a, b.id AS symbol_b, sum(least(a.n, b.n)) AS low, any_value(a.total + b.total) AS total
          FROM kept a JOIN kept b ON a.word = b.word AND a.id < b.id AND least(a.total, b.total) >= 0.8 * greatest(a.total, b.total) GROUP BY 1, 2)
 SELECT symbol_a, symbol_b FROM met WHERE 10 * low >= 8 * (total - low)
+""",
+    "p4_found": """
+WITH usable AS (
+  SELECT symbol_id AS id, any_value(embedding) AS e FROM vec_symbols
+  WHERE embedding IS NOT NULL AND len(embedding) = 128 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY symbol_id),
+unit AS (SELECT id, list_transform(e, lambda x: x::DOUBLE) AS e FROM usable),
+normed AS (SELECT id, e, sqrt(list_inner_product(e, e)) AS n FROM unit),
+near AS (SELECT a.id AS q, b.id AS t, list_inner_product(a.e, b.e) / (a.n * b.n) AS c FROM normed a JOIN normed b ON a.id <> b.id),
+ranked AS (SELECT q, t, row_number() OVER (PARTITION BY q ORDER BY round(c, 6) DESC, t) AS place FROM near WHERE c >= 0.8)
+SELECT DISTINCT least(q, t) AS symbol_a, greatest(q, t) AS symbol_b FROM ranked WHERE place <= 5
 """,
     "p6_found": """
 WITH s AS (SELECT query_id, symbol_id, max(similarity_score) AS v FROM semantic_results WHERE similarity_score IS NOT NULL AND NOT isnan(similarity_score) GROUP BY ALL),
