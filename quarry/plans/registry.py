@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import orphan_queries
+from . import lookup_queries, orphan_queries, search_queries
 
-MODULES = [orphan_queries]
+MODULES = [lookup_queries, search_queries, orphan_queries]
 
 
 def queries() -> dict:
