@@ -58,9 +58,9 @@ def regex_pattern_search(spark: SparkSession, sf: str) -> DataFrame:
     return search.search_patterns(symbols(spark, sf, True), REPO, "return [a-z]+").select("id", "file_path", "start_line")
 
 
-@query("SELECT id, file_path, start_line FROM (SELECT * FROM sym WHERE repo_name = $REPO AND code_block ILIKE '%return%' ORDER BY file_path, start_line, id LIMIT 100) WHERE regexp_matches(code_block, 'return [a-z]+[;)]?\n') ORDER BY file_path, start_line, id LIMIT 50")
+@query("SELECT id, file_path, start_line FROM (SELECT * FROM sym WHERE repo_name = $REPO AND code_block ILIKE '%return%' ORDER BY file_path, start_line, id LIMIT 100) WHERE regexp_matches(code_block, 'return [a-z]+') ORDER BY file_path, start_line, id LIMIT 50")
 def regex_literal_prefilter(spark: SparkSession, sf: str) -> DataFrame:
-    return search.search_patterns(symbols(spark, sf, True), REPO, "return [a-z]+[;)]?\n", compatible=True).select("id", "file_path", "start_line")
+    return search.search_patterns(symbols(spark, sf, True), REPO, "return [a-z]+", compatible=True).select("id", "file_path", "start_line")
 
 
 @query(

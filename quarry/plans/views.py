@@ -48,6 +48,6 @@ def sql(body: str, **more: str) -> str:
     """body with the views it names, and more tables, in front."""
     import re
 
-    names = [n for n in SQL_VIEWS if re.search(rf"\b{n}\b", body + " ".join(more.values()))]
+    names = [n for n in SQL_VIEWS if re.search(rf"\b{n}\b", " ".join([body, *more.values()]))]
     parts = [f"{n} AS {SQL_VIEWS[n]}" for n in names] + [f"{n} AS ({q})" for n, q in more.items()]
     return (f"WITH RECURSIVE {', '.join(parts)} " if parts else "") + body.replace("$REPO", f"'{REPO}'")
