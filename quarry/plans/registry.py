@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import graph_queries, lookup_queries, orphan_queries, search_queries
+from . import graph_queries, lookup_queries, orphan_queries, search_queries, stream_queries
 
-MODULES = [lookup_queries, graph_queries, search_queries, orphan_queries]
+MODULES = [lookup_queries, graph_queries, search_queries, stream_queries, orphan_queries]
 
 
 def queries() -> dict:

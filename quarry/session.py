@@ -44,6 +44,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def mounted(spark: SparkSession, folder: str) -> str | None:
+    """The folder as a plain path if it lies in a mounted file system, else None."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    scheme = p.toUri().getScheme() or p.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme()
+    return p.toUri().getPath() if scheme == "file" else None
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
