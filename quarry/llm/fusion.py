@@ -10,6 +10,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import staged
+
 K = 60
 
 
@@ -33,7 +35,7 @@ def _positions(scores: DataFrame, into: str) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("query_id"), F.col("goodness").desc(), F.col("symbol_id")]
     placed = scores.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id())
-    placed = staged_once(placed)
+    placed = staged(placed, "placed")  # fixes the parts, which both uses below must see alike
     local = Window.partitionBy("part", "query_id").orderBy(F.col("goodness").desc(), "symbol_id")
     numbered = placed.withColumn("in_part", F.row_number().over(local))
     sizes = placed.groupBy("query_id", "part").agg(F.count(F.lit(1)).alias("n"))
@@ -42,12 +44,6 @@ def _positions(scores: DataFrame, into: str) -> DataFrame:
     return numbered.join(shift, ["query_id", "part"]).select("query_id", "symbol_id", (F.col("in_part") + F.col("shift")).alias(into))
 
 
-def staged_once(df: DataFrame) -> DataFrame:
-    from ..session import staged
-
-    return staged(df, "ranked")
-
-
 def rank_tables(tables: list[tuple[DataFrame, str, bool]]) -> DataFrame:
     """Full outer join of the tables' positions: (query_id, symbol_id, position_0, position_1, ...); null where absent."""
     joined = None

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import heapq
 import io
 import json
@@ -12,7 +13,7 @@ import uuid
 import numpy as np
 from pyspark.sql import SparkSession
 
-from ..session import shared_dir
+from ..session import mounted, shared_dir
 
 
 def minimal_automaton(words: list[bytes]) -> dict[str, np.ndarray]:
@@ -166,14 +167,13 @@ def publish(spark: SparkSession, block: bytes):
 
     The block is a file in the shared folder; where that folder is no mounted path, it is a broadcast of the same bytes.
     """
-    folder = shared_dir(spark)
-    local = folder.removeprefix("file://") if folder.startswith("file:") or "://" not in folder else ""
+    local = mounted(spark, shared_dir(spark))
     if local:
-        local = local.removeprefix("file:")
         os.makedirs(local, exist_ok=True)
         path = f"{local}/quarry-lexicon-{uuid.uuid4().hex[:12]}"
         with open(path, "wb") as f:
             f.write(block)
+        atexit.register(lambda: os.path.exists(path) and os.unlink(path))
 
         def opened():
             with open(path, "rb") as f:

@@ -33,12 +33,14 @@ from ..operators import bloom
 from ..session import slots, staged
 
 WORD = re.compile(r"[A-Za-z0-9_]+")
-#: Counters of the word-frequency sketch: 2**21 of 2 bytes, a broadcast of 4 MB at most.
+#: Counters of the word-frequency sketch: 2**21 of 4 bytes, a broadcast of 8 MB at most.
 SKETCH_LOG2 = 21
 #: Shards with more entries than this are cut into tiles of pairs of salts.
 HOT = 4096
 FP_WORDS = 4
 LEAF = 16
+#: Pairs of nodes opened at once: up to LEAF**2 pairs of entries each, of 96 bytes while they are compared.
+NODE_PAIRS = 4000
 
 _BAG = "id long, bag_hi long, bag_lo long, n int, words binary, counts binary"
 
@@ -88,7 +90,7 @@ def word_bags(blocks: DataFrame, min_words: int) -> DataFrame:
 
 
 def _frequencies(bags: DataFrame) -> np.ndarray:
-    """How many bags hold a word of each sketch cell, over all bags, saturated at 65,535; cells of one bag are 1."""
+    """How many bags hold a word of each sketch cell, over all bags; cells of one bag or none are 1."""
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_LOG2, np.int64)
@@ -101,9 +103,9 @@ def _frequencies(bags: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["cell", "n"])
 
     merged = bags.select("words").mapInArrow(cells, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1")
-    table = merged.select("cell", F.least("n", F.lit(65535)).cast("int").alias("n")).toArrow()
-    counts = np.ones(1 << SKETCH_LOG2, np.uint16)
-    counts[table.column("cell").to_numpy()] = table.column("n").to_numpy().astype(np.uint16)
+    table = merged.select("cell", F.least("n", F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()
+    counts = np.ones(1 << SKETCH_LOG2, np.uint32)
+    counts[table.column("cell").to_numpy()] = table.column("n").to_numpy()
     return counts
 
 
@@ -114,8 +116,6 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _entries(frequency: np.ndarray, threshold: float):
-    packed = frequency
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys_out, ids_out, ns_out, fps_out = [], [], [], []
@@ -128,7 +128,7 @@ def _entries(frequency: np.ndarray, threshold: float):
                 bits = (occurrence >> np.uint64(40)).astype(np.int64) % (64 * FP_WORDS)
                 odd = (np.bincount(bits, minlength=64 * FP_WORDS) & 1).astype(np.uint8)
                 fp = np.packbits(odd).tobytes()
-                often = packed[(rep >> np.uint64(64 - SKETCH_LOG2)).astype(np.int64)].astype(np.int64)
+                often = frequency[(rep >> np.uint64(64 - SKETCH_LOG2)).astype(np.int64)].astype(np.int64)
                 order = np.lexsort((occurrence, often))
                 chosen = order[: n - math.ceil(threshold * n - 1e-9) + 1]
                 chosen = chosen[often[chosen] > 1]
@@ -216,8 +216,8 @@ class GrayIndex:
                 nodes = self.levels[level]
                 a, b = self._prune(nodes, a, b, threshold)
                 kept_a, kept_b = [], []
-                for cut in range(0, len(a), 50_000):
-                    x, y = self._within(nodes["start"], nodes["end"], a[cut : cut + 50_000], b[cut : cut + 50_000])
+                for cut in range(0, len(a), NODE_PAIRS):
+                    x, y = self._within(nodes["start"], nodes["end"], a[cut : cut + NODE_PAIRS], b[cut : cut + NODE_PAIRS])
                     if below is None:
                         different = x < y
                         x, y = x[different], y[different]
