@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import params, scalars
@@ -132,8 +133,6 @@ def fts_search(documents: DataFrame, repo: str, query: str, limit: int | None =
 
 
 def _stemmed(tokens: DataFrame, stem) -> DataFrame:
-    import pandas as pd
-
     @F.pandas_udf("array<string>")
     def stems(lists: pd.Series) -> pd.Series:
         known: dict[str, str] = {}
