@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from .text import Source
 
-CONTROL = {"if", "for", "while", "switch", "catch", "return", "else", "do", "try", "match", "loop", "unsafe", "synchronized", "using", "lock", "foreach", "fixed", "sizeof", "function", "func", "fn", "new", "defer", "go", "select", "super", "this", "in", "of", "typeof", "await", "yield", "throw", "finally", "when", "where", "catch", "alignof", "decltype", "static_assert", "case", "not", "and", "or", "delete", "void", "import", "require_once"}
+CONTROL = {"if", "for", "while", "switch", "catch", "return", "else", "do", "try", "match", "loop", "unsafe", "synchronized", "using", "lock", "foreach", "fixed", "sizeof", "function", "func", "fn", "new", "defer", "go", "select", "super", "this", "in", "of", "typeof", "await", "yield", "throw", "finally", "when", "where", "catch", "alignof", "decltype", "static_assert", "case", "not", "and", "or", "delete", "void", "import", "require_once", "async"}
 
 
 @dataclass
@@ -202,7 +202,7 @@ def script_edges(src: Source) -> list[Edge]:
     out = [Edge("import", m[2], m.start()) for m in re.finditer(r"\bimport\s+(?:[\w*{}\s,$]+\s+from\s+)?(['\"])([^'\"\n]+)\1", src.text) if src.code[m.start()] == "i"]
     if src.language == "javascript":
         out += [Edge("import", m[2], m.start()) for m in re.finditer(r"\brequire\s*\(\s*(['\"])([^'\"\n]+)\1", src.text) if src.code[m.start()] == "r"]
-    declared = r"(?<!\bfunction\s)"
+    declared = r"(?<!\bfunction\s)(?<!\bfunction\*\s)"
     heads = {s.start for s in script_symbols(src) if s.kind == "method"}
     out += [e for e in _plain_calls(src, declared) if not any(h <= e.at <= h + 40 and src.code[h : e.at].strip() in ("", "async", "private", "public", "static", "protected", "private async", "public async") for h in heads)]
     for m in re.finditer(r"\bclass\s+[\w$]+\s*(?:<[^>{]*>)?\s*(?:extends\s+([\w$]+))?[^{]*?(?:\bimplements\s+([^{]+))?\{", src.code):

@@ -83,7 +83,7 @@ class Source:
                     break
                 start -= 1
             raw = self.code[start:brace]
-            cut = [m.end() for m in re.finditer(r"^[ \t]*#[^\n]*\n", raw, re.M)]
+            cut = [m.end() for m in re.finditer(r"^[ \t]*#[^\n]*\n|\b(?:public|private|protected)\s*:(?!:)", raw, re.M)]
             start += cut[-1] if cut else 0
             header = self.code[start:brace]
             yield start + len(header) - len(header.lstrip()), header.strip(), brace, self.close[brace] + 1

@@ -34,7 +34,8 @@ def debounce(events: DataFrame, gap: str = "500 milliseconds", lateness: str = "
     rows = _moment(events)
     if rows.isStreaming:
         rows = rows.withWatermark("ts", lateness)
-    groups = [F.session_window("ts", gap).alias("w"), *([F.col(key)] if key else [])]
+    # a stream needs a key beside the session, and no constant: the remainder by one is 0 for every path
+    groups = [F.session_window("ts", gap).alias("w"), F.col(key) if key else F.pmod(F.xxhash64("path"), F.lit(1)).alias("all")]
     paths = F.approx_count_distinct("path", 0.01) if rows.isStreaming else F.count_distinct("path")
     bursts = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("events"), paths.alias("paths"))
     return bursts.select(*([key] if key else []), F.col("w.start").alias("first_event"), F.col("w.end").alias("flush_at"), "events", "paths")
