@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import functools
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import params, scalars
+from ..session import spread
 
 K1, B, RRF = 1.2, 0.75, 60
 
@@ -144,26 +150,65 @@ def _stemmed(tokens: DataFrame, stem) -> DataFrame:
 # vectors
 
 
+def _products(matrix: np.ndarray, k: int, least: float | None):
+    """(row of matrix, symbol_id, similarity) of the vectors of a batch: with k > 0 only the batch's best k of each row.
+
+    Products in double precision; a vector of another length, or null, counts as 0; a product that is no number drops.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                batch = whole.slice(at, 4096)
+                ids, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+                sizes = np.nan_to_num(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(float), nan=-1).astype(np.int64)
+                fits = np.flatnonzero(sizes == matrix.shape[1])
+                x = lists.take(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, matrix.shape[1])
+                s = np.zeros((len(matrix), len(ids)))
+                with np.errstate(invalid="ignore", over="ignore"):
+                    s[:, fits] = matrix @ x.T
+                usable = ~np.isnan(s) if least is None else s >= least
+                if 0 < k < len(ids):
+                    kth = -np.partition(-np.where(usable, s, -np.inf), k - 1, axis=1)[:, k - 1]
+                    usable &= s >= kth[:, None]  # ties at the edge stay
+                q, v = np.nonzero(usable)
+                yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int64)), pa.array(ids[v].astype(np.int64)), pa.array(s[q, v])], names=["q", "symbol_id", "similarity"])
+
+    return run
+
+
 def knn(vectors: DataFrame, query: list[float], k: int = 10, least: float = 0.0, repo: str | None = None) -> DataFrame:
     """(symbol_id, similarity double): the k greatest dot products of at least `least`; k of 0 or less: all. Ties by id.
 
-    A vector of another length counts as 0. One pass, no shuffle but the top-k.
+    A vector of another length counts as 0. One pass in blocks, no shuffle but the top-k.
     """
     rows = vectors if repo is None else vectors.where(F.col("repo_name") == repo)
-    scored = rows.select("symbol_id", scalars.dot(F.col("embedding"), F.array(*[F.lit(float(x)) for x in query])).alias("similarity"))
-    near = scored.where((F.col("similarity") >= least) & ~F.isnan("similarity")).orderBy(F.desc("similarity"), "symbol_id")
+    matrix = np.asarray([query], np.float64)
+    scored = rows.where("symbol_id is not null").select("symbol_id", "embedding").mapInArrow(_products(matrix, k, least), "q long, symbol_id long, similarity double")
+    near = scored.select("symbol_id", "similarity").orderBy(F.desc("similarity"), "symbol_id")
     return near.limit(k) if k > 0 else near
 
 
 def knn_batch(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, symbol_id, similarity, place) for a stated query set (query_id, query array), at most 10,000 rows.
 
-    The query set is bounded, so it goes to every row; the best k of each query are kept per task before the shuffle.
+    The query set is bounded, so it goes to every row as one matrix for each length of vector; the best k of each block
+    are kept before the shuffle. Vectors of another length than the query are no candidates.
     """
-    stated = queries.select("query_id", "query").limit(10_000)
-    scored = vectors.select("symbol_id", "embedding").join(F.broadcast(stated), F.size("embedding") == F.size("query"))
-    rows = scored.select("query_id", "symbol_id", scalars.dot(F.col("embedding"), F.col("query")).alias("similarity")).where(~F.isnan("similarity"))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("symbol_id"), F.lit(64)))
+    stated = queries.select("query_id", "query").limit(10_001).collect()
+    if len(stated) > 10_000:
+        raise ValueError("a query set holds at most 10,000 vectors")
+    spark, parts = vectors.sparkSession, []
+    for size in sorted({len(r.query) for r in stated if r.query}):
+        own = [r for r in stated if r.query and len(r.query) == size]
+        matrix = np.asarray([r.query for r in own], np.float64)
+        names = spark.createDataFrame([(i, r.query_id) for i, r in enumerate(own)], "q long, query_id long")
+        rows = vectors.where((F.size("embedding") == size) & F.col("symbol_id").isNotNull()).select("symbol_id", "embedding")
+        scored = spread(rows).mapInArrow(_products(matrix, k, None), "q long, symbol_id long, similarity double")
+        parts.append(scored.join(F.broadcast(names), "q").drop("q"))  # as many rows as there are queries
+    if not parts:
+        return spark.createDataFrame([], "query_id long, symbol_id long, similarity double, place int")
+    salted = functools.reduce(DataFrame.unionByName, parts).withColumn("salt", F.pmod(F.xxhash64("symbol_id"), F.lit(64)))
     order = [F.desc("similarity"), F.col("symbol_id")]
     some = salted.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "salt").orderBy(*order))).where(F.col("r") <= k)
     best = some.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("place") <= k)

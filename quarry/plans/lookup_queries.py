@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import scalars
 from ..operators import diff, lookup, mutations
-from ..session import table
+from ..session import spread, table
 from ..sources import markdown, walk
 from .views import REPO, sql, symbols, view
 
@@ -285,7 +285,7 @@ def mock_embed(spark: SparkSession, sf: str) -> DataFrame:
     """Unit vectors of the hashing embedder for every symbol's embedding text."""
     from ..functions.embedders import hash_embedding
 
-    rows = symbols(spark, sf, True)
+    rows = spread(symbols(spark, sf, True))
     return rows.select(F.col("id").alias("symbol_id"), hash_embedding(scalars.embed_text(F.col("kind"), F.col("qualified_name"), F.col("code_block"))).alias("embedding"))
 
 

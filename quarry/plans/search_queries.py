@@ -49,7 +49,7 @@ def resolve_cascade(spark: SparkSession, sf: str) -> DataFrame:
     names="SELECT unnest(['re', 'shard', 'no such symbol', 'Queue']) AS input",
 )
 def resolve_batch(spark: SparkSession, sf: str) -> DataFrame:
-    names = spark.createDataFrame([("re",), ("shard",), ("no such symbol",), ("Queue",)], "input string")
+    names = spark.sql("SELECT * FROM VALUES ('re'), ('shard'), ('no such symbol'), ('Queue') AS t(input)")
     return search.resolve_many(symbols(spark, sf), REPO, names)
 
 

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import shared_dir, table
+from ..session import shared_dir, spread, table
 from ..sources import walk
 from ..streaming import watch
 from .views import sql
@@ -85,14 +85,14 @@ def _sources(spark: SparkSession, sf: str) -> DataFrame:
 def parse_symbols(spark: SparkSession, sf: str) -> DataFrame:
     from ..parse.extract import extract_symbols
 
-    return extract_symbols(_code(spark, sf)).drop("code_block")
+    return extract_symbols(spread(_code(spark, sf))).drop("code_block")
 
 
 @query()
 def extract_deps(spark: SparkSession, sf: str) -> DataFrame:
     from ..parse.extract import extract_edges
 
-    return extract_edges(_code(spark, sf))
+    return extract_edges(spread(_code(spark, sf)))
 
 
 def _code(spark: SparkSession, sf: str) -> DataFrame:

@@ -77,6 +77,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores: where its scan gives fewer parts than the cluster has cores, its rows are dealt out evenly.
+
+    For stages that compute long over each row. A large input has parts enough and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def slots(spark: SparkSession, rows_hint: int | None = None, per_task: int = 50_000) -> int:
     """Shuffle partitions: the session's setting, or more when rows_hint asks for it."""
     base = int(spark.conf.get("spark.sql.shuffle.partitions"))
