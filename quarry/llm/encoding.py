@@ -17,6 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import spread
 from . import lexicon
 
 #: The most frequent words that become part of the lexicon: with 8 bytes and 3 ids each, a few MB.
@@ -67,7 +68,7 @@ def _counted(pattern: str):
 
 def word_counts(texts: DataFrame, text: str = "text") -> DataFrame:
     """(word, n): how often each word of the tokenizer's split occurs, over all texts."""
-    return texts.select(text).mapInArrow(_counted(split_pattern()), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return spread(texts.select(text)).mapInArrow(_counted(split_pattern()), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent_words(texts: DataFrame, text: str = "text", most: int = LEXICON_WORDS) -> list[str]:
@@ -132,7 +133,7 @@ def encode_corpus(texts: DataFrame, key: str = "doc_id", text: str = "text", pat
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=[key, "ids"])
 
     kind = texts.schema[key].dataType.simpleString()
-    return texts.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    return spread(texts.select(key, text)).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
 
 def token_sizes(texts: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
@@ -149,4 +150,4 @@ def token_sizes(texts: DataFrame, key: str = "doc_id", text: str = "text", path:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int32())], names=[key, "n_tokens"])
 
     kind = texts.schema[key].dataType.simpleString()
-    return texts.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens int")
+    return spread(texts.select(key, text)).mapInArrow(run, f"`{key}` {kind}, n_tokens int")

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import bloom
-from ..session import slots, staged
+from ..session import slots, spread, staged
 
 WORD = re.compile(r"[A-Za-z0-9_]+")
 #: Counters of the word-frequency sketch: 2**21 of 4 bytes, a broadcast of 8 MB at most.
@@ -86,7 +86,7 @@ def _unpack(words: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def word_bags(blocks: DataFrame, min_words: int) -> DataFrame:
     """(id, bag_hi, bag_lo, n, words, counts) of the blocks (id long, code_block string) with at least min_words words."""
-    return blocks.select("id", "code_block").mapInArrow(_bags(min_words), _BAG)
+    return spread(blocks.select("id", "code_block")).mapInArrow(_bags(min_words), _BAG)
 
 
 def _frequencies(bags: DataFrame) -> np.ndarray:

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import staged
+from ..session import spread, staged
 
 RUN, GRAM = 128, 65
 #: Runs that one anchor can name: with 64, a group fits the bits of a long.
@@ -140,7 +140,7 @@ def shared_stretches(documents: DataFrame) -> DataFrame:
     documents: (doc_id long, text string); other columns are ignored. Null, empty and shorter texts have no stretch;
     rows that repeat a doc_id are the same document and do not count as another. Touching or overlapping runs join.
     """
-    groups = staged(documents.select("doc_id", "text").where(F.char_length("text") >= RUN).mapInArrow(_groups, "anchor long, span long, doc_id long, first int, runs int"), "runs")
+    groups = staged(spread(documents.select("doc_id", "text").where(F.char_length("text") >= RUN)).mapInArrow(_groups, "anchor long, span long, doc_id long, first int, runs int"), "runs")
     kinds = groups.groupBy("anchor", "span", "runs").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min_by("first", "doc_id").alias("first"))
     # an anchor goes on if two documents hold it; several kinds of one anchor may still share single runs
     by_anchor = kinds.groupBy("anchor").agg(F.min("low").alias("a"), F.max("high").alias("z"), F.count(F.lit(1)).alias("kinds")).where("a < z")
