@@ -88,6 +88,31 @@ kept AS (SELECT b.id, word, n, total FROM bags b JOIN sizes s ON s.id = b.id),
 met AS (SELECT a.id AS symbol_a, b.id AS symbol_b, sum(least(a.n, b.n)) AS low, any_value(a.total + b.total) AS total
          FROM kept a JOIN kept b ON a.word = b.word AND a.id < b.id AND least(a.total, b.total) >= 0.8 * greatest(a.total, b.total) GROUP BY 1, 2)
 SELECT symbol_a, symbol_b FROM met WHERE 10 * low >= 8 * (total - low)
+""",
+    "p2_found": r"""
+WITH f AS (SELECT id AS file_id, repo_name, path, max(size_bytes) AS size_bytes FROM files GROUP BY ALL),
+s AS (SELECT repo_name, file_path, max(end_line) AS last_line, count(DISTINCT qualified_name) AS names, count(*) FILTER (WHERE kind <> 'variable') AS others FROM symbols GROUP BY ALL)
+SELECT DISTINCT file_id FROM f LEFT JOIN s ON s.repo_name = f.repo_name AND s.file_path = f.path
+WHERE regexp_matches(path, '(^|/)(third_party|thirdparty|3rdparty|vendor|_vendor|node_modules|bower_components|site-packages|Pods|Carthage)/')
+  OR path LIKE '%Godeps/_workspace/%' OR regexp_matches(path, '(^|/)[A-Za-z][0-9A-Za-z_.-]*-[0-9]+\.[0-9]+\.[0-9]+/')
+  OR regexp_matches(path, '(^|/)(generated|__generated__|_generated|autogen|generated-sources|generated-src|gen/openapi|target/debug/build|target/release/build)/')
+  OR regexp_matches(path, '[._](gen|generated)\.[a-z]+$|\.(auto|designer)\.[a-z]+$|(^|/)zz_generated\.|\.pb\.(go|cc|h|dart)$|_pb2(_grpc)?\.pyi?$|\.g\.(dart|cs)$')
+  OR regexp_matches(path, '[.-]min\.(js|css|mjs)$|\.(bundle|umd|chunk)\.js$')
+  OR (last_line <= 2 AND coalesce(size_bytes >= 1000 * last_line, true))
+  OR (names = 1 AND others = 0 AND coalesce(size_bytes >= 1000 * last_line AND size_bytes >= 200000, true))
+""",
+    "p3_found": r"""
+WITH RECURSIVE blocks AS (SELECT DISTINCT id, code_block AS c, length(code_block) AS n FROM symbols WHERE length(code_block) > 1800),
+ends AS (SELECT id, c, n, list_filter(range(1, n + 1), lambda i: substr(c, i, 1) = chr(10)) AS b, list_filter(range(1, n + 1), lambda i: substr(c, i, 1) = ' ') AS sp FROM blocks),
+lines AS (SELECT id, unnest(b) AS z, unnest(list_concat([0], b))  AS a FROM ends),
+blank AS (SELECT l.id, list(l.z) AS a FROM lines l JOIN blocks k ON k.id = l.id WHERE l.z IS NOT NULL AND regexp_matches(substr(k.c, l.a + 1, l.z - l.a - 1), '^[ \t\r]*$') GROUP BY l.id),
+kinds AS (SELECT e.id, n, coalesce(k.a, []) AS a, b, sp FROM ends e LEFT JOIN blank k ON k.id = e.id),
+walk AS (
+  SELECT id, 0::BIGINT AS s, coalesce(list_max(list_filter(a, lambda e: e > 900 AND e <= 1800)), list_max(list_filter(b, lambda e: e > 900 AND e <= 1800)), list_max(list_filter(sp, lambda e: e > 900 AND e <= 1800)), 1800)::BIGINT AS z FROM kinds
+  UNION ALL
+  SELECT w.id, w.z - 150, CASE WHEN n - (w.z - 150) <= 1800 THEN n ELSE coalesce(list_max(list_filter(a, lambda e: e > w.z + 750 AND e <= w.z + 1650)), list_max(list_filter(b, lambda e: e > w.z + 750 AND e <= w.z + 1650)), list_max(list_filter(sp, lambda e: e > w.z + 750 AND e <= w.z + 1650)), w.z + 1650) END
+  FROM walk w JOIN kinds k ON k.id = w.id WHERE w.z < n)
+SELECT id AS symbol_id, s::INTEGER AS start_char, z::INTEGER AS end_char FROM walk
 """,
     "p4_found": """
 WITH usable AS (
@@ -109,5 +134,14 @@ places AS (
 fused AS (SELECT query_id, symbol_id, round(sum(x), 12) AS value FROM places GROUP BY ALL),
 ranked AS (SELECT query_id, symbol_id, row_number() OVER (PARTITION BY query_id ORDER BY value DESC, symbol_id)::INTEGER AS place FROM fused)
 SELECT query_id, place, symbol_id FROM ranked WHERE place <= 10
+""",
+    "p9_found": r"""
+WITH texts AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 128),
+runs AS (SELECT doc_id, t.i, md5(substr(text, (t.i + 1)::BIGINT, 128)) AS r FROM texts, unnest(range(0, length(text) - 127)) AS t(i)),
+shared AS (SELECT r FROM runs GROUP BY r HAVING min(doc_id) <> max(doc_id)),
+hits AS (SELECT DISTINCT doc_id, i FROM runs WHERE r IN (SELECT r FROM shared)),
+steps AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS step FROM hits),
+islands AS (SELECT doc_id, i, sum(CASE WHEN step <= 128 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM steps)
+SELECT doc_id, min(i)::INTEGER AS start_char, (max(i) + 128)::INTEGER AS end_char FROM islands GROUP BY doc_id, island
 """,
 }
