@@ -29,6 +29,16 @@ def without_files(table: DataFrame, gone: DataFrame, column: str = "file_path")
     return table.join(keys, ["repo_name", column], "left_anti").select(*table.columns)
 
 
+def without_repo(table: DataFrame, repo: str) -> DataFrame:
+    """table without a repository's rows; rows of no repository stay."""
+    return table.where(~F.col("repo_name").eqNullSafe(F.lit(repo)))
+
+
+def append(table: DataFrame, new: DataFrame) -> DataFrame:
+    """table and new; for tables without a key, such as routes, of which the same row may be stored twice."""
+    return table.unionByName(new.select(*table.columns))
+
+
 def without_edges_of_files(edges: DataFrame, symbols: DataFrame, gone: DataFrame) -> DataFrame:
     """edges whose caller is no symbol of the files gone(repo_name, file_path)."""
     callers = symbols.join(gone.select("repo_name", "file_path").distinct(), ["repo_name", "file_path"], "left_semi").select(F.col("id").alias("caller_id"))

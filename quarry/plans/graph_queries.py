@@ -321,6 +321,13 @@ def delete_symbols_by_file(spark: SparkSession, sf: str) -> DataFrame:
     return mutations.without_files(symbols(spark, sf), _gone(spark, sf)).select("id", "file_path")
 
 
+@query("SELECT repo_name, count(*)::BIGINT AS routes FROM (SELECT repo_name FROM rou WHERE repo_name <> $REPO OR repo_name IS NULL UNION ALL SELECT repo_name FROM rou WHERE kind = 'definition') GROUP BY repo_name")
+def routes_replaced(spark: SparkSession, sf: str) -> DataFrame:
+    """Routes after one repository's were dropped and the definitions of all appended."""
+    rows = view(spark, sf, "routes", ["id", "repo_name", "kind"])
+    return mutations.append(mutations.without_repo(rows, REPO), rows.where("kind = 'definition'")).groupBy("repo_name").agg(F.count(F.lit(1)).alias("routes"))
+
+
 @query("SELECT caller_id, callee_id, kind FROM dep WHERE caller_id IN (SELECT id FROM sym) AND callee_id IN (SELECT id FROM sym)")
 def live_edges(spark: SparkSession, sf: str) -> DataFrame:
     return mutations.live_edges(view(spark, sf, "dependencies"), symbols(spark, sf))

@@ -1,5 +1,6 @@
 """The index over a real tree, notes across re-indexing, the service's tools, and the stream of changes."""
 
+import json
 import os
 import subprocess
 from datetime import datetime, timedelta
@@ -112,6 +113,17 @@ def test_service(spark, tree, tmp_path):
     assert s.session_saved >= 0 and len(TOOLS) == 17
 
 
+def test_served_lines(spark, tree, tmp_path):
+    from quarry.__main__ import answer, serve
+
+    service = Service(spark, Store(spark, str(tmp_path / "s")), str(tree), "demo")
+    lines = ['{"id": 1, "tool": "ping"}', "", "not json", '{"id": 2, "tool": "none"}', '{"id": 3, "tool": "ping", "arguments": {"x": 1}}', "[]"]
+    got = [json.loads(x) for x in serve(service, lines)]
+    assert got[0]["id"] == 1 and got[0]["result"]["status"] == "ok" and len(got) == 5
+    assert "bad request" in got[1]["error"] and "unknown" in got[2]["result"]["error"] and "error" in got[3]["result"] and "bad request" in got[4]["error"]
+    assert answer(service, "__init__", {}) == {"error": "unknown tool '__init__'"}
+
+
 def test_tool_gating(spark, tree, tmp_path):
     assert enabled("ping") and enabled("purge_stale_memories", ("save_symbol_memory",)) and not enabled("ping", ("x",))
     assert "not enabled" in Service(spark, Store(spark, str(tmp_path / "s")), str(tree), "r", ("ping",)).find_dead_code()["error"]
