@@ -1,7 +1,7 @@
 """The engine's service: one method for each of its seventeen tools, answers as plain dictionaries.
 
-Bad input gives {"error": ...}, never an exception; batch tools give an error for each item. Results are bounded by
-the tools' own limits, so collecting them is safe; the work behind them is distributed.
+Bad input gives {"error": ...}, never an exception; batch tools give an error for each item. The work is distributed, the
+answer is collected: most tools limit it, but usages, tests and modified symbols list all there are, as one answer.
 """
 
 from __future__ import annotations
