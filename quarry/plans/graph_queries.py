@@ -350,3 +350,16 @@ def name_index_resolve(spark: SparkSession, sf: str) -> DataFrame:
     return graph.resolve_edges(raw, rows, REPO)
 
 
+
+
+@query(
+    "SELECT DISTINCT f.id AS caller_id, n.id AS callee_id, r.kind FROM raws r JOIN names n ON n.key = r.symbol JOIN firsts f ON f.file_path = r.file_path",
+    raws="SELECT file_path, 'call' AS kind, name AS symbol FROM sym WHERE repo_name = $REPO",
+    names="SELECT key, max(id) AS id FROM (SELECT name AS key, id FROM sym WHERE repo_name = $REPO UNION ALL SELECT qualified_name, id FROM sym WHERE repo_name = $REPO) GROUP BY key",
+    firsts="SELECT file_path, arg_min(id, start_line * 10000000000 + id) AS id FROM sym WHERE repo_name = $REPO GROUP BY file_path",
+)
+def name_index_resolve_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every raw reference of the repository; name_index_resolve and its SQL take only those with an even id."""
+    rows = symbols(spark, sf)
+    raw = rows.where(F.col("repo_name") == REPO).select("file_path", F.lit("call").alias("kind"), F.col("name").alias("symbol"))
+    return graph.resolve_edges(raw, rows, REPO)

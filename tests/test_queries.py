@@ -1,11 +1,16 @@
 """Every core query against its SQL on the smallest tables; queries without SQL must run and give rows."""
 
+from datetime import datetime
+
 import pytest
 
 from quarry.plans import registry
+from quarry.schema import SYMBOLS
 
 from .compare import agree
 
+T0 = datetime(2024, 1, 1)
+
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
 
 
@@ -28,3 +33,13 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(QUERIES) <= set(entry.queries())
+
+
+def test_every_reference_is_resolved(spark, tmp_path):
+    """Four files of two symbols each, ids odd and even: the references with an odd id give edges too."""
+    from quarry.plans.views import REPO
+
+    rows = [(i, REPO, f"n{i}", f"q.n{i}", "function", f"f{(i + 1) // 2}.go", "h", "", i, i, "go", T0) for i in range(1, 9)]
+    spark.createDataFrame(rows, SYMBOLS).write.parquet(str(tmp_path / "symbols.parquet"))
+    got = {(r.caller_id, r.callee_id) for r in QUERIES["name_index_resolve_all"](spark, str(tmp_path)).collect()}
+    assert got == {(i - 1 + i % 2, i) for i in range(1, 9)}
