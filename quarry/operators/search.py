@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import params, scalars
-from ..session import spread
+from ..session import spread, staged
 
 K1, B, RRF = 1.2, 0.75, 60
 
@@ -215,6 +215,13 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     return best.select("query_id", "symbol_id", "similarity", "place")
 
 
+def _fused(v: DataFrame, t: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, score, similarity, source) of lists with their ranks rv and rt."""
+    score = F.coalesce(1.0 / (RRF + F.col("rv")), F.lit(0.0)) + F.coalesce(1.0 / (RRF + F.col("rt")), F.lit(0.0))
+    source = F.when(F.col("rt").isNull(), "vector").when(F.col("rv").isNull(), "fts").otherwise("both")
+    return v.join(t, keys, "full_outer").select(*keys, score.alias("score"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"), source.alias("source"))
+
+
 def rrf(vector_hits: DataFrame, text_hits: DataFrame, keep: int = 0) -> DataFrame:
     """(symbol_id, score, similarity, source) of two ranked lists of bounded length, fused by reciprocal ranks.
 
@@ -224,10 +231,7 @@ def rrf(vector_hits: DataFrame, text_hits: DataFrame, keep: int = 0) -> DataFram
     """
     v = vector_hits.withColumn("rv", F.row_number().over(Window.orderBy(F.desc("similarity"), "symbol_id")))
     t = text_hits.withColumn("rt", F.row_number().over(Window.orderBy("rank", "symbol_id")))
-    both = v.join(t, "symbol_id", "full_outer")
-    score = F.coalesce(1.0 / (RRF + F.col("rv")), F.lit(0.0)) + F.coalesce(1.0 / (RRF + F.col("rt")), F.lit(0.0))
-    source = F.when(F.col("rt").isNull(), "vector").when(F.col("rv").isNull(), "fts").otherwise("both")
-    fused = both.select("symbol_id", score.alias("score"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"), source.alias("source")).orderBy(F.desc("score"), "symbol_id")
+    fused = _fused(v, t, ["symbol_id"]).orderBy(F.desc("score"), "symbol_id")
     return fused.limit(keep) if keep > 0 else fused
 
 
@@ -246,3 +250,47 @@ def hybrid(symbols: DataFrame, memories: DataFrame, vector_hits: DataFrame, text
         rows = rows.where(F.startswith("file_path", F.lit(prefix)))
     shown = rows.select("symbol_id", "name", "kind", "file_path", "score", F.round("similarity", 2).alias("similarity"), "source", F.coalesce("memories", F.lit(0)).alias("memories"))
     return shown.orderBy(F.desc("score"), "symbol_id").limit(top_k)
+
+
+def _ranked(hits: DataFrame, best_first: Column, into: str) -> DataFrame:
+    """hits with the rank of each in its search (query_id), from 1, ties by smaller symbol_id.
+
+    A search may hold most of the hits, so no window runs over a whole search: hits are range-partitioned by search and
+    order, numbered within the part, and shifted by the counts of the parts before.
+    """
+    parts = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = hits.repartitionByRange(parts, F.col("query_id"), best_first, F.col("symbol_id")).withColumn("part", F.spark_partition_id())
+    placed = staged(placed, "ranked")  # fixes the parts, which both uses below must see alike
+    numbered = placed.withColumn("in_part", F.row_number().over(Window.partitionBy("part", "query_id").orderBy(best_first, "symbol_id")))
+    sizes = placed.groupBy("query_id", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("query_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sizes.select("query_id", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    return numbered.join(shift, ["query_id", "part"]).withColumn(into, F.col("in_part") + F.col("shift")).drop("part", "in_part", "shift")
+
+
+def rrf_searches(vector_hits: DataFrame, text_hits: DataFrame) -> DataFrame:
+    """(query_id, symbol_id, score, similarity, source): rrf() of every search, of whatever size; in no order.
+
+    vector_hits: (query_id, symbol_id, similarity); text_hits: (query_id, symbol_id, rank); a symbol once a search.
+    """
+    v = _ranked(vector_hits, F.desc("similarity"), "rv")
+    t = _ranked(text_hits, F.asc("rank"), "rt")
+    return _fused(v, t, ["query_id", "symbol_id"])
+
+
+def hybrid_searches(symbols: DataFrame, memories: DataFrame, vector_hits: DataFrame, text_hits: DataFrame, top_k: int = 10, kind: str = "") -> DataFrame:
+    """hybrid() of every search: (query_id, place, symbol_id, name, kind, file_path, score, similarity, source, memories).
+
+    The first top_k of a search are the best of each of 32 salts within it, then the best of those. Scores that differ
+    by less than 1e-12 are ties.
+    """
+    rows = symbols.withColumnRenamed("id", "symbol_id")
+    if kind:
+        rows = rows.where(F.col("kind") == kind)
+    rows = rows.select("symbol_id", "name", "kind", "file_path").join(rrf_searches(vector_hits, text_hits).withColumn("score", F.round("score", 12)), "symbol_id")
+    order = [F.desc("score"), F.col("symbol_id")]
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("symbol_id"), F.lit(32)))
+    some = salted.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "salt").orderBy(*order))).where(F.col("r") <= top_k)
+    best = some.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("place") <= top_k)
+    counts = memories.where(F.col("symbol_id").isNotNull()).groupBy("symbol_id").agg(F.count(F.lit(1)).alias("memories"))
+    return best.join(counts, "symbol_id", "left").select("query_id", "place", "symbol_id", "name", "kind", "file_path", "score", F.round("similarity", 2).alias("similarity"), "source", F.coalesce("memories", F.lit(0)).alias("memories"))

@@ -161,3 +161,38 @@ def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
 def hybrid_search_filtered(spark: SparkSession, sf: str) -> DataFrame:
     found = search.hybrid(symbols(spark, sf), view(spark, sf, "memories", ["id", "symbol_id"]), *_hit_lists(spark, sf), kind="function")
     return found.withColumn("score", F.round("score", 6))
+
+
+_ALL_LISTS = {
+    "v": "SELECT query_id, symbol_id, max(similarity_score)::DOUBLE AS similarity FROM semantic_results WHERE query_id IS NOT NULL AND symbol_id IS NOT NULL AND similarity_score IS NOT NULL AND NOT isnan(similarity_score) GROUP BY query_id, symbol_id",
+    "t": "SELECT query_id, symbol_id, min(fts_rank) AS rank FROM fts_results WHERE query_id IS NOT NULL AND symbol_id IS NOT NULL AND fts_rank IS NOT NULL AND NOT isnan(fts_rank) GROUP BY query_id, symbol_id",
+    "rv": "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, symbol_id) AS r FROM v",
+    "rt": "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, symbol_id) AS r FROM t",
+    "fused": "SELECT coalesce(rv.query_id, rt.query_id) AS query_id, coalesce(rv.symbol_id, rt.symbol_id) AS symbol_id, coalesce(1.0::DOUBLE / (60 + rv.r), 0) + coalesce(1.0::DOUBLE / (60 + rt.r), 0) AS score, coalesce(rv.similarity, 0) AS similarity, CASE WHEN rt.r IS NULL THEN 'vector' WHEN rv.r IS NULL THEN 'fts' ELSE 'both' END AS source FROM rv FULL JOIN rt ON rv.query_id = rt.query_id AND rv.symbol_id = rt.symbol_id",
+}
+
+
+def _all_hit_lists(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    semantic, fts = table(spark, sf, "semantic_results"), table(spark, sf, "fts_results")
+    score, rank, named = F.col("similarity_score").cast("double"), F.col("fts_rank"), F.col("query_id").isNotNull() & F.col("symbol_id").isNotNull()
+    v = semantic.where(named & score.isNotNull() & ~F.isnan(score)).groupBy("query_id", "symbol_id").agg(F.max(score).alias("similarity"))
+    t = fts.where(named & rank.isNotNull() & ~F.isnan(rank)).groupBy("query_id", "symbol_id").agg(F.min(rank).alias("rank"))
+    return v, t
+
+
+@query("SELECT query_id, symbol_id, round(score, 6) AS score, round(similarity, 4) AS similarity, source FROM fused", **_ALL_LISTS)
+def rrf_fusion_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The fused lists of all searches; rrf_fusion and its SQL take the one with the smallest query_id."""
+    found = search.rrf_searches(*_all_hit_lists(spark, sf))
+    return found.select("query_id", "symbol_id", F.round("score", 6).alias("score"), F.round("similarity", 4).alias("similarity"), "source")
+
+
+@query(
+    "SELECT query_id, place::INTEGER AS place, symbol_id, name, kind, file_path, round(score, 6) AS score, round(similarity, 2) AS similarity, source, (SELECT count(*) FROM mem WHERE mem.symbol_id = best.symbol_id)::BIGINT AS memories FROM best WHERE place <= 10",
+    **_ALL_LISTS,
+    best="SELECT f.*, s.name, s.kind, s.file_path, row_number() OVER (PARTITION BY f.query_id ORDER BY round(f.score, 12) DESC, f.symbol_id) AS place FROM fused f JOIN sym s ON s.id = f.symbol_id WHERE s.kind = 'function'",
+)
+def hybrid_search_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The first ten functions of all searches; hybrid_search_filtered and its SQL take the one with the smallest query_id."""
+    found = search.hybrid_searches(symbols(spark, sf), view(spark, sf, "memories", ["id", "symbol_id"]), *_all_hit_lists(spark, sf), kind="function")
+    return found.withColumn("score", F.round("score", 6))

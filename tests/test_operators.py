@@ -124,6 +124,27 @@ def test_rrf(spark):
     assert got[0].score == pytest.approx(1 / 62 + 1 / 61) and got[2].similarity == 0
 
 
+def test_rrf_of_every_search(spark):
+    """Three searches, one with nearly all hits, so it spans many parts; equal scores; a search of one list only."""
+    v = [(1, i, (i * 7 % 40) / 40) for i in range(400)] + [(2, i, 0.5) for i in range(5)]
+    t = [(1, i, -float(i * 11 % 50)) for i in range(200, 600)] + [(3, i, -1.0) for i in range(4)]
+    want, places = {}, {}
+    for q in (1, 2, 3):
+        rv = {s: n for n, (_, s, _) in enumerate(sorted((r for r in v if r[0] == q), key=lambda r: (-r[2], r[1])), 1)}
+        rt = {s: n for n, (_, s, _) in enumerate(sorted((r for r in t if r[0] == q), key=lambda r: (r[2], r[1])), 1)}
+        own = {s: sum(1 / (60 + x[s]) for x in (rv, rt) if s in x) for s in rv.keys() | rt.keys()}
+        want |= {(q, s): (round(x, 9), "both" if s in rv and s in rt else "vector" if s in rv else "fts") for s, x in own.items()}
+        places |= {(q, n): s for n, s in enumerate(sorted((s for s in own if s % 3), key=lambda s: (-round(own[s], 12), s))[:10], 1)}
+    hits = spark.createDataFrame(v, "query_id long, symbol_id long, similarity double"), spark.createDataFrame(t, "query_id long, symbol_id long, rank double")
+    rows = search.rrf_searches(*hits).collect()
+    assert len(rows) == len(want) and {(r.query_id, r.symbol_id): (round(r.score, 9), r.source) for r in rows} == want
+    s = syms(spark, *[(i, f"n{i}", "a.go", "function" if i % 3 else "class", 1) for i in range(600)])
+    notes = spark.createDataFrame([(1, 1), (2, 1)], "id long, symbol_id long")
+    shown = search.hybrid_searches(s, notes, *hits, kind="function").collect()
+    assert {(r.query_id, r.place): r.symbol_id for r in shown} == places and len(shown) == len(places)
+    assert {r.memories for r in shown if r.symbol_id == 1} == {2}
+
+
 @pytest.mark.parametrize(
     "dm, dp, cm, cp, confidence",
     [("GET", "/a/b", "GET", "/a/b", 1.0), ("GET", "/a/:param", "GET", "/a/:param", 1.0), ("GET", "/a/:param", "GET", "/a/7", 0.9), ("GET", "/:param/b", "GET", "/a/:param", 0.9), ("GET", "/a", "GET", "/a/b", 0.5),

@@ -43,3 +43,9 @@ def test_every_reference_is_resolved(spark, tmp_path):
     spark.createDataFrame(rows, SYMBOLS).write.parquet(str(tmp_path / "symbols.parquet"))
     got = {(r.caller_id, r.callee_id) for r in QUERIES["name_index_resolve_all"](spark, str(tmp_path)).collect()}
     assert got == {(i - 1 + i % 2, i) for i in range(1, 9)}
+
+
+def test_every_search_is_fused(spark, small):
+    """All searches of the tables, not one of them."""
+    searches = {r.query_id for t in ("semantic_results", "fts_results") for r in spark.read.parquet(f"{small}/{t}.parquet").where("query_id is not null").select("query_id").distinct().collect()}
+    assert {r.query_id for r in QUERIES["rrf_fusion_all"](spark, small).collect()} == searches and len(searches) > 1
