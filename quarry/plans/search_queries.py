@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import search
-from ..session import table
+from ..operators import graph, search
+from ..session import staged, table
 from .views import REPO, sql, symbols, view
 
 QUERIES: dict = {}
@@ -103,6 +103,44 @@ def fts_phrase_bm25(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("symbol_id", F.round("rank", 6).alias("rank"))
 
 
+_NAME = "[a-zA-Z][a-zA-Z0-9_]{2,}"
+_WORDS = (
+    "list_concat(CASE WHEN s.kind IN ('function', 'method') THEN list_concat(regexp_extract_all(s.code_block, '[A-Z][a-zA-Z]*(?:Error|Exception|Timeout|Failure)'), regexp_extract_all(s.code_block, '(?:except|catch|rescue)\\s+\\(?([A-Za-z_][\\w.]*)', 1),"
+    " list_filter(['retry', 'fallback', 'timeout', 'backoff', 'cache', 'throttle', 'circuit_breaker', 'rate_limit', 'rollback', 'compensate'], lambda b: contains(lower(s.code_block), b))) ELSE [] END, coalesce(c.names, []),"
+    " list_filter(regexp_extract_all(split_part(s.code_block, chr(10), 1), '\\b[A-Z][a-zA-Z0-9]+\\b'), lambda w: w NOT IN ('Func', 'True', 'False', 'None', 'String', 'Int', 'Bool', 'Float')),"
+    f" CASE WHEN s.kind IN ('variable', 'constant') THEN list_filter(list_transform(regexp_extract_all(s.code_block, '\\b{_NAME}\\b'), lambda w: lower(w)), lambda w: w NOT IN ('var', 'const', 'let', 'new', 'nil', 'null', 'true', 'false', 'string', 'int', 'bool', 'float')) ELSE [] END)"
+)
+_INDEX = {
+    "callees": "SELECT d.caller_id, list(s.name) AS names FROM dep d JOIN sym s ON s.id = d.callee_id GROUP BY d.caller_id",
+    "words": f"SELECT s.id, list_sort(list_distinct(list_filter(list_transform({_WORDS}, lambda w: lower(w)), lambda w: strlen(w) > 2)))[1:30] AS w FROM sym s LEFT JOIN callees c ON c.caller_id = s.id",
+    "texts": "SELECT s.id, s.repo_name, unnest([s.name, s.qualified_name, s.kind, split_part(s.code_block, chr(10), 1), array_to_string(words.w, ' ')]) AS text FROM sym s JOIN words ON words.id = s.id",
+}
+
+
+def _indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents of the service's index: five columns, the keywords with the callees' names among them."""
+    rows = symbols(spark, sf, True)
+    return staged(search.fts_documents(rows, graph.callee_names(view(spark, sf, "dependencies"), rows)), "texts")  # read thrice by a search
+
+
+@query(f"SELECT h.id AS symbol_id, round({_BM25}, 6) AS rank FROM hits h JOIN sizes s ON s.id = h.id, tot WHERE s.repo_name = $REPO", **_INDEX, **{k: v for k, v in _HITS.items() if k != "texts"})
+def fts_term_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """fts_term_bm25 over the whole index; that query and its SQL leave the keywords out."""
+    return search.fts_search(_indexed(spark, sf), REPO, "shard", 1 << 30).select("symbol_id", F.round("rank", 6).alias("rank"))
+
+
+@query(f"SELECT h.id AS symbol_id, round({_BM25}, 6) AS rank FROM hits h JOIN sizes s ON s.id = h.id, tot WHERE s.repo_name = $REPO", **_INDEX, **{k: v for k, v in _PHRASE.items() if k != "texts"})
+def fts_phrase_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """fts_phrase_bm25 over the whole index."""
+    return search.fts_search(_indexed(spark, sf), REPO, "Func (x", 1 << 30).select("symbol_id", F.round("rank", 6).alias("rank"))
+
+
+@query()
+def fts_term_stemmed(spark: SparkSession, sf: str) -> DataFrame:
+    """A term over the whole index with both sides stemmed, as the service searches; SQL has no stemmer."""
+    return search.fts_search(_indexed(spark, sf), REPO, "parsing", 1 << 30, stemmed=True).select("symbol_id", F.round("rank", 6).alias("rank"))
+
+
 _GOOD = "SELECT symbol_id, repo_name, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM vec WHERE embedding IS NOT NULL"
 _Q = "SELECT e FROM good WHERE len(e) = 128 AND len(list_filter(e, lambda x: isnan(x))) = 0 ORDER BY symbol_id LIMIT 1"
 _SIMS = "SELECT g.symbol_id, g.repo_name, CASE WHEN len(g.e) = len(q.e) THEN list_inner_product(g.e, q.e) ELSE 0.0 END AS s FROM good g, q"

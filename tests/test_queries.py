@@ -1,11 +1,14 @@
 """Every core query against its SQL on the smallest tables; queries without SQL must run and give rows."""
 
+import math
+import re
 from datetime import datetime
 
 import pytest
 
 from quarry.plans import registry
-from quarry.schema import SYMBOLS
+from quarry.functions.stemmer import stem
+from quarry.schema import DEPENDENCIES, SYMBOLS
 
 from .compare import agree
 
@@ -49,3 +52,31 @@ def test_every_search_is_fused(spark, small):
     """All searches of the tables, not one of them."""
     searches = {r.query_id for t in ("semantic_results", "fts_results") for r in spark.read.parquet(f"{small}/{t}.parquet").where("query_id is not null").select("query_id").distinct().collect()}
     assert {r.query_id for r in QUERIES["rrf_fusion_all"](spark, small).collect()} == searches and len(searches) > 1
+
+
+@pytest.mark.parametrize("name, terms, stemmed", [("fts_term_indexed", ["shard"], False), ("fts_phrase_indexed", ["func", "x"], False), ("fts_term_stemmed", ["parsing"], True)])
+def test_full_text_over_the_index(spark, tmp_path, name, terms, stemmed):
+    """Brute force over documents written out by hand; some hits stand only in the keywords."""
+    from quarry.plans.views import REPO
+
+    made = [
+        (1, REPO, "shard", "function", "func shard() {\n}", ""),
+        (2, REPO, "route", "function", "func (x Ring) route() {\n  shard()\n}", "ring shard"),  # from the signature and a callee
+        (3, REPO, "table", "variable", "var table =\n  shards(sharding, 4)", "sharding shards table"),  # from the initialiser
+        (4, REPO, "parsed", "method", "def parsed(self):\n  raise ShardError", "sharderror"),
+        (20, REPO, "load", "function", "def load():\n  parsed()", "parsed"),
+        (5, "other", "shard", "function", "func (x) shard()", ""),
+        *((i, "other" if i % 2 else REPO, f"f{i}", "function", "def f():", "") for i in range(6, 20)),
+    ]
+    spark.createDataFrame([(i, r, n, f"q.{n}", k, "a.go", "h", code, i, i, "go", T0) for i, r, n, k, code, _ in made], SYMBOLS).write.parquet(str(tmp_path / "symbols.parquet"))
+    spark.createDataFrame([(2, 1, "call"), (2, 1, "import"), (20, 4, "call")], DEPENDENCIES).write.parquet(str(tmp_path / "dependencies.parquet"))
+    form = stem if stemmed else str
+    docs = {(i, r): [[form(w) for w in re.findall(r"[a-z0-9]+", text.lower())] for text in (n, f"q.{n}", k, code.split("\n")[0], words)] for i, r, n, k, code, words in made}
+    terms = [form(w) for w in terms]
+    tf = {d: sum(c[i : i + len(terms)] == terms for c in columns for i in range(len(c))) for d, columns in docs.items()}
+    size = {d: sum(map(len, columns)) for d, columns in docs.items()}
+    hits, mean = [d for d in docs if tf[d]], sum(size.values()) / len(docs)
+    idf = max(math.log((len(docs) - len(hits) + 0.5) / (len(hits) + 0.5)), 1e-6)
+    want = {d[0]: -idf * tf[d] * 2.2 / (tf[d] + 1.2 * (0.25 + 0.75 * size[d] / mean)) for d in hits if d[1] == REPO}
+    got = {r.symbol_id: r["rank"] for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(want, abs=1e-6) and len(want) == {"fts_term_indexed": 2, "fts_phrase_indexed": 1, "fts_term_stemmed": 2}[name]
