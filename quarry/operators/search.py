@@ -39,14 +39,19 @@ def resolve(symbols: DataFrame, repo: str, name: str) -> DataFrame:
 
 
 def resolve_many(symbols: DataFrame, repo: str, names: DataFrame) -> DataFrame:
-    """resolve() for each row of names(input): (input, id), id null where nothing matches. names is a batch, so broadcast."""
+    """resolve() for each row of names(input), however many: (input, id), id null where nothing matches.
+
+    Exact names are joined by hash; only what they leave is compared with every symbol.
+    """
     own = symbols.where(F.col("repo_name") == repo).select("id", "name", "qualified_name")
+    asked = names.select("input").where(F.col("input").isNotNull()).distinct()
+    keys = own.select("id", F.explode(F.array(F.struct(F.lit(0).alias("step"), F.col("name").alias("input")), F.struct(F.lit(1).alias("step"), F.col("qualified_name").alias("input")))).alias("key"))
+    exact = keys.select("id", "key.*").join(asked, "input").groupBy("input").agg(F.min(F.struct("step", "id")).alias("best"))
     low = F.lower("input")
     close = F.contains(F.lower("name"), low) | F.contains(F.lower("qualified_name"), low)
-    step = F.when(F.col("name") == F.col("input"), 0).when(F.col("qualified_name") == F.col("input"), 1).when(F.startswith(F.lower("name"), low), 2).otherwise(3)
-    met = own.join(F.broadcast(names.select("input").distinct().limit(params.MAX_BATCH)), close)
-    best = met.groupBy("input").agg(F.min(F.struct(step.alias("step"), "id")).alias("best"))
-    return names.join(best, "input", "left").select("input", F.col("best.id").alias("id"))
+    step = F.when(F.startswith(F.lower("name"), low), 2).otherwise(3)
+    guessed = own.join(asked.join(exact, "input", "left_anti"), close).groupBy("input").agg(F.min(F.struct(step.alias("step"), "id")).alias("best"))
+    return names.join(exact.unionByName(guessed), "input", "left").select("input", F.col("best.id").alias("id"))
 
 
 def search_patterns(symbols: DataFrame, repo: str, pattern: str, prefix: str = "", kind: str = "", limit: int = 50, compatible: bool = False) -> DataFrame:

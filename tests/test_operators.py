@@ -89,6 +89,14 @@ def test_search_ranks_and_wildcards(spark):
     assert search.resolve(s, "r", "nothing").count() == 0
 
 
+def test_resolve_many_names(spark):
+    s = syms(spark, *[(i, f"name{i:03}") for i in range(1, 121)], (121, "z", "a", None, 1, "", "q.z"), (122, "Late"))
+    asked = [f"name{i:03}" for i in range(1, 121)] + ["q.z", "late", "E1", "nothing", None, "late"]
+    got = search.resolve_many(s, "r", spark.createDataFrame([(n,) for n in asked], "input string")).collect()
+    want = [(n, int(n[4:])) for n in asked[:120]] + [("q.z", 121), ("late", 122), ("E1", 100), ("nothing", None), (None, None), ("late", 122)]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
 def test_patterns(spark):
     s = syms(spark, (1, "a", "p/a", None, 1, "x" * 30 + "ä😀 foo(1) tail"), (2, "b", "p/b", None, 1, "bar(2)"), (3, "c", "q/c", None, 1, None))
     r = search.search_patterns(s, "r", r"foo\(\d\)").first()
