@@ -291,13 +291,14 @@ def mock_embed(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def wordpiece(spark: SparkSession, sf: str) -> DataFrame:
-    """WordPiece ids of every symbol's signature over a small vocabulary of letters and common words."""
+    """WordPiece ids of every symbol's embedding text over a stand-in vocabulary of letters and common words."""
     import string
 
     from ..functions.embedders import WordPiece, wordpiece_ids
 
     words = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "function", "class", "return", "def", "func", *string.ascii_lowercase, *string.digits, *"(){}:,.*_", *("##" + c for c in string.ascii_lowercase + string.digits)]
     tokenizer = WordPiece({w: i for i, w in enumerate(words)})
-    return symbols(spark, sf, True).select(F.col("id").alias("symbol_id"), wordpiece_ids(scalars.signature(F.col("code_block")), tokenizer).alias("ids"))
+    rows = spread(symbols(spark, sf, True))
+    return rows.select(F.col("id").alias("symbol_id"), wordpiece_ids(scalars.embed_text(F.col("kind"), F.col("qualified_name"), F.col("code_block")), tokenizer).alias("ids"))
 
 
