@@ -93,7 +93,8 @@ def dot(a: Column, b: Column) -> Column:
 def l2_normalize(a: Column) -> Column:
     """The vector at length one; one shorter than 1e-12 stays as it is."""
     norm = F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.when(norm < 1e-12, F.transform(a, lambda x: x.cast("double"))).otherwise(F.transform(a, lambda x: x.cast("double") / norm))
+    # through an array of one, so that the norm is computed once a vector and not once a component
+    return F.transform(F.array(norm), lambda n: F.when(n < 1e-12, F.transform(a, lambda x: x.cast("double"))).otherwise(F.transform(a, lambda x: x.cast("double") / n)))[0]
 
 
 def like_any(text: Column, part: str) -> Column:

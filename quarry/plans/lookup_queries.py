@@ -240,6 +240,14 @@ def l2_normalize(spark: SparkSession, sf: str) -> DataFrame:
     return good.select("symbol_id", unit.alias("u")).select("symbol_id", F.round(F.col("u")[0] + F.col("u")[1] + F.col("u")[2], 6).alias("head"))
 
 
+@query("SELECT symbol_id, round(CASE WHEN list_inner_product(e, e) < 1e-24 THEN 0 ELSE list_sum(list_transform(range(1, len(e) + 1), lambda i: i * e[i])) / sqrt(list_inner_product(e, e)) END, 6) AS weighed FROM good", good=_GOOD)
+def l2_normalize_all(spark: SparkSession, sf: str) -> DataFrame:
+    """All components of every unit vector, summed by position; l2_normalize and its SQL add the first three."""
+    good = view(spark, sf, "vec_symbols").where(F.col("embedding").isNotNull() & ~F.exists("embedding", F.isnan))
+    weighed = F.aggregate(F.transform("u", lambda x, i: (i + 1) * x), F.lit(0.0), lambda s, x: s + x)
+    return good.select("symbol_id", scalars.l2_normalize(F.col("embedding")).alias("u")).select("symbol_id", F.round(weighed, 6).alias("weighed"))
+
+
 @query("SELECT g.symbol_id, round(CASE WHEN len(g.e) = len(q.e) THEN list_inner_product(g.e, q.e) ELSE 0 END, 4) AS product FROM good g, (SELECT e FROM good WHERE len(e) = 128 ORDER BY symbol_id LIMIT 1) q", good=_GOOD)
 def dot_mismatch_zero(spark: SparkSession, sf: str) -> DataFrame:
     from .search_queries import query_vector

@@ -89,3 +89,11 @@ def test_wordpiece_reads_the_embedding_text(spark, tmp_path):
     got = {r.symbol_id: [i for i in r.ids if i] for r in QUERIES["wordpiece"](spark, str(tmp_path)).collect()}
     at = {w: i for i, w in enumerate(["[PAD]", "[UNK]", "[CLS]", "[SEP]", "function", "class", "return", "def", "func", *"abcdefghijklmnopqrstuvwxyz", *"0123456789", *"(){}:,.*_"])}
     assert got == {i: [at[w] for w in ["[CLS]", kind, "q", ".", name, ":", "return", "[SEP]"]] for i, kind, name in ((1, "function", "a"), (2, "class", "b"))}
+
+
+def test_l2_normalize_reads_every_component(spark, tmp_path):
+    """Vectors of one length and one head: only the components after the third tell them apart."""
+    vectors = [(1, "r", [1.0, 2.0, 2.0, 4.0, 0.0]), (2, "r", [1.0, 2.0, 2.0, 0.0, 4.0]), (3, "r", [0.0] * 5)]
+    spark.createDataFrame(vectors, "symbol_id long, repo_name string, embedding array<float>").write.parquet(str(tmp_path / "vec_symbols.parquet"))
+    got = {r.symbol_id: r.weighed for r in QUERIES["l2_normalize_all"](spark, str(tmp_path)).collect()}
+    assert got == {1: 5.4, 2: 6.2, 3: 0.0}
