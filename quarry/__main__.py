@@ -3,6 +3,7 @@
     python -m quarry index PATH [--repo-name NAME] [--store DIR] [--force]
     python -m quarry call TOOL '{"symbol_name": "main"}' [--root PATH] ...
     python -m quarry serve [--root PATH] ...
+    python -m quarry watch [--root PATH] ...
 
 serve reads {"id": ..., "tool": ..., "arguments": {...}} and answers {"id": ..., "result": ...}, one line each.
 """
@@ -45,7 +46,7 @@ def serve(service: Service, lines: Iterable[str]) -> Iterator[str]:
 
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="quarry", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
-    parser.add_argument("command", choices=["index", "call", "serve"])
+    parser.add_argument("command", choices=["index", "call", "serve", "watch"])
     parser.add_argument("rest", nargs="*")
     for name in ("--config", "--root", "--repo-name", "--store"):
         parser.add_argument(name)
@@ -57,11 +58,17 @@ def main(argv: list[str] | None = None) -> int:
     from .session import local_session
 
     spark = local_session(os.cpu_count() or 1)
-    service = Service(spark, Store(spark, args.store or settings.store), root, repo, settings.tools)
+    service = Service(spark, Store(spark, args.store or settings.store), root, repo, settings.tools, settings.embedder)
     if args.command == "serve":
         for line in serve(service, sys.stdin):
             print(line, flush=True)
         return 0
+    if args.command == "watch":
+        from .streaming.watch import TreeWatcher
+
+        service.reindex_project(force=args.force)
+        TreeWatcher(spark, root).run(service.flush, every_s=settings.debounce_ms / 1000)
+        return 0
     if args.command == "index":
         result = service.reindex_project(force=args.force)
     else:

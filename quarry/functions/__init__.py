@@ -1 +1 @@
-
+"""Scalar functions, parameter rules, embedders and the stemmer."""

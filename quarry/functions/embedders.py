@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import json
+import os
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -136,20 +139,91 @@ def static_embedding(text: Column, tokenizer: WordPiece, matrix: np.ndarray, nor
     return embed(text)
 
 
+@functools.lru_cache(maxsize=4)
+def _onnx_session(model_path: str):
+    """One loaded model a process: workers live on between tasks and batches."""
+    import onnxruntime
+
+    return onnxruntime.InferenceSession(model_path)
+
+
+def onnx_vectors(texts: list[str], tokenizer: WordPiece, model_path: str) -> np.ndarray:
+    """Mean over all unmasked positions of the model's last states, at unit length."""
+    session = _onnx_session(model_path)
+    encoded = [tokenizer.encode(t) for t in texts]
+    feed = dict(zip(("input_ids", "attention_mask", "token_type_ids"), (np.array(x, np.int64) for x in zip(*encoded))))
+    states = session.run(None, {x.name: feed[x.name] for x in session.get_inputs()})[0]
+    mask = feed["attention_mask"][:, :, None].astype(np.float32)
+    return normalize_rows((states * mask).sum(axis=1) / np.maximum(mask.sum(axis=1), 1e-9))
+
+
 def onnx_embedding(text: Column, tokenizer: WordPiece, model_path: str) -> Column:
-    """Mean over all unmasked positions of the model's last states, at unit length; needs onnxruntime on the workers."""
+    """onnx_vectors() as a column; needs onnxruntime and the model file on the workers."""
 
     @F.pandas_udf("array<float>")
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import onnxruntime
-
-        session = onnxruntime.InferenceSession(model_path)
-        names = [x.name for x in session.get_inputs()]
-        for texts in batches:
-            encoded = [tokenizer.encode(t) for t in texts]
-            feed = dict(zip(("input_ids", "attention_mask", "token_type_ids"), (np.array(x, np.int64) for x in zip(*encoded))))
-            states = session.run(None, {n: feed[n] for n in names})[0]
-            mask = feed["attention_mask"][:, :, None].astype(np.float32)
-            yield pd.Series(list(normalize_rows((states * mask).sum(axis=1) / np.maximum(mask.sum(axis=1), 1e-9))))
+    def embed(texts: pd.Series) -> pd.Series:
+        return pd.Series(list(onnx_vectors(texts.tolist(), tokenizer, model_path)), dtype=object)
 
     return embed(text)
+
+
+@dataclass(frozen=True)
+class Embedder:
+    """One way from text to vector for the index and the search: a column for tables, vectors for a tool's query.
+
+    name and dimension are stored with the vectors, which only the same embedder can search.
+    """
+
+    name: str
+    dimension: int
+    column: Callable[[Column], Column]
+    vectors: Callable[[list[str]], np.ndarray]
+
+
+def hash_embedder(dimension: int = DIMENSION) -> Embedder:
+    return Embedder("hash", dimension, lambda text: hash_embedding(text, dimension), lambda texts: hash_vectors(texts, dimension))
+
+
+def static_embedder(tokenizer: WordPiece, matrix: np.ndarray, normalize: bool = True, name: str = "static") -> Embedder:
+    return Embedder(name, matrix.shape[1], lambda text: static_embedding(text, tokenizer, matrix, normalize), lambda texts: static_vectors(texts, tokenizer, matrix, normalize))
+
+
+def onnx_embedder(tokenizer: WordPiece, model_path: str, dimension: int, name: str = "onnx") -> Embedder:
+    return Embedder(name, dimension, lambda text: onnx_embedding(text, tokenizer, model_path), lambda texts: onnx_vectors(texts, tokenizer, model_path))
+
+
+def _vocabulary(folder: str) -> WordPiece:
+    """The tokenizer of a model folder: tokenizer.json, else vocab.txt."""
+    for name, read in (("tokenizer.json", WordPiece.from_json), ("vocab.txt", WordPiece.from_lines)):
+        path = os.path.join(folder, name)
+        if os.path.exists(path):
+            with open(path, encoding="utf-8") as f:
+                return read(f.read())
+    raise FileNotFoundError(f"{folder} holds neither tokenizer.json nor vocab.txt")
+
+
+@functools.lru_cache(maxsize=4)
+def load_embedder(choice: str = "hash") -> Embedder:
+    """The embedder that a setting names: `hash`, `static:FOLDER` (model.safetensors with the tensor `embeddings`, and
+    config.json with `normalize` if it is there) or `onnx:FOLDER` (model.onnx); folders hold the vocabulary too.
+
+    Loaded once a process. A folder that lacks something raises, each time it is asked for.
+    """
+    kind, _, folder = choice.partition(":")
+    if kind in ("", "hash"):
+        return hash_embedder()
+    if kind == "static":
+        from ..sources.tensors import float_tensor, read_tensors
+
+        with open(os.path.join(folder, "model.safetensors"), "rb") as f:
+            matrix = float_tensor(read_tensors(f.read()), "embeddings")
+        settings = os.path.join(folder, "config.json")
+        normalize = True
+        if os.path.exists(settings):
+            with open(settings, encoding="utf-8") as f:
+                normalize = bool(json.load(f).get("normalize", True))
+        return static_embedder(_vocabulary(folder), matrix, normalize, choice)
+    if kind == "onnx":
+        tokenizer, path = _vocabulary(folder), os.path.join(folder, "model.onnx")
+        return onnx_embedder(tokenizer, path, onnx_vectors(["x"], tokenizer, path).shape[1], choice)
+    raise ValueError(f"unknown embedder {choice!r}")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+from re import _constants as ops, _parser
 
 MAX_BATCH = 50
 
@@ -51,27 +53,85 @@ def phrase(query: str) -> str:
     return '"' + query.replace('"', '""') + '"'
 
 
-def required_literal(pattern: str) -> str:
-    """A literal that a match of the pattern is likely to contain, as the compatible prefilter takes it.
+# Named character classes of the tools' dialect and what the engine calls them.
+NAMED_CLASSES = {
+    "alnum": r"\p{Alnum}", "alpha": r"\p{Alpha}", "ascii": r"\p{ASCII}", "blank": r"\p{Blank}", "cntrl": r"\p{Cntrl}", "digit": r"\p{Digit}", "graph": r"\p{Graph}", "lower": r"\p{Lower}",
+    "print": r"\p{Print}", "punct": r"\p{Punct}", "space": r"\p{Space}", "upper": r"\p{Upper}", "word": r"\w", "xdigit": r"\p{XDigit}",
+}
+_PIECE = re.compile(
+    r"(?P<quoted>\\Q.*?(?:\\E|\Z))|(?P<escape>\\.)|\(\?P<(?P<group>\w+)>|\(\?P=(?P<back>\w+)\)|(?P<open>\((?!\?)|\(\?<(?![=!]))"
+    r"|(?P<start>\[\^?\]?)|(?P<rest>.)", re.S)
+_IN_CLASS = re.compile(r"\[:(?P<neg>\^?)(?P<named>\w+):\]|(?P<escape>\\.)|(?P<end>\])|(?P<nested>\[)|(?P<both>&&)|(?P<rest>.)", re.S)
+
+
+def engine_pattern(pattern: str) -> str:
+    """The pattern in the dialect of the engine that runs it (java.util.regex), group numbers kept.
 
-    One leading `^` and one trailing `$` are dropped. Without metacharacters that is all; else it is the first run of
-    three or more word characters, where escape pairs are skipped and a shorter run also swallows the character after
-    it. Alternation and optional characters make it unsound: see search.search_patterns.
+    `(?P<name>...)` and `(?P=name)` become numbered groups and references; inside a class `[:alpha:]` and its like are
+    translated, and `[` and `&&`, which are plain characters there, are escaped. All else stays.
     """
-    s = pattern.removeprefix("^")
-    s = s.removesuffix("$")
-    if not set(s) & set(".*+?[]{}()|\\"):
-        return s
-    word = [c.isascii() and (c.isalnum() or c == "_") for c in s]
-    at = 0
-    while at < len(s):
-        if s[at] == "\\" and at + 1 < len(s):
-            at += 2
+    out, at, groups, names = [], 0, 0, {}
+    while at < len(pattern):
+        m = _PIECE.match(pattern, at)
+        at = m.end()
+        if m["group"]:
+            groups += 1
+            names[m["group"]] = groups
+            out.append("(")
+        elif m["back"]:
+            if m["back"] not in names:
+                raise ValueError(f"unknown group {m['back']!r}")
+            out.append(rf"\{names[m['back']]}(?:)")
+        elif m["start"]:
+            out.append(m[0].replace("]", r"\]"))
+            closed = False
+            while not closed and at < len(pattern):
+                k = _IN_CLASS.match(pattern, at)
+                at = k.end()
+                closed = bool(k["end"])
+                if k["named"]:
+                    if k["named"] not in NAMED_CLASSES:
+                        raise ValueError(f"unknown character class {k[0]!r}")
+                    out.append(("[^%s]" if k["neg"] else "%s") % NAMED_CLASSES[k["named"]])
+                else:
+                    out.append({"[": r"\[", "&&": r"&\&"}.get(k[0], k[0]))
+        else:
+            groups += bool(m["open"])
+            out.append(m[0])
+    return "".join(out)
+
+
+def _held(parsed) -> list[str]:
+    """The runs of literal characters that every match of a parsed pattern holds; a run ends where anything else comes."""
+    runs = [""]
+    for op, value in parsed:
+        inner = []
+        if op is ops.LITERAL:
+            runs[-1] += chr(value)
             continue
-        end = at
-        while end < len(s) and word[end]:
-            end += 1
-        if end - at >= 3:
-            return s[at:end]
-        at = end + 1
-    return ""
+        if op is ops.AT:  # a place, no character
+            continue
+        if op is ops.SUBPATTERN:
+            inner = _held(value[-1])
+        elif op in (ops.MAX_REPEAT, ops.MIN_REPEAT, ops.POSSESSIVE_REPEAT) and value[0] > 0:
+            inner = _held(value[2])
+        elif op is ops.ATOMIC_GROUP:
+            inner = _held(value)
+        runs += [*inner, ""]
+    return runs
+
+
+def required_literal(pattern: str) -> str:
+    """Text that every match of the pattern holds, if case is set aside; empty if there is none of three characters.
+
+    Taken from the parsed pattern: what stands in one branch of several, or may be absent, is not required. Of a pattern
+    without operators all is required; of others the longest run of ASCII word characters.
+    """
+    try:
+        runs = _held(_parser.parse(engine_pattern(pattern)))
+    except (re.error, ValueError, OverflowError, RecursionError):  # another dialect: nothing is known
+        return ""
+    if len(runs) == 1 and "\\" not in pattern:
+        return runs[0]
+    words = [w for run in runs for w in re.findall(r"[A-Za-z0-9_]{3,}", run)]
+    return max(words, key=len, default="")

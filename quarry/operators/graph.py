@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import params, scalars
 from ..session import staged
@@ -23,16 +23,16 @@ def _like(column: Column, patterns: list[str]) -> Column:
     return found
 
 
-def bfs(edges: DataFrame, root: DataFrame, depth: int, direction: str = "callees") -> DataFrame:
+def bfs(edges: DataFrame, root: DataFrame, depth: int, direction: str = "callees", deepest: int = MAX_DEPTH) -> DataFrame:
     """(node long, depth int, kind string): each node within `depth` steps of the root ids, once, at its least depth.
 
     root: (id). Roots are no result. kind: the smallest kind of the edges from the level before. Depth is clamped to
-    0..3 and 0 gives no rows. Each level is one join of the edges with the frontier, which is broadcast only if the
+    0..deepest (3, as the tools ask) and 0 gives no rows. Each level is one join of the edges with the frontier, which is broadcast only if the
     adaptive plan finds it small; levels are written once, so none is computed again.
     """
     if direction not in ("callees", "callers"):
         raise ValueError(f"direction must be callees or callers, not {direction!r}")
-    depth = params.clamp(depth, 0, MAX_DEPTH)
+    depth = params.clamp(depth, 0, deepest)
     src, dst = ("caller_id", "callee_id") if direction == "callees" else ("callee_id", "caller_id")
     links = edges.select(F.col(src).alias("src"), F.col(dst).alias("node"), "kind").where("src is not null and node is not null")
     seen = frontier = root.select(F.col("id").alias("node")).distinct()
@@ -48,19 +48,37 @@ def bfs(edges: DataFrame, root: DataFrame, depth: int, direction: str = "callees
     return found if found is not None else edges.sparkSession.createDataFrame([], "node long, depth int, kind string")
 
 
-def call_tree(edges: DataFrame, symbols: DataFrame, root: DataFrame, depth: int = 1, direction: str = "callees", cap: int = MAX_EDGES) -> DataFrame:
+def bfs_many(edges: DataFrame, roots: DataFrame, depth: int, direction: str = "callees", deepest: int = MAX_DEPTH) -> DataFrame:
+    """(root long, node long, depth int): bfs() of each of a batch of roots(id), in one traversal."""
+    if direction not in ("callees", "callers"):
+        raise ValueError(f"direction must be callees or callers, not {direction!r}")
+    src, dst = ("caller_id", "callee_id") if direction == "callees" else ("callee_id", "caller_id")
+    links = edges.select(F.col(src).alias("src"), F.col(dst).alias("node")).where("src is not null and node is not null").distinct()
+    seen = frontier = roots.select(F.col("id").alias("root"), F.col("id").alias("node")).distinct()
+    found = None
+    for level in range(1, params.clamp(depth, 0, deepest) + 1):
+        step = links.join(frontier.withColumnRenamed("node", "src"), "src").select("root", "node").distinct()
+        new = staged(step.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(level)), f"level{level}")
+        frontier = new.select("root", "node")
+        seen = seen.unionByName(frontier)
+        found = new if found is None else found.unionByName(new)
+    return found if found is not None else edges.sparkSession.createDataFrame([], "root long, node long, depth int")
+
+
+def call_tree(edges: DataFrame, symbols: DataFrame, root: DataFrame, depth: int = 1, direction: str = "callees", cap: int | None = MAX_EDGES, deepest: int = MAX_DEPTH) -> DataFrame:
     """(depth, symbol_id, qualified_name, kind, edge_kind, file_path, start_line): the first `cap` by depth and id.
 
-    Nodes without a symbol do not show but are passed through.
+    cap None: all, in no order. Nodes without a symbol do not show but are passed through.
     """
-    nodes = bfs(edges, root, depth, direction).withColumnRenamed("kind", "edge_kind")
+    nodes = bfs(edges, root, depth, direction, deepest).withColumnRenamed("kind", "edge_kind")
     shown = symbols.select(F.col("id").alias("node"), "qualified_name", "kind", "file_path", "start_line").join(nodes, "node")
-    return shown.select("depth", F.col("node").alias("symbol_id"), "qualified_name", "kind", "edge_kind", "file_path", "start_line").orderBy("depth", "symbol_id").limit(cap)
+    rows = shown.select("depth", F.col("node").alias("symbol_id"), "qualified_name", "kind", "edge_kind", "file_path", "start_line")
+    return rows if cap is None else rows.orderBy("depth", "symbol_id").limit(cap)
 
 
-def blast_radius(edges: DataFrame, symbols: DataFrame, root: DataFrame, depth: int = 2) -> DataFrame:
-    """The callers up to `depth` (clamped to 1..3) as call_tree rows."""
-    return call_tree(edges, symbols, root, params.clamp(depth, 1, MAX_DEPTH), "callers")
+def blast_radius(edges: DataFrame, symbols: DataFrame, root: DataFrame, depth: int = 2, cap: int | None = None, deepest: int = MAX_DEPTH) -> DataFrame:
+    """All callers up to `depth` (clamped to 1..deepest) as call_tree rows; cap cuts the list as call_tree does."""
+    return call_tree(edges, symbols, root, params.clamp(depth, 1, deepest), "callers", cap, deepest)
 
 
 def blast_by_file(affected: DataFrame) -> DataFrame:
@@ -89,16 +107,32 @@ def neighbours(edges: DataFrame, symbols: DataFrame, ids: DataFrame, direction:
 
 
 def callee_names(edges: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(caller_id, names array): the names of a caller's callees, repeats kept, sorted."""
+    """(caller_id, name, times long): the names of a caller's callees and how many edges lead to each.
+
+    Rows and no list, as a caller may have any number of callees; counted on the map side first.
+    """
     named = edges.join(symbols.select(F.col("id").alias("callee_id"), "name"), "callee_id")
-    return named.groupBy("caller_id").agg(F.array_sort(F.collect_list("name")).alias("names"))
+    return named.groupBy("caller_id", "name").agg(F.count(F.lit(1)).alias("times"))
+
+
+def callee_words(edges: DataFrame, symbols: DataFrame, most: int = scalars.MAX_KEYWORDS) -> DataFrame:
+    """(caller_id, names array): the first `most` callees' names that can become keywords, lower-cased, distinct, sorted.
+
+    Keywords are the first 30 words of a sorted set, so no later name can be among them. The first of each of 16 salts
+    are found before a caller's names meet.
+    """
+    words = callee_names(edges, symbols).select("caller_id", F.lower("name").alias("name")).where(F.octet_length("name") > 2).distinct()
+    salted = words.withColumn("salt", F.pmod(F.xxhash64("name"), F.lit(16)))
+    some = salted.withColumn("r", F.row_number().over(Window.partitionBy("caller_id", "salt").orderBy("name"))).where(F.col("r") <= most)
+    best = some.withColumn("r", F.row_number().over(Window.partitionBy("caller_id").orderBy("name"))).where(F.col("r") <= most)
+    return best.groupBy("caller_id").agg(F.array_sort(F.collect_list("name")).alias("names"))
 
 
 def dead_code(edges: DataFrame, symbols: DataFrame, repo: str, file_path: str = "", kind: str = "", exclude_exported: bool = True, limit: int | None = 50) -> DataFrame:
     """The repository's symbols that no edge points to, by file, line and id.
 
     Entry points, variables and imports are left out, and exported names by default. An edge of any origin, a loop too,
-    keeps a symbol alive. limit: 50 if 0 or less, 200 at most.
+    keeps a symbol alive. limit: 50 if 0 or less, 200 at most; None gives all of them.
     """
     rows = symbols.where((F.col("repo_name") == repo) & ~F.col("kind").isin(NOT_CODE) & ~F.col("name").isin(ENTRY_POINTS))
     if file_path:
@@ -108,7 +142,8 @@ def dead_code(edges: DataFrame, symbols: DataFrame, repo: str, file_path: str =
     if exclude_exported:
         rows = rows.where(~scalars.exported(F.col("name")))
     called = edges.select(F.col("callee_id").alias("id")).where("id is not null")
-    return rows.join(called, "id", "left_anti").orderBy("file_path", "start_line", "id").limit(params.limit_or(limit, 50, 200))
+    dead = rows.join(called, "id", "left_anti").orderBy("file_path", "start_line", "id")
+    return dead if limit is None else dead.limit(params.limit_or(limit, 50, 200))
 
 
 def tests_for_symbol(edges: DataFrame, symbols: DataFrame, repo: str, target: DataFrame, name: str) -> DataFrame:
@@ -129,8 +164,8 @@ def tests_for_symbol(edges: DataFrame, symbols: DataFrame, repo: str, target: Da
     return direct.select(*columns).unionByName(fallback.select(*columns)).orderBy("file_path", "start_line", "symbol_id")
 
 
-def resolve_edges(raw: DataFrame, symbols: DataFrame, repo: str, attribution: str = "file") -> DataFrame:
-    """(caller_id, callee_id, kind) from raw edges (file_path, kind, symbol[, line]).
+def resolved(raw: DataFrame, symbols: DataFrame, repo: str, attribution: str = "file") -> DataFrame:
+    """(caller_id, callee_id, kind) from raw edges (file_path, kind, symbol[, line]), one row for each that resolves.
 
     The callee is found by name or qualified name in the whole repository; what is not found drops out. The caller is
     the first symbol of the file (`file`), or the narrowest symbol whose lines hold the edge's line (`enclosing`).
@@ -142,8 +177,14 @@ def resolve_edges(raw: DataFrame, symbols: DataFrame, repo: str, attribution: st
     known = raw.join(callee, "symbol")
     if attribution == "file":
         owners = first_symbols(own).select("file_path", F.col("id").alias("caller_id"))
-        return known.join(owners, "file_path").select("caller_id", "callee_id", "kind").distinct()
+        return known.join(owners, "file_path").select("caller_id", "callee_id", "kind")
     spans = own.select("file_path", F.col("id").alias("caller_id"), "start_line", "end_line")
-    inside = known.join(spans, (known.file_path == spans.file_path) & F.col("line").between(F.col("start_line"), F.col("end_line")))
-    narrow = inside.groupBy(known.file_path, "symbol", "callee_id", "kind", "line").agg(F.min_by("caller_id", F.struct(F.col("end_line") - F.col("start_line"), "caller_id")).alias("caller_id"))
-    return narrow.select("caller_id", "callee_id", "kind").distinct()
+    once = known.groupBy("file_path", "symbol", "callee_id", "kind", "line").agg(F.count(F.lit(1)).alias("times"))
+    inside = once.join(spans, "file_path").where(F.col("line").between(F.col("start_line"), F.col("end_line")))
+    narrow = inside.groupBy("file_path", "symbol", "callee_id", "kind", "line", "times").agg(F.min_by("caller_id", F.struct(F.col("end_line") - F.col("start_line"), "caller_id")).alias("caller_id"))
+    return narrow.select("caller_id", "callee_id", "kind", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int"))).alias("n")).drop("n")
+
+
+def resolve_edges(raw: DataFrame, symbols: DataFrame, repo: str, attribution: str = "file") -> DataFrame:
+    """resolved() with each edge once."""
+    return resolved(raw, symbols, repo, attribution).distinct()

@@ -7,12 +7,21 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import scalars
 
 
-def latest(rows: DataFrame, key: str, moment: str, columns: list[str] | None = None) -> DataFrame:
-    """One row for each key: the one with the greatest moment. Rows that came twice count once; null keys are dropped."""
-    rest = [c for c in (columns or rows.columns) if c not in (key, moment)]
-    best = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(moment, *rest)).alias("best"))
-    keep = [c for c in (columns or rows.columns)]
-    return best.select(*[F.col(key) if c == key else F.col(f"best.{c}").alias(c) for c in keep])
+def latest(rows: DataFrame, key: str, moment: str, columns: list[str] | None = None, constant: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each key: the one with the greatest moment. Rows that came twice count once; null keys are dropped.
+
+    constant: columns that all rows of a key agree in. They are grouped by, so a filter on them reaches the scan, and
+    what remains is a hash aggregate if nothing but the moment differs. A key that breaks the promise keeps a row for
+    each of its values.
+    """
+    keep = columns or rows.columns
+    same = [c for c in keep if c in constant and c not in (key, moment)]
+    rest = [c for c in keep if c not in (key, moment, *same)]
+    groups = rows.where(F.col(key).isNotNull()).groupBy(key, *same)
+    if not rest:
+        return groups.agg(F.max(moment).alias(moment)).select(*keep)
+    best = groups.agg(F.max(F.struct(moment, *rest)).alias("best"))
+    return best.select(*[F.col(c) if c == key or c in same else F.col(f"best.{c}").alias(c) for c in keep])
 
 
 def file_by_path(files: DataFrame, repo: str, path: str) -> DataFrame:
@@ -38,13 +47,22 @@ def symbols_of_file(symbols: DataFrame, repo: str, path: str) -> DataFrame:
     return symbols.where((F.col("repo_name") == repo) & (F.col("file_path") == path)).orderBy("start_line", "id")
 
 
+def skeleton(symbols: DataFrame, repo: str, paths: DataFrame) -> DataFrame:
+    """(file_path, symbol_id, name, qualified_name, kind, signature, start_line, end_line) of the files in paths(file_path)."""
+    own = symbols.where(F.col("repo_name") == repo).join(paths.select("file_path").distinct(), "file_path", "left_semi")
+    return own.select("file_path", F.col("id").alias("symbol_id"), "name", "qualified_name", "kind", scalars.signature(F.col("code_block")).alias("signature"), "start_line", "end_line")
+
+
 def symbols_by_ids(symbols: DataFrame, repo: str, ids: DataFrame) -> DataFrame:
     """The repository's symbols whose id is in ids(id)."""
     return symbols.where(F.col("repo_name") == repo).join(ids.select("id").distinct(), "id", "left_semi")
 
 
 def outline(symbols: DataFrame, repo: str) -> DataFrame:
-    """(file_path, n long, names): the names of each file in the order of their lines, joined by commas."""
+    """(file_path, n long, names): the names of each file in the order of their lines, joined by commas.
+
+    A file is at most MAX_FILE_BYTES long, which bounds its names.
+    """
     ordered = F.array_sort(F.collect_list(F.struct("start_line", "id", "name")))
     rows = symbols.where(F.col("repo_name") == repo).groupBy("file_path")
     return rows.agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(ordered, lambda s: s["name"]), ",").alias("names"))

@@ -8,10 +8,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import params, scalars
 from ..schema import MAX_NOTE
+from .running import row_numbers
 
 
 def save(memories: DataFrame, new: DataFrame, now: Column | datetime | None = None) -> DataFrame:
-    """memories with the rows of new(symbol_id, note, author) that are not refused; ids go on from the greatest.
+    """memories and new_rows(); a store that can append takes those alone."""
+    return memories.unionByName(new_rows(memories, new, now))
+
+
+def new_rows(memories: DataFrame, new: DataFrame, now: Column | datetime | None = None) -> DataFrame:
+    """The rows of new(symbol_id, note, author) that are not refused, as rows of memories; ids go on from the greatest.
 
     Refused: notes over 2,000 characters and notes that the symbol already has word for word, in the table or earlier in
     new; a null symbol is not checked. Other authors than agent and developer become agent.
@@ -21,13 +27,15 @@ def save(memories: DataFrame, new: DataFrame, now: Column | datetime | None = No
     bound = good.where("symbol_id is not null").dropDuplicates(["symbol_id", "note"])
     fresh = bound.join(memories.select("symbol_id", "note"), ["symbol_id", "note"], "left_anti").unionByName(good.where("symbol_id is null").select("symbol_id", "note", "author"))
     top = memories.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    from pyspark.sql import Window
-
-    numbered = fresh.withColumn("n", F.row_number().over(Window.orderBy("symbol_id", "note", "author"))).crossJoin(F.broadcast(top))  # new is a batch of calls
-    rows = numbered.select(
+    numbered = row_numbers(fresh, [], [F.col("symbol_id"), F.col("note"), F.col("author")], "n").join(F.broadcast(top))  # top is one row
+    return numbered.select(
         (F.col("top") + F.col("n")).alias("id"), "symbol_id", "note", "author", F.lit(False).alias("is_stale"), F.lit(None).cast("string").alias("stale_reason"),
         F.lit(None).cast("string").alias("last_known_symbol"), F.lit(None).cast("string").alias("last_known_file"), moment.alias("created_at"), moment.alias("updated_at"))
-    return memories.unionByName(rows)
+
+
+def of_symbols(memories: DataFrame, ids: DataFrame) -> DataFrame:
+    """Notes bound to the symbols in ids(id), newest first, ties by id."""
+    return memories.join(ids.select(F.col("id").alias("symbol_id")).distinct(), "symbol_id", "left_semi").select(*memories.columns).orderBy(F.desc("created_at"), "id")
 
 
 def paged(memories: DataFrame, offset: int = 0, limit: int | None = 20) -> DataFrame:
@@ -104,6 +112,14 @@ def purge_stale(memories: DataFrame, symbols: DataFrame, repo: str, orphaned_onl
 
 
 def orphans_by_key(memories: DataFrame) -> DataFrame:
-    """(last_known_symbol, last_known_file, ids array) of the notes without a symbol; nulls in the key drop out."""
+    """(last_known_symbol, last_known_file, notes long, first_id long) of the notes without a symbol; nulls in the key drop out.
+
+    The notes themselves are orphan_members(): a key may have any number of them, so they are rows and no list.
+    """
+    return orphan_members(memories).groupBy("last_known_symbol", "last_known_file").agg(F.count(F.lit(1)).alias("notes"), F.min("id").alias("first_id"))
+
+
+def orphan_members(memories: DataFrame) -> DataFrame:
+    """(last_known_symbol, last_known_file, id): each note without a symbol under its key."""
     rows = memories.where("symbol_id is null and last_known_symbol is not null and last_known_file is not null")
-    return rows.groupBy("last_known_symbol", "last_known_file").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    return rows.select("last_known_symbol", "last_known_file", "id")

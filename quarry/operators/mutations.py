@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from .running import running
 
 
 def upsert(table: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -58,6 +60,11 @@ def check_dimension(vectors: DataFrame, dimension: int) -> DataFrame:
 
 
 def running_total(calls: DataFrame, group: str, order: list[str], value: str) -> DataFrame:
-    """calls with `total`, the sum so far within the group of the values above 0."""
-    frame = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return calls.withColumn("total", F.sum(F.greatest(F.col(value), F.lit(0))).over(frame))
+    """calls with `total`, the sum so far within the group of the values above 0; a group may hold most of the rows."""
+    return running(calls, [group], [F.col(c) for c in order], F.greatest(F.col(value), F.lit(0)), "total")
+
+
+def batch_counts(items: DataFrame, group: str) -> DataFrame:
+    """(group, successes, errors) of batch items with a nullable `error`."""
+    bad = F.col("error").isNotNull().cast("long")
+    return items.groupBy(group).agg(F.sum(1 - bad).alias("successes"), F.sum(bad).alias("errors"))

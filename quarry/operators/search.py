@@ -1,21 +1,24 @@
-"""Ranked, pattern, full-text, vector and hybrid search."""
+"""Ranked, pattern, vector and hybrid search."""
 
 from __future__ import annotations
 
 import functools
-import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from py4j.protocol import Py4JJavaError
+from pyspark import StorageLevel
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import params, scalars
-from ..session import spread, staged
+from ..session import spread
+from .fulltext import fts_search  # noqa: F401 - part of the search interface
+from .running import row_numbers
 
-K1, B, RRF = 1.2, 0.75, 60
+RRF = 60
 
 
 def fuzzy(symbols: DataFrame, repo: str, query: str, limit: int | None = None) -> DataFrame:
@@ -30,7 +33,10 @@ def fuzzy(symbols: DataFrame, repo: str, query: str, limit: int | None = None) -
 
 
 def resolve(symbols: DataFrame, repo: str, name: str) -> DataFrame:
-    """At most one symbol: by exact name, else by exact qualified name, else the best fuzzy hit; ties by id."""
+    """At most one symbol: by exact name, else by exact qualified name, else the best fuzzy hit; ties by id.
+
+    A fuzzy hit holds the name as fuzzy() finds it: in any case, with `%` and `_` as wildcards.
+    """
     own = symbols.where(F.col("repo_name") == repo)
     n, q = F.col("name"), F.col("qualified_name")
     step = F.when(n == name, 0).when(q == name, 1).when(scalars.like_prefix(n, name), 2).otherwise(3)
@@ -41,44 +47,57 @@ def resolve(symbols: DataFrame, repo: str, name: str) -> DataFrame:
 def resolve_many(symbols: DataFrame, repo: str, names: DataFrame) -> DataFrame:
     """resolve() for each row of names(input), however many: (input, id), id null where nothing matches.
 
-    Exact names are joined by hash; only what they leave is compared with every symbol.
+    Exact names are joined by hash; only what they leave is compared with every symbol, by the same LIKE as resolve()'s.
     """
     own = symbols.where(F.col("repo_name") == repo).select("id", "name", "qualified_name")
     asked = names.select("input").where(F.col("input").isNotNull()).distinct()
     keys = own.select("id", F.explode(F.array(F.struct(F.lit(0).alias("step"), F.col("name").alias("input")), F.struct(F.lit(1).alias("step"), F.col("qualified_name").alias("input")))).alias("key"))
     exact = keys.select("id", "key.*").join(asked, "input").groupBy("input").agg(F.min(F.struct("step", "id")).alias("best"))
-    low = F.lower("input")
-    close = F.contains(F.lower("name"), low) | F.contains(F.lower("qualified_name"), low)
-    step = F.when(F.startswith(F.lower("name"), low), 2).otherwise(3)
-    guessed = own.join(asked.join(exact, "input", "left_anti"), close).groupBy("input").agg(F.min(F.struct(step.alias("step"), "id")).alias("best"))
+    part = F.concat(F.replace("input", F.lit("\\"), F.lit("\\\\")), F.lit("%"))
+    left = asked.join(exact, "input", "left_anti").select("input", part.alias("first"), F.concat(F.lit("%"), part).alias("anywhere"))
+    close = F.expr("name ilike anywhere or qualified_name ilike anywhere")
+    step = F.when(F.expr("name ilike first"), 2).otherwise(3)
+    guessed = own.join(left, close).groupBy("input").agg(F.min(F.struct(step.alias("step"), "id")).alias("best"))
     return names.join(exact.unionByName(guessed), "input", "left").select("input", F.col("best.id").alias("id"))
 
 
-def search_patterns(symbols: DataFrame, repo: str, pattern: str, prefix: str = "", kind: str = "", limit: int = 50, compatible: bool = False) -> DataFrame:
+def engine_regex(symbols: DataFrame, pattern: str) -> str:
+    """The pattern as the engine runs it; ValueError if the engine does not take it."""
+    text = params.engine_pattern(pattern)
+    try:
+        symbols.sparkSession._jvm.java.util.regex.Pattern.compile(text)
+    except (Py4JJavaError, IllegalArgumentException) as e:
+        raise ValueError(f"invalid pattern: {e}") from None
+    return text
+
+
+def search_patterns(symbols: DataFrame, repo: str, pattern: str, prefix: str = "", kind: str = "", limit: int | None = 50, compatible: bool = False) -> DataFrame:
     """Symbols whose code matches a regular expression: the first match with its byte offsets and a snippet.
 
     (id, qualified_name, kind, file_path, start_line, match_text, match_start, match_end, snippet), ordered by file, line
     and id. The snippet is the match with 25 bytes on either side, cut to whole characters, and ends in `...` beyond 200
-    bytes. limit of 0 or less gives no rows. With compatible, at most min(2 * limit, 200) symbols that contain the
-    literal of params.required_literal are looked at, which can lose rows; otherwise every symbol is.
+    bytes. limit of 0 or less gives no rows, None all of them. A symbol that lacks the literal of params.required_literal
+    cannot match and is not tried. With compatible, at most min(2 * limit, 200) symbols that hold the literal are looked
+    at, which can lose rows.
     """
-    re.compile(pattern)
+    regex = engine_regex(symbols, pattern)
     rows = symbols.where(F.col("repo_name") == repo)
     if prefix:
         rows = rows.where(scalars.like_prefix(F.col("file_path"), prefix))
     if kind:
         rows = rows.where(F.col("kind") == kind)
     order = ["file_path", "start_line", "id"]
+    literal = params.required_literal(pattern)
+    if literal:
+        rows = rows.where(scalars.like_any(F.col("code_block"), literal))
     if compatible:
-        literal = params.required_literal(pattern)
-        if literal:
-            rows = rows.where(scalars.like_any(F.col("code_block"), literal))
-        rows = rows.orderBy(*order).limit(min(2 * limit, 200) if limit > 0 else 50)
-    rows = rows.where(F.col("code_block").rlike(pattern))
-    text = F.regexp_substr("code_block", F.lit(pattern))
-    before = F.regexp_extract("code_block", rf"\A([\s\S]*?)(?:{pattern})", 1)  # positions of regexp_instr count UTF-16 units
+        rows = rows.orderBy(*order).limit(50 if limit is None or limit <= 0 else min(2 * limit, 200))
+    rows = rows.where(F.col("code_block").rlike(regex))
+    text = F.coalesce(F.regexp_substr("code_block", F.lit(regex)), F.lit(""))
+    # what stands before the first match; the pattern is in a look-ahead, so its groups keep their numbers
+    before = F.regexp_extract("code_block", rf"\A[\s\S]*?(?=(?:{regex}))", 0)
     start = F.octet_length(before)
-    first = rows.withColumn("match_text", F.coalesce(text, F.lit(""))).withColumn("match_start", start).withColumn("match_end", start + F.octet_length(F.coalesce(text, F.lit(""))))
+    first = rows.withColumn("match_text", text).withColumn("match_start", start).withColumn("match_end", start + F.octet_length(text))
     raw = F.encode("code_block", "utf-8")
     a, z = F.greatest(F.lit(0), F.col("match_start") - 25), F.least(F.octet_length("code_block"), F.col("match_end") + 25)
     wide = z - a
@@ -87,69 +106,7 @@ def search_patterns(symbols: DataFrame, repo: str, pattern: str, prefix: str = "
     tail = F.regexp_extract(F.decode(cut, "ISO-8859-1"), r"([\xC0-\xDF][\x80-\xBF]|[\xE0-\xEF][\x80-\xBF]{2}|[\xF0-\xF7][\x80-\xBF]{3})$", 1)
     snippet = F.concat(F.decode(F.encode(F.concat(whole, tail), "ISO-8859-1"), "UTF-8"), F.when(wide > 200, "...").otherwise(""))
     found = first.withColumn("snippet", snippet).select("id", "qualified_name", "kind", "file_path", "start_line", "match_text", "match_start", "match_end", "snippet")
-    return found.orderBy(*order).limit(max(limit, 0))
-
-
-# full text
-
-
-def terms(text: Column) -> Column:
-    """Lower-case runs of letters and digits; everything else, underscores too, separates."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-
-
-def fts_documents(symbols: DataFrame, callees: DataFrame | None = None) -> DataFrame:
-    """(symbol_id, repo_name, column int, text): the indexed texts of each symbol.
-
-    Columns: name, qualified name, kind, signature, keywords. callees: (caller_id, names array) adds to the keywords.
-    """
-    rows = symbols
-    names = F.array().cast("array<string>")
-    if callees is not None:
-        rows = rows.join(callees.select(F.col("caller_id").alias("id"), "names"), "id", "left")
-        names = F.coalesce("names", names)
-    words = scalars.keywords(F.col("code_block"), F.col("kind"), names)
-    texts = F.array("name", "qualified_name", "kind", scalars.signature(F.col("code_block")), words)
-    return rows.select(F.col("id").alias("symbol_id"), "repo_name", F.posexplode(texts).alias("column", "text"))
-
-
-def fts_search(documents: DataFrame, repo: str, query: str, limit: int | None = 10, stemmed: bool = False) -> DataFrame:
-    """(symbol_id, rank double): documents that hold the query as one phrase, by BM25, lower is better; ties by id.
-
-    documents: (symbol_id, repo_name, column, text). Counts and average length are over all repositories, the
-    repository filter comes after the match. A query without a term matches nothing. stemmed: both sides by Porter's
-    stemmer, which runs over the distinct terms only.
-    """
-    spark = documents.sparkSession
-    words = [w for w in re.split(r"[\W_]+", query.lower()) if w]
-    tokens = documents.select("symbol_id", "repo_name", "column", terms(F.col("text")).alias("terms"))
-    if stemmed:
-        from ..functions.stemmer import stem
-
-        words = [stem(w) for w in words]
-        tokens = _stemmed(tokens, stem)
-    sizes = tokens.groupBy("symbol_id", "repo_name").agg(F.sum(F.size("terms")).alias("length"))
-    totals = sizes.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean_length"))
-    if not words:
-        return spark.createDataFrame([], "symbol_id long, rank double")
-    spots = F.sequence(F.lit(1), F.size("terms") - (len(words) - 1))
-    at = F.filter(spots, lambda p: F.slice("terms", p, F.lit(len(words))) == F.array(*[F.lit(w) for w in words]))
-    occurs = F.when(F.size("terms") >= len(words), F.size(at)).otherwise(0)
-    hits = tokens.where(F.array_contains("terms", words[0])).select("symbol_id", occurs.alias("tf")).where("tf > 0").groupBy("symbol_id").agg(F.sum("tf").alias("tf"))
-    holding = hits.agg(F.count(F.lit(1)).alias("n_hits"))
-    idf = F.greatest(F.log((F.col("n_docs") - F.col("n_hits") + 0.5) / (F.col("n_hits") + 0.5)), F.lit(1e-6))
-    score = -idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    ranked = hits.join(sizes, "symbol_id").where(F.col("repo_name") == repo).crossJoin(F.broadcast(totals)).crossJoin(F.broadcast(holding))  # one row each
-    return ranked.select("symbol_id", score.alias("rank")).orderBy("rank", "symbol_id").limit(params.limit_or(limit, 10, 1 << 30))
-
-
-def _stemmed(tokens: DataFrame, stem) -> DataFrame:
-    @F.pandas_udf("array<string>")
-    def stems(lists: pd.Series) -> pd.Series:
-        known: dict[str, str] = {}
-        return lists.map(lambda words: [known.setdefault(w, stem(w)) for w in words])
-
-    return tokens.withColumn("terms", stems("terms"))
+    return found.orderBy(*order) if limit is None else found.orderBy(*order).limit(max(limit, 0))
 
 
 # vectors
@@ -159,13 +116,15 @@ def _products(matrix: np.ndarray, k: int, least: float | None):
     """(row of matrix, symbol_id, similarity) of the vectors of a batch: with k > 0 only the batch's best k of each row.
 
     Products in double precision; a vector of another length, or null, counts as 0; a product that is no number drops.
+    A symbol_id that comes twice in a batch counts once, so its copies take no place among the best.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
                 batch = whole.slice(at, 4096)
-                ids, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+                ids, first = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_index=True)
+                lists = batch.column(1).take(pa.array(first))
                 sizes = np.nan_to_num(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(float), nan=-1).astype(np.int64)
                 fits = np.flatnonzero(sizes == matrix.shape[1])
                 x = lists.take(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, matrix.shape[1])
@@ -185,12 +144,13 @@ def _products(matrix: np.ndarray, k: int, least: float | None):
 def knn(vectors: DataFrame, query: list[float], k: int = 10, least: float = 0.0, repo: str | None = None) -> DataFrame:
     """(symbol_id, similarity double): the k greatest dot products of at least `least`; k of 0 or less: all. Ties by id.
 
-    A vector of another length counts as 0. One pass in blocks, no shuffle but the top-k.
+    A vector of another length counts as 0. Scored in the scan, in blocks; only the best k of each block are shuffled.
+    Rows that repeat a symbol_id count once, by their greatest product.
     """
     rows = vectors if repo is None else vectors.where(F.col("repo_name") == repo)
     matrix = np.asarray([query], np.float64)
     scored = rows.where("symbol_id is not null").select("symbol_id", "embedding").mapInArrow(_products(matrix, k, least), "q long, symbol_id long, similarity double")
-    near = scored.select("symbol_id", "similarity").orderBy(F.desc("similarity"), "symbol_id")
+    near = scored.groupBy("symbol_id").agg(F.max("similarity").alias("similarity")).orderBy(F.desc("similarity"), "symbol_id")
     return near.limit(k) if k > 0 else near
 
 
@@ -198,9 +158,10 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, symbol_id, similarity, place) for a stated query set (query_id, query array), at most 10,000 rows.
 
     The query set is bounded, so it goes to every row as one matrix for each length of vector; the best k of each block
-    are kept before the shuffle. Vectors of another length than the query are no candidates.
+    are kept before the shuffle. Vectors of another length than the query are no candidates. Rows that repeat a
+    query_id or a symbol_id count once.
     """
-    stated = queries.select("query_id", "query").limit(10_001).collect()
+    stated = queries.select("query_id", "query").dropDuplicates(["query_id"]).limit(10_001).collect()
     if len(stated) > 10_000:
         raise ValueError("a query set holds at most 10,000 vectors")
     spark, parts = vectors.sparkSession, []
@@ -213,13 +174,40 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         parts.append(scored.join(F.broadcast(names), "q").drop("q"))  # as many rows as there are queries
     if not parts:
         return spark.createDataFrame([], "query_id long, symbol_id long, similarity double, place int")
-    salted = functools.reduce(DataFrame.unionByName, parts).withColumn("salt", F.pmod(F.xxhash64("symbol_id"), F.lit(64)))
+    once = functools.reduce(DataFrame.unionByName, parts).groupBy("query_id", "symbol_id").agg(F.max("similarity").alias("similarity"))
+    salted = once.withColumn("salt", F.pmod(F.xxhash64("symbol_id"), F.lit(64)))
     order = [F.desc("similarity"), F.col("symbol_id")]
     some = salted.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "salt").orderBy(*order))).where(F.col("r") <= k)
     best = some.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("place") <= k)
     return best.select("query_id", "symbol_id", "similarity", "place")
 
 
+class VectorCache:
+    """A repository's vectors kept in the executors' memory between searches, read again after a change.
+
+    Storage is MEMORY_AND_DISK, so what does not fit spills and a lost executor's part is read again. `version` names
+    the state of the stored table: a search with another version than the cached one drops it first, and invalidate()
+    drops it at once. One entry a repository.
+    """
+
+    def __init__(self):
+        self._held: dict[str, tuple[object, DataFrame]] = {}
+
+    def vectors(self, stored: DataFrame, repo: str, version: object) -> DataFrame:
+        held = self._held.get(repo)
+        if held and held[0] == version:
+            return held[1]
+        self.invalidate(repo)
+        rows = stored.where(F.col("repo_name") == repo).select("symbol_id", "repo_name", "embedding").persist(StorageLevel.MEMORY_AND_DISK)
+        self._held[repo] = (version, rows)
+        return rows
+
+    def invalidate(self, repo: str) -> None:
+        held = self._held.pop(repo, None)
+        if held:
+            held[1].unpersist()
+
+
 def _fused(v: DataFrame, t: DataFrame, keys: list[str]) -> DataFrame:
     """(*keys, score, similarity, source) of lists with their ranks rv and rt."""
     score = F.coalesce(1.0 / (RRF + F.col("rv")), F.lit(0.0)) + F.coalesce(1.0 / (RRF + F.col("rt")), F.lit(0.0))
@@ -227,15 +215,21 @@ def _fused(v: DataFrame, t: DataFrame, keys: list[str]) -> DataFrame:
     return v.join(t, keys, "full_outer").select(*keys, score.alias("score"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"), source.alias("source"))
 
 
+#: Hits of a single search's list that count; the tools ask for 150 at most.
+MOST_HITS = 10_000
+
+
 def rrf(vector_hits: DataFrame, text_hits: DataFrame, keep: int = 0) -> DataFrame:
-    """(symbol_id, score, similarity, source) of two ranked lists of bounded length, fused by reciprocal ranks.
+    """(symbol_id, score, similarity, source) of the two ranked lists of one search, fused by reciprocal ranks.
 
     vector_hits: (symbol_id, similarity), higher is better; text_hits: (symbol_id, rank), lower is better. Both are
-    top-k results, so their windows are small. source: vector, fts or both; similarity 0 for text hits. Order: score,
+    top-k results; the best MOST_HITS of each are taken, which bounds the windows over them. Longer lists, and many
+    searches at once, are for rrf_searches(), which has no bound. source: vector, fts or both; similarity 0 for text hits. Order: score,
     then id; keep > 0 cuts.
     """
-    v = vector_hits.withColumn("rv", F.row_number().over(Window.orderBy(F.desc("similarity"), "symbol_id")))
-    t = text_hits.withColumn("rt", F.row_number().over(Window.orderBy("rank", "symbol_id")))
+    one = Window.partitionBy(F.lit(1))
+    v = vector_hits.orderBy(F.desc("similarity"), "symbol_id").limit(MOST_HITS).withColumn("rv", F.row_number().over(one.orderBy(F.desc("similarity"), "symbol_id")))
+    t = text_hits.orderBy("rank", "symbol_id").limit(MOST_HITS).withColumn("rt", F.row_number().over(one.orderBy("rank", "symbol_id")))
     fused = _fused(v, t, ["symbol_id"]).orderBy(F.desc("score"), "symbol_id")
     return fused.limit(keep) if keep > 0 else fused
 
@@ -257,29 +251,13 @@ def hybrid(symbols: DataFrame, memories: DataFrame, vector_hits: DataFrame, text
     return shown.orderBy(F.desc("score"), "symbol_id").limit(top_k)
 
 
-def _ranked(hits: DataFrame, best_first: Column, into: str) -> DataFrame:
-    """hits with the rank of each in its search (query_id), from 1, ties by smaller symbol_id.
-
-    A search may hold most of the hits, so no window runs over a whole search: hits are range-partitioned by search and
-    order, numbered within the part, and shifted by the counts of the parts before.
-    """
-    parts = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = hits.repartitionByRange(parts, F.col("query_id"), best_first, F.col("symbol_id")).withColumn("part", F.spark_partition_id())
-    placed = staged(placed, "ranked")  # fixes the parts, which both uses below must see alike
-    numbered = placed.withColumn("in_part", F.row_number().over(Window.partitionBy("part", "query_id").orderBy(best_first, "symbol_id")))
-    sizes = placed.groupBy("query_id", "part").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("query_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    shift = sizes.select("query_id", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
-    return numbered.join(shift, ["query_id", "part"]).withColumn(into, F.col("in_part") + F.col("shift")).drop("part", "in_part", "shift")
-
-
 def rrf_searches(vector_hits: DataFrame, text_hits: DataFrame) -> DataFrame:
     """(query_id, symbol_id, score, similarity, source): rrf() of every search, of whatever size; in no order.
 
     vector_hits: (query_id, symbol_id, similarity); text_hits: (query_id, symbol_id, rank); a symbol once a search.
     """
-    v = _ranked(vector_hits, F.desc("similarity"), "rv")
-    t = _ranked(text_hits, F.asc("rank"), "rt")
+    v = row_numbers(vector_hits, ["query_id"], [F.desc("similarity"), F.col("symbol_id")], "rv")
+    t = row_numbers(text_hits, ["query_id"], [F.asc("rank"), F.col("symbol_id")], "rt")
     return _fused(v, t, ["query_id", "symbol_id"])
 
 

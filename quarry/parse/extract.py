@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
+import signal
+import threading
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.functions import udtf
 
 from . import languages
@@ -60,6 +64,45 @@ def edges_of(text: str, language: str) -> list[dict]:
     return [{"kind": e.kind, "symbol": e.symbol, "line": src.line(e.at)} for e in languages.EDGES[language](src)]
 
 
+#: Seconds that the parsing of one file may take; a file that takes longer has no rows and counts as an error.
+FILE_SECONDS = 5.0
+
+
+class TooSlow(Exception):
+    """A file was not parsed in time."""
+
+
+@contextlib.contextmanager
+def time_limit(seconds: float):
+    """Ends the block with TooSlow after so many seconds; without effect outside a process's main thread."""
+    if threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def stop(*_):
+        raise TooSlow
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def parsed(content, language: str, seconds: float = FILE_SECONDS) -> tuple[list[dict], list[dict], str | None]:
+    """(symbols, edges, error) of one file; a file nested beyond all measure or too slow has an error and no rows."""
+    try:
+        with time_limit(seconds):
+            text = _text(content)
+            return symbols_of(text, language), edges_of(text, language), None
+    except TooSlow:
+        return [], [], "timeout"
+    except (RecursionError, MemoryError) as e:
+        return [], [], type(e).__name__
+
+
 def _text(content) -> str:
     return content if isinstance(content, str) else bytes(content or b"").decode("utf-8", "replace")
 
@@ -70,8 +113,9 @@ def _rows(one, columns: list[str], with_language: bool):
             out = []
             for repo, path, language, content in zip(batch.repo_name, batch.path, batch.language, batch.content):
                 try:
-                    found = one(_text(content), language)
-                except RecursionError:  # a file nested beyond all measure has no rows
+                    with time_limit(FILE_SECONDS):
+                        found = one(_text(content), language)
+                except (RecursionError, TooSlow):  # a file nested beyond all measure, or too slow, has no rows
                     found = []
                 more = {"language": language} if with_language else {}
                 out += [{"repo_name": repo, "file_path": path, **more, **row} for row in found]
@@ -84,6 +128,48 @@ def _names(ddl: str) -> list[str]:
     return [field.split()[0] for field in ddl.split(", ")]
 
 
+_SYMBOL_FIELDS = "name string, qualified_name string, kind string, content_hash string, code_block string, start_line int, end_line int"
+_EDGE_FIELDS = "kind string, symbol string, line int"
+PARSED_ROW = f"repo_name string, file_path string, language string, symbols array<struct<{_SYMBOL_FIELDS.replace(' ', ':').replace(',:', ',')}>>, edges array<struct<{_EDGE_FIELDS.replace(' ', ':').replace(',:', ',')}>>, error string"
+
+
+def _arrow(fields: str) -> pa.DataType:
+    kinds = {"string": pa.string(), "int": pa.int32()}
+    return pa.list_(pa.struct([pa.field(n, kinds[k]) for n, k in (f.split() for f in fields.split(", "))]))
+
+
+def parse_files(files: DataFrame) -> DataFrame:
+    """(repo_name, file_path, language, symbols array, edges array, error): one row a file, which is read and parsed once.
+
+    files: (repo_name, path, language, content string or binary). error: null, `timeout` or what went wrong.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            repo, path, language, content = (batch.column(i).to_pylist() for i in range(4))
+            found = [parsed(c, lang) for c, lang in zip(content, language)]
+            arrays = [pa.array([f[0] for f in found], _arrow(_SYMBOL_FIELDS)), pa.array([f[1] for f in found], _arrow(_EDGE_FIELDS)), pa.array([f[2] for f in found], pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(repo, pa.string()), pa.array(path, pa.string()), pa.array(language, pa.string()), *arrays], names=["repo_name", "file_path", "language", "symbols", "edges", "error"])
+
+    return files.select("repo_name", "path", "language", "content").mapInArrow(run, PARSED_ROW)
+
+
+def symbol_rows(files: DataFrame) -> DataFrame:
+    """The symbols of parse_files() as rows of SYMBOL_ROW."""
+    rows = files.select("repo_name", "file_path", "language", F.explode("symbols").alias("s"))
+    return rows.select("repo_name", "s.name", "s.qualified_name", "s.kind", "file_path", "s.content_hash", "s.code_block", "s.start_line", "s.end_line", "language")
+
+
+def edge_rows(files: DataFrame) -> DataFrame:
+    """The raw edges of parse_files() as rows of EDGE_ROW."""
+    return files.select("repo_name", "file_path", F.explode("edges").alias("e")).select("repo_name", "file_path", "e.kind", "e.symbol", "e.line")
+
+
+def imports_of_files(edges: DataFrame) -> DataFrame:
+    """(repo_name, file_path, symbol): what each file imports, each once; of edge_rows() or extract_edges()."""
+    return edges.where("kind = 'import'").select("repo_name", "file_path", "symbol").distinct()
+
+
 def extract_symbols(files: DataFrame) -> DataFrame:
     """Symbols of files(repo_name, path, language, content string or binary)."""
     return files.select("repo_name", "path", "language", "content").mapInPandas(_rows(symbols_of, _names(SYMBOL_ROW), True), SYMBOL_ROW)

@@ -77,12 +77,12 @@ def _blast(spark: SparkSession, sf: str) -> DataFrame:
     return graph.blast_radius(view(spark, sf, "dependencies"), symbols(spark, sf), _root(spark, sf, "callee_id"))
 
 
-@query("SELECT file_path, count(*)::BIGINT AS affected FROM tree GROUP BY file_path", **_walk("callee_id", "caller_id", 2), tree=_TREE)
+@query("SELECT s.file_path, count(*)::BIGINT AS affected FROM reached r JOIN sym s ON s.id = r.node GROUP BY s.file_path", **_walk("callee_id", "caller_id", 2))
 def blast_by_file(spark: SparkSession, sf: str) -> DataFrame:
     return graph.blast_by_file(_blast(spark, sf))
 
 
-@query("SELECT depth, count(*)::BIGINT AS affected FROM tree GROUP BY depth", **_walk("callee_id", "caller_id", 2), tree=_TREE)
+@query("SELECT r.depth, count(*)::BIGINT AS affected FROM reached r JOIN sym s ON s.id = r.node GROUP BY r.depth", **_walk("callee_id", "caller_id", 2))
 def blast_by_depth(spark: SparkSession, sf: str) -> DataFrame:
     return graph.blast_by_depth(_blast(spark, sf))
 
@@ -93,20 +93,49 @@ def callee_join(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "dependencies").select("caller_id", "callee_id").join(names, "callee_id")
 
 
-@query("SELECT caller_id, string_agg(s.name, ',' ORDER BY s.name) AS names FROM dep d JOIN sym s ON s.id = d.callee_id GROUP BY caller_id")
+@query("SELECT caller_id, s.name, count(*)::BIGINT AS times FROM dep d JOIN sym s ON s.id = d.callee_id GROUP BY caller_id, s.name")
 def callee_names(spark: SparkSession, sf: str) -> DataFrame:
-    found = graph.callee_names(view(spark, sf, "dependencies"), symbols(spark, sf))
+    return graph.callee_names(view(spark, sf, "dependencies"), symbols(spark, sf))
+
+
+@query("SELECT caller_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(list(s.name), lambda n: lower(n)), lambda n: octet_length(encode(n)) > 2)))[1:30], ',') AS names FROM dep d JOIN sym s ON s.id = d.callee_id GROUP BY caller_id HAVING max(octet_length(encode(s.name))) > 2")
+def callee_words(spark: SparkSession, sf: str) -> DataFrame:
+    found = graph.callee_words(view(spark, sf, "dependencies"), symbols(spark, sf))
     return found.select("caller_id", F.array_join("names", ",").alias("names"))
 
 
+_MANY = {
+    "roots": "SELECT min(id) AS id FROM sym WHERE repo_name = $REPO GROUP BY kind",
+    "walk": "SELECT id AS root, id AS node, 0 AS depth FROM roots UNION SELECT w.root, d.callee_id, w.depth + 1 FROM walk w JOIN dep d ON d.caller_id = w.node WHERE w.depth < 2",
+    "best": "SELECT root, node, min(depth)::INTEGER AS depth FROM walk GROUP BY root, node",
+}
+
+
+@query("SELECT root, node, depth FROM best WHERE depth > 0", **_MANY)
+def bfs_of_a_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """Two levels from the first symbol of each kind, in one traversal."""
+    roots = symbols(spark, sf).where(F.col("repo_name") == REPO).groupBy("kind").agg(F.min("id").alias("id"))
+    return graph.bfs_many(view(spark, sf, "dependencies"), roots, 2)
+
+
+@query("SELECT d.caller_id, count(*)::BIGINT AS callees, count(DISTINCT s.id)::BIGINT AS known FROM dep d LEFT JOIN sym s ON s.id = d.callee_id WHERE d.caller_id IN (SELECT id FROM sym WHERE repo_name = $REPO) GROUP BY d.caller_id")
+def neighbours_of_repo(spark: SparkSession, sf: str) -> DataFrame:
+    """One hop from every symbol of the repository: its edges, and how many different symbols they reach."""
+    edges, rows = view(spark, sf, "dependencies"), symbols(spark, sf)
+    own = rows.where(F.col("repo_name") == REPO).select("id")
+    hops = graph.neighbours(edges, rows, own).groupBy(F.col("src").alias("caller_id")).agg(F.count_distinct("id").alias("known"))
+    out = edges.join(own.withColumnRenamed("id", "caller_id"), "caller_id", "left_semi").groupBy("caller_id").agg(F.count(F.lit(1)).alias("callees"))
+    return out.join(hops, "caller_id", "left").select("caller_id", "callees", F.coalesce("known", F.lit(0)).alias("known"))
+
+
 @query("SELECT d.caller_id AS symbol_id, s.qualified_name, s.file_path, s.start_line, d.kind AS edge_kind FROM dep d JOIN sym s ON s.id = d.caller_id JOIN root ON root.id = d.callee_id WHERE s.repo_name = $REPO", root=_ROOT.format("callee_id"))
 def usages_reverse(spark: SparkSession, sf: str) -> DataFrame:
     return graph.usages(view(spark, sf, "dependencies"), symbols(spark, sf), REPO, _root(spark, sf, "callee_id"))
 
 
-@query("SELECT id, qualified_name, file_path, start_line FROM sym WHERE repo_name = $REPO AND kind NOT IN ('variable', 'import') AND name NOT IN ('main', 'init', 'Init', 'Main') AND NOT regexp_matches(name, '^[A-Z]') AND id NOT IN (SELECT callee_id FROM dep) ORDER BY file_path, start_line, id LIMIT 200")
+@query("SELECT id, qualified_name, file_path, start_line FROM sym WHERE repo_name = $REPO AND kind NOT IN ('variable', 'import') AND name NOT IN ('main', 'init', 'Init', 'Main') AND NOT regexp_matches(name, '^[A-Z]') AND id NOT IN (SELECT callee_id FROM dep)")
 def dead_code_anti(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.dead_code(view(spark, sf, "dependencies"), symbols(spark, sf), REPO, limit=200).select("id", "qualified_name", "file_path", "start_line")
+    return graph.dead_code(view(spark, sf, "dependencies"), symbols(spark, sf), REPO, limit=None).select("id", "qualified_name", "file_path", "start_line")
 
 
 @query("SELECT repo_name, count(*)::BIGINT AS dead FROM sym WHERE kind NOT IN ('variable', 'import') AND id NOT IN (SELECT callee_id FROM dep) GROUP BY repo_name")
@@ -139,20 +168,20 @@ def tests_for_symbol_fallback(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT file_path, id AS symbol_id, name, kind, start_line, end_line, split_part(code_block, chr(10), 1) AS signature FROM sym WHERE repo_name = $REPO")
 def file_skeleton(spark: SparkSession, sf: str) -> DataFrame:
-    rows = symbols(spark, sf, True).where(F.col("repo_name") == REPO)
+    rows = symbols(spark, sf, "code_block").where(F.col("repo_name") == REPO)
     return rows.select("file_path", F.col("id").alias("symbol_id"), "name", "kind", "start_line", "end_line", scalars.signature(F.col("code_block")).alias("signature"))
 
 
 # changed lines
 
-_HUNKS = "SELECT file_path, (id % 60 + 1)::INTEGER AS start_line, (id % 5)::INTEGER AS line_count FROM rou WHERE file_path IS NOT NULL"
-_MET = "SELECT s.id, greatest(s.start_line, h.start_line) AS a, least(s.end_line, h.start_line + h.line_count - 1) AS z FROM sym s JOIN hunks h ON s.file_path = h.file_path AND h.line_count > 0 AND s.start_line <= h.start_line + h.line_count - 1 AND s.end_line >= h.start_line"
+_HUNKS = "SELECT repo_name, file_path, (id % 60 + 1)::INTEGER AS start_line, (id % 5)::INTEGER AS line_count FROM rou WHERE file_path IS NOT NULL"
+_MET = "SELECT s.id, greatest(s.start_line, h.start_line) AS a, least(s.end_line, h.start_line + h.line_count - 1) AS z FROM sym s JOIN hunks h ON s.repo_name = h.repo_name AND s.file_path = h.file_path AND h.line_count > 0 AND s.start_line <= h.start_line + h.line_count - 1 AND s.end_line >= h.start_line"
 
 
 def _hunks(spark: SparkSession, sf: str) -> DataFrame:
     """Changed ranges made from the routes: a few lines of each route's file."""
-    rows = view(spark, sf, "routes", ["id", "file_path"]).where("file_path is not null")
-    return rows.select("file_path", (F.col("id") % 60 + 1).cast("int").alias("start_line"), (F.col("id") % 5).cast("int").alias("line_count"))
+    rows = view(spark, sf, "routes", ["id", "repo_name", "file_path"]).where("file_path is not null")
+    return rows.select("repo_name", "file_path", (F.col("id") % 60 + 1).cast("int").alias("start_line"), (F.col("id") % 5).cast("int").alias("line_count"))
 
 
 @query("SELECT id, a AS \"first\", z AS \"last\" FROM met", hunks=_HUNKS, met=_MET)
@@ -162,12 +191,12 @@ def hunk_overlap_join(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "SELECT s.id AS symbol_id, s.qualified_name, l.changed AS changed_lines, CASE WHEN st.status = 'A' THEN 'added' WHEN st.status = 'D' THEN 'deleted' WHEN l.n >= s.end_line - s.start_line + 1 THEN 'added' ELSE 'modified' END AS change_type"
-    " FROM sym s JOIN lines l ON l.id = s.id LEFT JOIN status st ON st.file_path = s.file_path",
-    hunks=_HUNKS, met=_MET, status="SELECT file_path, CASE WHEN min(id) % 4 = 0 THEN 'A' ELSE 'M' END AS status FROM rou WHERE file_path IS NOT NULL GROUP BY file_path",
+    " FROM sym s JOIN lines l ON l.id = s.id LEFT JOIN status st ON st.repo_name = s.repo_name AND st.file_path = s.file_path",
+    hunks=_HUNKS, met=_MET, status="SELECT repo_name, file_path, CASE WHEN min(id) % 4 = 0 THEN 'A' ELSE 'M' END AS status FROM rou WHERE file_path IS NOT NULL GROUP BY repo_name, file_path",
     flat="SELECT id, a, z, row_number() OVER (ORDER BY id, a, z) AS hit, unnest(range(a, z + 1)) AS line FROM met", lines="SELECT id, count(*) AS n, string_agg(line::VARCHAR, ',' ORDER BY a, z, hit, line) AS changed FROM flat GROUP BY id",
 )
 def modified_symbols(spark: SparkSession, sf: str) -> DataFrame:
-    status = view(spark, sf, "routes", ["id", "file_path"]).where("file_path is not null").groupBy("file_path").agg(F.when(F.min("id") % 4 == 0, "A").otherwise("M").alias("status"))
+    status = view(spark, sf, "routes", ["id", "repo_name", "file_path"]).where("file_path is not null").groupBy("repo_name", "file_path").agg(F.when(F.min("id") % 4 == 0, "A").otherwise("M").alias("status"))
     found = diff.modified_symbols(symbols(spark, sf), _hunks(spark, sf), status)
     return found.select("symbol_id", "qualified_name", F.array_join(F.col("changed_lines").cast("array<string>"), ",").alias("changed_lines"), "change_type")
 
@@ -181,13 +210,19 @@ _SCORED = {
 }
 
 
-@query("SELECT def_id, call_id, confidence FROM scored WHERE confidence > 0", one="SELECT id, 'all' AS repo_name, upper(method) AS method, kind, regexp_replace(normalized_path, '^(/[a-z0-9]+).*(/[^/]*)$', '\\1\\2') AS normalized_path FROM rou", **{k: v.replace("$SIDE", "one") for k, v in _SCORED.items()})
-def route_match_across(spark: SparkSession, sf: str) -> DataFrame:
-    """Matches as if all routes, with shortened paths, belonged to one repository, so that every confidence occurs."""
+_SHORT = "SELECT id, 'all' AS repo_name, upper(method) AS method, kind, regexp_replace(normalized_path, '^(/[a-z0-9]+).*(/[^/]*)$', '\\1\\2') AS normalized_path FROM rou"
+
+
+def _one_repo(spark: SparkSession, sf: str) -> DataFrame:
+    """All routes, with shortened paths, as if they belonged to one repository, so that every confidence occurs."""
     rows = view(spark, sf, "routes", ["id", "method", "normalized_path", "kind"])
     short = F.regexp_replace("normalized_path", "^(/[a-z0-9]+).*(/[^/]*)$", "$1$2")
-    one = rows.select("id", F.lit("all").alias("repo_name"), F.upper("method").alias("method"), short.alias("normalized_path"), "kind")
-    return routes.match(one).drop("repo_name")
+    return rows.select("id", F.lit("all").alias("repo_name"), F.upper("method").alias("method"), short.alias("normalized_path"), "kind")
+
+
+@query("SELECT def_id, call_id, confidence FROM scored WHERE confidence > 0", one=_SHORT, **{k: v.replace("$SIDE", "one") for k, v in _SCORED.items()})
+def route_match_across(spark: SparkSession, sf: str) -> DataFrame:
+    return routes.match(_one_repo(spark, sf)).drop("repo_name")
 
 
 @query("SELECT repo_name, def_id, call_id, confidence FROM scored WHERE confidence > 0", **{k: v.replace("$SIDE", "rou") for k, v in _SCORED.items()})
@@ -195,16 +230,24 @@ def route_match_scored(spark: SparkSession, sf: str) -> DataFrame:
     return routes.match(view(spark, sf, "routes", ["id", "repo_name", "method", "normalized_path", "kind"]))
 
 
+@query(
+    "SELECT s.repo_name, d.method AS dm, d.normalized_path AS dp, c.method AS cm, c.normalized_path AS cp, s.confidence, count(DISTINCT d.id)::BIGINT AS defs, count(DISTINCT c.id)::BIGINT AS calls FROM scored s"
+    " JOIN one d ON d.id = s.def_id JOIN one c ON c.id = s.call_id WHERE confidence > 0 GROUP BY ALL", one=_SHORT, **{k: v.replace("$SIDE", "one") for k, v in _SCORED.items()})
+def route_match_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """The matches of route_match_across between classes of equal routes, with the members of each class counted."""
+    return routes.match_classes(_one_repo(spark, sf))
+
+
 @query("SELECT r.id, r.method, r.path_pattern, coalesce(s.qualified_name, '') AS handler FROM rou r LEFT JOIN sym s ON s.id = r.handler_symbol_id")
 def handler_left_lookup(spark: SparkSession, sf: str) -> DataFrame:
     rows = view(spark, sf, "routes", ["id", "method", "path_pattern", "handler_symbol_id"])
     return routes.with_handler(rows, symbols(spark, sf)).select("id", "method", "path_pattern", "handler")
 
 
-@query("SELECT id, method, normalized_path FROM rou WHERE repo_name = $REPO AND method = 'GET' AND (path_pattern ILIKE '%/api%' OR normalized_path ILIKE '%/api%') ORDER BY method, normalized_path, id LIMIT 50")
+@query("SELECT id, method, normalized_path FROM rou WHERE repo_name = $REPO AND method = 'GET' AND (path_pattern ILIKE '%/a%' OR normalized_path ILIKE '%/a%')")
 def find_routes(spark: SparkSession, sf: str) -> DataFrame:
     rows = view(spark, sf, "routes", ["id", "repo_name", "method", "path_pattern", "normalized_path", "file_path", "kind"])
-    return routes.find(rows, REPO, method="get", path="/api").select("id", "method", "normalized_path")
+    return routes.find(rows, REPO, method="get", path="/a", limit=None).select("id", "method", "normalized_path")
 
 
 # notes
@@ -281,10 +324,28 @@ def save_memory(spark: SparkSession, sf: str) -> DataFrame:
     return memories.save(notes, new, datetime(2025, 1, 1)).select("symbol_id", "note", "author")
 
 
-@query("SELECT last_known_symbol, last_known_file, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids FROM mem WHERE symbol_id IS NULL AND last_known_symbol IS NOT NULL AND last_known_file IS NOT NULL GROUP BY ALL")
+@query("SELECT last_known_symbol, last_known_file, count(*)::BIGINT AS notes, min(id) AS first_id FROM mem WHERE symbol_id IS NULL AND last_known_symbol IS NOT NULL AND last_known_file IS NOT NULL GROUP BY ALL")
 def orphan_groups(spark: SparkSession, sf: str) -> DataFrame:
-    found = memories.orphans_by_key(_notes(spark, sf))
-    return found.withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), ","))
+    return memories.orphans_by_key(_notes(spark, sf))
+
+
+@query("SELECT last_known_symbol, last_known_file, id FROM mem WHERE symbol_id IS NULL AND last_known_symbol IS NOT NULL AND last_known_file IS NOT NULL")
+def orphan_members(spark: SparkSession, sf: str) -> DataFrame:
+    return memories.orphan_members(_notes(spark, sf))
+
+
+@query("SELECT id, symbol_id, note FROM mem WHERE symbol_id IN (SELECT id FROM sym WHERE repo_name = $REPO)")
+def memories_by_symbol(spark: SparkSession, sf: str) -> DataFrame:
+    own = symbols(spark, sf).where(F.col("repo_name") == REPO).select("id")
+    return memories.of_symbols(_notes(spark, sf), own).select("id", "symbol_id", "note")
+
+
+@query("SELECT m.id, s.qualified_name FROM mem m JOIN sym s ON s.id = m.symbol_id WHERE s.repo_name = $REPO AND s.file_path = (SELECT min(file_path) FROM sym JOIN mem ON mem.symbol_id = sym.id WHERE repo_name = $REPO)")
+def memories_by_file(spark: SparkSession, sf: str) -> DataFrame:
+    rows, notes = symbols(spark, sf), _notes(spark, sf)
+    noted = rows.where(F.col("repo_name") == REPO).join(notes.select(F.col("symbol_id").alias("id")), "id", "left_semi")
+    path = noted.agg(F.min("file_path")).first()[0] or ""  # the parameter of the lookup
+    return memories.of_file(notes, rows, REPO, path).select("id", "qualified_name")
 
 
 # mutations
@@ -300,7 +361,7 @@ def upsert_files(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT repo_name, qualified_name, file_path, max(id) AS id, arg_max(content_hash, id) AS content_hash FROM sym GROUP BY repo_name, qualified_name, file_path")
 def replace_symbols_lastwins(spark: SparkSession, sf: str) -> DataFrame:
-    rows = symbols(spark, sf, True).select("repo_name", "qualified_name", "file_path", "id", "content_hash", F.col("id").alias("seq"))
+    rows = symbols(spark, sf, "content_hash").select("repo_name", "qualified_name", "file_path", "id", "content_hash", F.col("id").alias("seq"))
     return mutations.last_wins(rows, ["repo_name", "qualified_name", "file_path"], "seq")
 
 
@@ -340,26 +401,51 @@ def dimension_check(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "SELECT DISTINCT f.id AS caller_id, n.id AS callee_id, r.kind FROM raws r JOIN names n ON n.key = r.symbol JOIN firsts f ON f.file_path = r.file_path",
-    raws="SELECT file_path, 'call' AS kind, name AS symbol FROM sym WHERE repo_name = $REPO AND id % 2 = 0",
+    raws="SELECT file_path, 'call' AS kind, name AS symbol FROM sym WHERE repo_name = $REPO",
     names="SELECT key, max(id) AS id FROM (SELECT name AS key, id FROM sym WHERE repo_name = $REPO UNION ALL SELECT qualified_name, id FROM sym WHERE repo_name = $REPO) GROUP BY key",
     firsts="SELECT file_path, arg_min(id, start_line * 10000000000 + id) AS id FROM sym WHERE repo_name = $REPO GROUP BY file_path",
 )
 def name_index_resolve(spark: SparkSession, sf: str) -> DataFrame:
+    """Every raw reference of the repository."""
     rows = symbols(spark, sf)
-    raw = rows.where((F.col("repo_name") == REPO) & (F.col("id") % 2 == 0)).select("file_path", F.lit("call").alias("kind"), F.col("name").alias("symbol"))
+    raw = rows.where(F.col("repo_name") == REPO).select("file_path", F.lit("call").alias("kind"), F.col("name").alias("symbol"))
     return graph.resolve_edges(raw, rows, REPO)
 
 
+@query(
+    "SELECT DISTINCT (SELECT arg_min(o.id, struct_pack(w := o.end_line - o.start_line, id := o.id)) FROM own o WHERE o.file_path = r.file_path AND r.line BETWEEN o.start_line AND o.end_line) AS caller_id, n.id AS callee_id, 'call' AS kind FROM raws r JOIN names n ON n.key = r.symbol WHERE EXISTS (SELECT 1 FROM own o WHERE o.file_path = r.file_path AND r.line BETWEEN o.start_line AND o.end_line)",
+    own="SELECT id, name, qualified_name, file_path, start_line, end_line FROM sym WHERE repo_name = $REPO",
+    raws="SELECT file_path, name AS symbol, end_line + id % 7 - 3 AS line FROM own",
+    names="SELECT key, max(id) AS id FROM (SELECT name AS key, id FROM own UNION ALL SELECT qualified_name, id FROM own) GROUP BY key",
+)
+def enclosing_resolve(spark: SparkSession, sf: str) -> DataFrame:
+    """References from lines about the ends of symbols, each the call of the narrowest symbol around it; some lie between two."""
+    rows = symbols(spark, sf)
+    raw = rows.where(F.col("repo_name") == REPO).select("file_path", F.lit("call").alias("kind"), F.col("name").alias("symbol"), (F.col("end_line") + F.col("id") % 7 - 3).cast("int").alias("line"))
+    return graph.resolve_edges(raw, rows, REPO, "enclosing")
+
+
+@query("SELECT r.id, coalesce(s.name, '') AS handler_name FROM rou r LEFT JOIN sym s ON s.id = r.handler_symbol_id WHERE r.kind = 'definition'")
+def route_handler_names(spark: SparkSession, sf: str) -> DataFrame:
+    rows = view(spark, sf, "routes", ["id", "handler_symbol_id", "kind"]).where("kind = 'definition'")
+    names = symbols(spark, sf).select("id", F.col("name").alias("qualified_name"))
+    return routes.with_handler(rows, names).select("id", F.col("handler").alias("handler_name"))
+
+
+@query("SELECT symbol_id, repo_name FROM vec WHERE repo_name <> $REPO OR repo_name IS NULL")
+def vectors_without_repo(spark: SparkSession, sf: str) -> DataFrame:
+    """The vectors after one repository's were deleted."""
+    return mutations.without_repo(view(spark, sf, "vec_symbols"), REPO).select("symbol_id", "repo_name")
 
 
 @query(
-    "SELECT DISTINCT f.id AS caller_id, n.id AS callee_id, r.kind FROM raws r JOIN names n ON n.key = r.symbol JOIN firsts f ON f.file_path = r.file_path",
-    raws="SELECT file_path, 'call' AS kind, name AS symbol FROM sym WHERE repo_name = $REPO",
-    names="SELECT key, max(id) AS id FROM (SELECT name AS key, id FROM sym WHERE repo_name = $REPO UNION ALL SELECT qualified_name, id FROM sym WHERE repo_name = $REPO) GROUP BY key",
-    firsts="SELECT file_path, arg_min(id, start_line * 10000000000 + id) AS id FROM sym WHERE repo_name = $REPO GROUP BY file_path",
+    "SELECT symbol_id, repo_name, round(list_sum(list_transform(e, lambda x: x::DOUBLE)), 4) AS total FROM (SELECT v.symbol_id, v.repo_name, CASE WHEN v.symbol_id % 3 = 0 THEN list_reverse(v.embedding) ELSE v.embedding END AS e FROM good v UNION ALL SELECT -symbol_id, 'new', embedding FROM good WHERE symbol_id % 7 = 0)",
+    good="SELECT symbol_id, repo_name, embedding FROM vec WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: isnan(x))) = 0",
 )
-def name_index_resolve_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Every raw reference of the repository; name_index_resolve and its SQL take only those with an even id."""
-    rows = symbols(spark, sf)
-    raw = rows.where(F.col("repo_name") == REPO).select("file_path", F.lit("call").alias("kind"), F.col("name").alias("symbol"))
-    return graph.resolve_edges(raw, rows, REPO)
+def upsert_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """A batch of new vectors, some of them for symbols that have one."""
+    good = view(spark, sf, "vec_symbols").where(F.col("embedding").isNotNull() & ~F.exists("embedding", F.isnan))
+    new = good.where("symbol_id % 3 = 0").select("symbol_id", "repo_name", F.reverse("embedding").alias("embedding"))
+    more = good.where("symbol_id % 7 = 0").select((-F.col("symbol_id")).alias("symbol_id"), F.lit("new").alias("repo_name"), "embedding")
+    after = mutations.upsert(good, new.unionByName(more), ["symbol_id"])
+    return after.select("symbol_id", "repo_name", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))

@@ -151,13 +151,7 @@ def session_running_total(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT repo_name, count(*) FILTER (WHERE handler_symbol_id IS NOT NULL)::BIGINT AS successes, count(*) FILTER (WHERE handler_symbol_id IS NULL)::BIGINT AS errors FROM rou GROUP BY repo_name")
 def batch_success_counts(spark: SparkSession, sf: str) -> DataFrame:
     items = view(spark, sf, "routes", ["id", "repo_name", "handler_symbol_id"]).withColumn("error", F.when(F.col("handler_symbol_id").isNull(), "no handler"))
-    return batch_counts(items, "repo_name")
-
-
-def batch_counts(items: DataFrame, group: str) -> DataFrame:
-    """Successes and errors of batch items with a nullable `error`."""
-    bad = F.col("error").isNotNull().cast("long")
-    return items.groupBy(group).agg(F.sum(1 - bad).alias("successes"), F.sum(bad).alias("errors"))
+    return mutations.batch_counts(items, "repo_name")
 
 
 _DISK = "SELECT path, CASE WHEN id % 7 = 0 THEN concat(content_hash, 'x') ELSE content_hash END AS content_hash FROM fil WHERE repo_name = $REPO AND id % 11 <> 0"
@@ -197,12 +191,12 @@ def normalize_path(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT id, split_part(code_block, chr(10), 1) AS signature FROM sym")
 def signature_first_line(spark: SparkSession, sf: str) -> DataFrame:
-    return symbols(spark, sf, True).select("id", scalars.signature(F.col("code_block")).alias("signature"))
+    return symbols(spark, sf, "code_block").select("id", scalars.signature(F.col("code_block")).alias("signature"))
 
 
 @query("SELECT id, sha256(code_block) AS hash FROM sym")
 def content_hashes(spark: SparkSession, sf: str) -> DataFrame:
-    return symbols(spark, sf, True).select("id", scalars.content_hash(F.col("code_block")).alias("hash"))
+    return symbols(spark, sf, "code_block").select("id", scalars.content_hash(F.col("code_block")).alias("hash"))
 
 
 @query(
@@ -216,12 +210,12 @@ def content_hashes(spark: SparkSession, sf: str) -> DataFrame:
 )
 def keywords(spark: SparkSession, sf: str) -> DataFrame:
     none = F.array().cast("array<string>")
-    return symbols(spark, sf, True).select("id", scalars.keywords(F.col("code_block"), F.col("kind"), none).alias("keywords"))
+    return symbols(spark, sf, "code_block").select("id", scalars.keywords(F.col("code_block"), F.col("kind"), none).alias("keywords"))
 
 
 @query("SELECT id, kind || ' ' || qualified_name || ': ' || regexp_replace(split_part(code_block, chr(10), 1), '^\\s+|\\s+$', '', 'g') AS text FROM sym")
 def embed_text(spark: SparkSession, sf: str) -> DataFrame:
-    return symbols(spark, sf, True).select("id", scalars.embed_text(F.col("kind"), F.col("qualified_name"), F.col("code_block")).alias("text"))
+    return symbols(spark, sf, "code_block").select("id", scalars.embed_text(F.col("kind"), F.col("qualified_name"), F.col("code_block")).alias("text"))
 
 
 @query("SELECT id, CASE WHEN size_bytes > 0 THEN (size_bytes + 3) // 4 ELSE 0 END AS tokens, CASE WHEN size_bytes > 0 AND ((size_bytes + 3) // 4) * 3.0::DOUBLE / 1000000 >= 0.01 THEN printf('$%.2f', ((size_bytes + 3) // 4) * 3.0::DOUBLE / 1000000) ELSE '$0.00' END AS cost FROM fil")
@@ -233,16 +227,9 @@ def estimate_tokens_cost(spark: SparkSession, sf: str) -> DataFrame:
 _GOOD = "SELECT symbol_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM vec WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: isnan(x))) = 0"
 
 
-@query("SELECT symbol_id, round(CASE WHEN list_inner_product(e, e) < 1e-24 THEN 0 ELSE (e[1] + e[2] + e[3]) / sqrt(list_inner_product(e, e)) END, 6) AS head FROM good", good=_GOOD)
-def l2_normalize(spark: SparkSession, sf: str) -> DataFrame:
-    good = view(spark, sf, "vec_symbols").where(F.col("embedding").isNotNull() & ~F.exists("embedding", F.isnan))
-    unit = scalars.l2_normalize(F.col("embedding"))
-    return good.select("symbol_id", unit.alias("u")).select("symbol_id", F.round(F.col("u")[0] + F.col("u")[1] + F.col("u")[2], 6).alias("head"))
-
-
 @query("SELECT symbol_id, round(CASE WHEN list_inner_product(e, e) < 1e-24 THEN 0 ELSE list_sum(list_transform(range(1, len(e) + 1), lambda i: i * e[i])) / sqrt(list_inner_product(e, e)) END, 6) AS weighed FROM good", good=_GOOD)
-def l2_normalize_all(spark: SparkSession, sf: str) -> DataFrame:
-    """All components of every unit vector, summed by position; l2_normalize and its SQL add the first three."""
+def l2_normalize(spark: SparkSession, sf: str) -> DataFrame:
+    """All components of every unit vector, summed by position."""
     good = view(spark, sf, "vec_symbols").where(F.col("embedding").isNotNull() & ~F.exists("embedding", F.isnan))
     weighed = F.aggregate(F.transform("u", lambda x, i: (i + 1) * x), F.lit(0.0), lambda s, x: s + x)
     return good.select("symbol_id", scalars.l2_normalize(F.col("embedding")).alias("u")).select("symbol_id", F.round(weighed, 6).alias("weighed"))
@@ -259,8 +246,7 @@ def dot_mismatch_zero(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT DISTINCT query_id, '\"' || replace(query_text, '\"', '\"\"') || '\"' AS phrase FROM fts_results")
 def sanitize_fts(spark: SparkSession, sf: str) -> DataFrame:
-    quoted = F.concat(F.lit('"'), F.replace("query_text", F.lit('"'), F.lit('""')), F.lit('"'))
-    return table(spark, sf, "fts_results").select("query_id", quoted.alias("phrase")).distinct()
+    return table(spark, sf, "fts_results").select("query_id", scalars.phrase(F.col("query_text")).alias("phrase")).distinct()
 
 
 @query("SELECT id, CASE WHEN author IN ('agent', 'developer') THEN author ELSE 'agent' END AS author, strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') AS created FROM mem")
@@ -283,7 +269,7 @@ def markdown_sections(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT doc_id, len(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> ''))::INTEGER AS words FROM documents WHERE text IS NOT NULL")
 def tokenize_words(spark: SparkSession, sf: str) -> DataFrame:
-    from ..operators.search import terms
+    from ..operators.fulltext import terms
 
     return table(spark, sf, "documents").where("text is not null").select("doc_id", F.size(terms(F.col("text"))).alias("words"))
 
@@ -293,7 +279,7 @@ def mock_embed(spark: SparkSession, sf: str) -> DataFrame:
     """Unit vectors of the hashing embedder for every symbol's embedding text."""
     from ..functions.embedders import hash_embedding
 
-    rows = spread(symbols(spark, sf, True))
+    rows = spread(symbols(spark, sf, "code_block"))
     return rows.select(F.col("id").alias("symbol_id"), hash_embedding(scalars.embed_text(F.col("kind"), F.col("qualified_name"), F.col("code_block"))).alias("embedding"))
 
 
@@ -306,7 +292,7 @@ def wordpiece(spark: SparkSession, sf: str) -> DataFrame:
 
     words = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "function", "class", "return", "def", "func", *string.ascii_lowercase, *string.digits, *"(){}:,.*_", *("##" + c for c in string.ascii_lowercase + string.digits)]
     tokenizer = WordPiece({w: i for i, w in enumerate(words)})
-    rows = spread(symbols(spark, sf, True))
+    rows = spread(symbols(spark, sf, "code_block"))
     return rows.select(F.col("id").alias("symbol_id"), wordpiece_ids(scalars.embed_text(F.col("kind"), F.col("qualified_name"), F.col("code_block")), tokenizer).alias("ids"))
 
 

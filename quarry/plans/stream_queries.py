@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import shared_dir, spread, table
+from ..session import scratch, spread, table
 from ..sources import walk
 from ..streaming import watch
 from .views import sql
@@ -49,7 +47,7 @@ def dedup_pending(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT event_type, count(*)::BIGINT AS n FROM events GROUP BY event_type")
 def stream_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Counts by type, taken through a stream of the event files and one micro-batch after another."""
-    out = f"{shared_dir(spark)}/quarry-stream-{uuid.uuid4().hex[:12]}"
+    out = scratch(spark, "stream")
     source = f"{sf.rstrip('/')}/events.parquet"
     events = watch.read_events(spark, source, table(spark, sf, "events").schema)
 
@@ -64,7 +62,7 @@ def stream_counts(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def stream_incremental_index(spark: SparkSession, sf: str) -> DataFrame:
     """The paths handed to the index, flush by flush, of a stream of change events."""
-    out = f"{shared_dir(spark)}/quarry-stream-{uuid.uuid4().hex[:12]}"
+    out = scratch(spark, "stream")
     raw = watch.read_events(spark, f"{sf.rstrip('/')}/events.parquet", table(spark, sf, "events").schema)
     path = F.concat(F.lit("src/user_"), F.col("user_id").cast("string"), F.lit(".go"))
     operation = F.when(F.col("event_type") == "click", "write").when(F.col("event_type") == "error", "chmod").otherwise("create")

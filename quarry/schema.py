@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-_TYPES = {"long": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType(), "array<float>": T.ArrayType(T.FloatType())}
+_TYPES = {"long": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType(), "array<float>": T.ArrayType(T.FloatType()), "array<int>": T.ArrayType(T.IntegerType())}
 
 
 def _struct(text: str) -> T.StructType:
@@ -28,10 +28,18 @@ ROUTES = _struct(
     "id long, repo_name string, method string, path_pattern string, normalized_path string, handler_symbol_id long,"
     " file_path string, start_line int, framework string, kind string, indexed_at timestamp"
 )
-HUNKS = _struct("file_path string, start_line int, line_count int")
+HUNKS = _struct("repo_name string, file_path string, start_line int, line_count int")
+EVENTS = _struct("path string, ts timestamp, op string")
 RAW_EDGES = _struct("file_path string, kind string, symbol string")
 
-TABLES = {"files": FILES, "symbols": SYMBOLS, "dependencies": DEPENDENCIES, "memories": MEMORIES, "vec_symbols": VECTORS, "routes": ROUTES}
+POSTINGS = _struct("term string, symbol_id long, repo_name string, file_path string, column int, place int")
+LENGTHS = _struct("symbol_id long, repo_name string, file_path string, length long")
+
+TABLES = {
+    "files": FILES, "symbols": SYMBOLS, "dependencies": DEPENDENCIES, "memories": MEMORIES, "vec_symbols": VECTORS, "routes": ROUTES, "fts_postings": POSTINGS, "fts_lengths": LENGTHS,
+}
+#: The layout of the stored tables; a store of an older one is brought up to it.
+SCHEMA_VERSION = 2
 
 SYMBOL_KINDS = ("function", "class", "method", "interface", "type", "variable")
 EDGE_KINDS = ("call", "extends", "implements")

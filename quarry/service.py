@@ -1,7 +1,8 @@
 """The engine's service: one method for each of its seventeen tools, answers as plain dictionaries.
 
 Bad input gives {"error": ...}, never an exception; batch tools give an error for each item. The work is distributed, the
-answer is collected: most tools limit it, but usages, tests and modified symbols list all there are, as one answer.
+answer is collected: at most MAX_ROWS rows of a list, and an answer that leaves out more says `truncated`. Counts beside
+a list are of all there is.
 """
 
 from __future__ import annotations
@@ -18,13 +19,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import __version__
 from .functions import params, scalars
-from .functions.embedders import hash_vectors
+from .functions.embedders import Embedder, load_embedder
 from .index_job import index
-from .operators import diff, graph, lookup, memories, routes, search
+from .operators import diff, fulltext, graph, lookup, memories, routes, search
+from .session import staged
 from .sources import gitdiff
 from .store import Store
 
 TIMEOUT_S, REINDEX_TIMEOUT_S = 30, 300
+#: Rows of one list in an answer.
+MAX_ROWS = 10_000
 MEMORY_TOOLS = ["save_symbol_memory", "get_symbol_memories", "purge_stale_memories"]
 TOOLS = ["ping", "reindex_project", "get_modified_symbols", "get_tests_for_symbol", "read_architecture_rules", "get_code_by_symbol", "semantic_search_symbols", "get_file_skeleton", "get_symbol_usages", "get_call_tree", "find_dead_code", "get_blast_radius", "find_http_routes", "search_code_patterns", *MEMORY_TOOLS]
 
@@ -74,22 +78,41 @@ def tool(timeout_s: int = TIMEOUT_S):
 class Service:
     """Tools over the stored tables of one repository."""
 
-    def __init__(self, spark: SparkSession, store: Store, root: str, repo: str, tools: tuple[str, ...] = ()):
+    def __init__(self, spark: SparkSession, store: Store, root: str, repo: str, tools: tuple[str, ...] = (), embedder: str | Embedder = "hash"):
         self.spark, self.store, self.root, self.repo, self.tools = spark, store, root, repo, tools
+        self.embedder = load_embedder(embedder) if isinstance(embedder, str) else embedder
+        self.cache = search.VectorCache()
         self.session_saved = 0
 
     # shared parts
 
     @property
     def symbols(self) -> DataFrame:
-        return self.store.read("symbols")
+        return self.store.read("symbols", self.repo)
 
     @property
     def edges(self) -> DataFrame:
-        return self.store.read("dependencies")
+        return self.store.read("dependencies", self.repo)
+
+    def _rows(self, df: DataFrame, most: int = MAX_ROWS) -> list[dict]:
+        """The first rows of a list; what ends a longer one is a row {"truncated": True}, which _list() takes off."""
+        found = [r.asDict(recursive=True) for r in df.take(most + 1)]
+        return found if len(found) <= most else [*found[:most], {"truncated": True}]
+
+    def _list(self, answer: dict, name: str, df: DataFrame) -> list[dict]:
+        found = self._rows(df)
+        if found and "truncated" in found[-1]:
+            found.pop()
+            answer["truncated"] = True
+        answer[name] = found
+        return found
 
-    def _rows(self, df: DataFrame) -> list[dict]:
-        return [r.asDict(recursive=True) for r in df.collect()]
+    def _inside(self, path: str) -> str:
+        """The file's place, if it exists and lies under the root."""
+        full = os.path.realpath(os.path.join(self.root, path))
+        if not full.startswith(os.path.realpath(self.root) + os.sep) or not os.path.isfile(full):
+            raise ToolError(f"file {path!r} does not exist")
+        return full
 
     def _resolve(self, name: str) -> DataFrame:
         if not name or not name.strip():
@@ -103,7 +126,7 @@ class Service:
         size = 0
         if paths:
             named = self.spark.createDataFrame([(p,) for p in sorted(paths)], "file_path string")
-            size = lookup.file_bytes(named, self.store.read("files"), self.repo).first()[0]
+            size = lookup.file_bytes(named, self.store.read("files", self.repo), self.repo).first()[0]
         sent = len(json.dumps(answer, default=str).encode()) if response_bytes is None else response_bytes
         tokens = lambda n: -(-n // scalars.BYTES_PER_TOKEN) if n > 0 else 0
         saved = max(0, tokens(size) - tokens(sent))
@@ -116,18 +139,26 @@ class Service:
 
     @tool()
     def ping(self) -> dict:
-        return {"status": "ok", "version": __version__, "repo_name": self.repo, "symbols": self.symbols.where(F.col("repo_name") == self.repo).count()}
+        return {"status": "ok", "version": __version__, "repo_name": self.repo, "symbols": self.symbols.count()}
 
     @tool(REINDEX_TIMEOUT_S)
     def reindex_project(self, force: bool = False) -> dict:
-        return vars(index(self.spark, self.root, self.repo, self.store, force)).copy()
+        stats = vars(index(self.spark, self.root, self.repo, self.store, force, self.embedder)).copy()
+        self.store.vacuum()
+        self.cache.invalidate(self.repo)
+        return stats
+
+    def flush(self, paths: DataFrame, number: int = 0) -> None:
+        """What a watcher calls with the paths(path) of a quiet moment: they alone are indexed."""
+        index(self.spark, self.root, self.repo, self.store, embed=self.embedder, only=paths)
+        self.cache.invalidate(self.repo)
 
     @tool()
     def get_modified_symbols(self, base_ref: str = "HEAD", include_staged: bool = True) -> dict:
-        files, hunks = gitdiff.diff_tables(self.spark, self.root, base_ref, include_staged)
-        own = self.symbols.where(F.col("repo_name") == self.repo)
-        found = self._rows(diff.modified_symbols(own, hunks, files).orderBy("file_path", "start_line", "symbol_id"))
-        return {"symbols": found, "symbol_count": len(found), "base_ref": base_ref}
+        files, hunks = gitdiff.diff_tables(self.spark, self.root, self.repo, base_ref, include_staged)
+        answer = {"base_ref": base_ref}
+        found = self._list(answer, "symbols", diff.modified_symbols(self.symbols, hunks, files).orderBy("file_path", "start_line", "symbol_id"))
+        return answer | {"symbol_count": len(found)}
 
     @tool()
     def get_tests_for_symbol(self, symbol_name: str, include_code: bool = False) -> dict:
@@ -135,38 +166,49 @@ class Service:
         tests = graph.tests_for_symbol(self.edges, self.symbols, self.repo, target, symbol_name)
         if include_code:
             tests = tests.join(self.symbols.select(F.col("id").alias("symbol_id"), "code_block"), "symbol_id").orderBy("file_path", "start_line", "symbol_id")
-        found = self._rows(tests)
-        return {"symbol": symbol_name, "tests": found, "test_count": len(found)}
+        answer = {"symbol": symbol_name}
+        found = self._list(answer, "tests", tests)
+        return answer | {"test_count": len(found)}
 
     @tool()
     def read_architecture_rules(self, name: str = "ARCHITECTURE.md") -> dict:
         from .sources.markdown import sections
 
-        path = os.path.join(self.root, name)
-        if not os.path.exists(path):
-            raise ToolError(f"{name} does not exist")
-        with open(path, encoding="utf-8", errors="replace") as f:
+        with open(self._inside(name), encoding="utf-8", errors="replace") as f:
             text = self.spark.createDataFrame([(0, f.read())], "doc_id int, text string")
         return {"file": name, "sections": [{"title": r["title"], "content": r["content"]} for r in self._rows(sections(text).orderBy("position"))]}
 
     @tool()
     def get_code_by_symbol(self, symbol_name, depth: int = 1) -> dict:
-        """One item a name: its symbol, the symbols it depends on up to depth (clamped to 0..3), and its notes."""
+        """One item a name: its symbol, the symbols it depends on up to depth (clamped to 0..3), and its notes.
+
+        All names are resolved, traversed and joined at once, so a batch takes as many jobs as one name.
+        """
         names, depth = params.string_or_list(symbol_name), params.clamp(depth, 0, graph.MAX_DEPTH)
-        items, paths, symbols = [], set(), self.symbols
-        for name in names:  # a batch of at most 50 names
-            hit = self._rows(search.resolve(symbols, self.repo, name)) if name.strip() else []
-            if not hit:
+        asked = self.spark.createDataFrame([(n,) for n in dict.fromkeys(names) if n.strip()], "input string")
+        ids = {r.input: r.id for r in search.resolve_many(self.symbols, self.repo, asked).collect() if r.id is not None}
+        roots = self.spark.createDataFrame([(i,) for i in sorted(set(ids.values()))], "id long")
+        own = {r["id"]: r for r in self._rows(lookup.symbols_by_ids(self.symbols, self.repo, roots))}
+        deps: dict[int, list] = {}
+        notes: dict[int, list] = {}
+        answer: dict = {}
+        if own:
+            reached = graph.bfs_many(self.edges, roots, depth).where("root <> node").select("root", F.col("node").alias("id"), "depth")
+            for r in self._list(answer, "rows", self.symbols.join(reached, "id").orderBy("root", "depth", "id")):
+                deps.setdefault(r.pop("root"), []).append(r)
+            for r in self._list(answer, "rows", memories.of_symbols(self.store.read("memories"), roots)):
+                notes.setdefault(r["symbol_id"], []).append(r)
+            answer.pop("rows")
+        items, paths = [], set()
+        for name in names:
+            if ids.get(name) not in own:
                 items.append({"input": name, "error": f"symbol {name!r} was not found"})
                 continue
-            own = hit[0]
-            root = self.spark.createDataFrame([(own["id"],)], "id long")
-            deps = self._rows(symbols.join(graph.bfs(self.edges, root, depth).select(F.col("node").alias("id"), "depth"), "id").orderBy("depth", "id"))
-            notes = self._rows(self.store.read("memories").where(F.col("symbol_id") == own["id"]).orderBy(F.desc("created_at"), "id"))
-            items.append({"input": name, "data": {"symbol": own, "dependencies": deps, "memories": notes}})
-            paths |= {own["file_path"], *(d["file_path"] for d in deps)}
+            i = ids[name]
+            items.append({"input": name, "data": {"symbol": own[i], "dependencies": deps.get(i, []), "memories": notes.get(i, [])}})
+            paths |= {own[i]["file_path"], *(d["file_path"] for d in deps.get(i, []))}
         good = sum("data" in i for i in items)
-        return self._with_savings({"results": items, "success_count": good, "error_count": len(items) - good}, paths)
+        return self._with_savings(answer | {"results": items, "success_count": good, "error_count": len(items) - good}, paths)
 
     @tool()
     def semantic_search_symbols(self, query: str, top_k: int = 10, kind: str = "", file_path_prefix: str = "", min_similarity: float = 0.3, compatible: bool = False) -> dict:
@@ -174,36 +216,49 @@ class Service:
             raise ToolError("query is required")
         top_k = params.in_range_or(top_k, 1, 50, 10)
         least = params.in_range_or(min_similarity, 0.0, 1.0, 0.3)
-        vector = [float(x) for x in hash_vectors([query])[0]]
-        near = search.knn(self.store.read("vec_symbols"), vector, 3 * top_k, least, self.repo)
-        own = self.symbols
-        callees = graph.callee_names(self.edges, own)
-        text = search.fts_search(search.fts_documents(own, callees), self.repo, query, 3 * top_k, stemmed=True)
-        found = self._rows(search.hybrid(own, self.store.read("memories"), near, text, top_k, kind, file_path_prefix, compatible))
+        made = self.store.meta(f"embedder:{self.repo}")
+        if made and made != [self.embedder.name, self.embedder.dimension]:
+            raise ToolError(f"the vectors were made by {made[0]} with {made[1]} numbers: index the project with {self.embedder.name} first")
+        vector = [float(x) for x in self.embedder.vectors([query])[0]]
+        vectors = self.cache.vectors(self.store.read("vec_symbols", self.repo), self.repo, self.store.version("vec_symbols", self.repo))
+        near = search.knn(vectors, vector, 3 * top_k, least)
+        text = fulltext.search(self.store.read("fts_postings"), self.store.read("fts_lengths"), self.repo, query, 3 * top_k, stemmed=True)
+        found = self._rows(search.hybrid(self.symbols, self.store.read("memories"), near, text, top_k, kind, file_path_prefix, compatible))
         return self._with_savings({"results": found, "result_count": len(found)}, {r["file_path"] for r in found})
 
     @tool()
     def get_file_skeleton(self, file_path) -> dict:
-        paths, items, seen = params.string_or_list(file_path), [], set()
-        for path in paths:
-            if not path.strip():
-                items.append({"input": path, "error": "file path is empty"})
-                continue
-            full = os.path.realpath(os.path.join(self.root, path))
-            if not full.startswith(os.path.realpath(self.root) + os.sep) or not os.path.exists(full):
-                items.append({"input": path, "error": f"file {path!r} does not exist"})
-                continue
-            rows = lookup.symbols_of_file(self.symbols, self.repo, path)
-            found = self._rows(rows.select("name", "qualified_name", "kind", scalars.signature(F.col("code_block")).alias("signature"), "start_line", "end_line"))
-            items.append({"input": path, "data": {"symbols": found}} if found else {"input": path, "error": f"no symbols in {path!r}"})
-            seen.add(path)
+        """One item a path: its symbols' signatures. All files are read in one job."""
+        asked, errors = params.string_or_list(file_path), {}
+        for path in asked:
+            try:
+                if not path.strip():
+                    raise ToolError("file path is empty")
+                self._inside(path)
+            except ToolError as e:
+                errors[path] = str(e)
+        wanted = self.spark.createDataFrame([(p,) for p in dict.fromkeys(asked) if p not in errors], "file_path string")
+        answer: dict = {}
+        held: dict[str, list] = {}
+        for r in self._list(answer, "rows", lookup.skeleton(self.symbols, self.repo, wanted).orderBy("file_path", "start_line", "symbol_id")):
+            held.setdefault(r.pop("file_path"), []).append(r)
+        answer.pop("rows")
+        items = []
+        for path in asked:
+            if path in held:
+                items.append({"input": path, "data": {"symbols": held[path]}})
+            else:
+                items.append({"input": path, "error": errors.get(path, f"no symbols in {path!r}")})
         good = sum("data" in i for i in items)
-        return self._with_savings({"results": items, "success_count": good, "error_count": len(items) - good}, seen)
+        return self._with_savings(answer | {"results": items, "success_count": good, "error_count": len(items) - good}, {p for p in asked if p not in errors})
 
     @tool()
     def get_symbol_usages(self, symbol_name: str) -> dict:
-        found = self._rows(graph.usages(self.edges, self.symbols, self.repo, self._resolve(symbol_name)))
-        return self._with_savings({"symbol": symbol_name, "usages": found, "usage_count": len(found)}, {r["file_path"] for r in found})
+        answer = {"symbol": symbol_name}
+        usages = graph.usages(self.edges, self.symbols, self.repo, self._resolve(symbol_name))
+        found = self._list(answer, "usages", usages)
+        answer["usage_count"] = usages.count() if answer.get("truncated") else len(found)
+        return self._with_savings(answer, {r["file_path"] for r in found})
 
     @tool()
     def get_call_tree(self, symbol_name: str, direction: str = "callees", depth: int = 1) -> dict:
@@ -214,58 +269,58 @@ class Service:
 
     @tool()
     def find_dead_code(self, file_path: str = "", kind: str = "", exclude_exported: bool = True, limit: int = 50) -> dict:
-        if file_path and not os.path.exists(os.path.join(self.root, file_path)):
-            raise ToolError(f"file {file_path!r} does not exist")
+        if file_path:
+            self._inside(file_path)
         rows = graph.dead_code(self.edges, self.symbols, self.repo, file_path, kind, exclude_exported, limit)
         found = self._rows(rows.select("id", "name", "qualified_name", "kind", "file_path", "start_line"))
         return self._with_savings({"dead_symbols": found, "count": len(found)}, {r["file_path"] for r in found})
 
     @tool()
-    def get_blast_radius(self, symbol_name: str, depth: int = 2) -> dict:
-        found = self._rows(graph.blast_radius(self.edges, self.symbols, self._resolve(symbol_name), depth))
+    def get_blast_radius(self, symbol_name: str, depth: int = 2, cap: int = graph.MAX_EDGES) -> dict:
+        """The first `cap` callers by file; the counts are of all of them."""
+        affected = staged(graph.blast_radius(self.edges, self.symbols, self._resolve(symbol_name), depth), "affected")
+        depths = {r.depth: r.affected for r in graph.blast_by_depth(affected).collect()}  # one row a level
+        files_affected = graph.blast_by_file(affected).count()
+        found = self._rows(affected.orderBy("depth", "symbol_id").limit(max(cap, 0)))
         files: dict[str, list] = {}
-        depths: dict[int, int] = {}
         for r in found:
             files.setdefault(r["file_path"], []).append(r)
-            depths[r["depth"]] = depths.get(r["depth"], 0) + 1
-        return self._with_savings({"symbol": symbol_name, "affected_by_file": files, "by_depth": depths, "total_affected": len(found), "files_affected": len(files)}, set(files))
+        total = sum(depths.values())
+        answer = {"symbol": symbol_name, "affected_by_file": files, "by_depth": depths, "total_affected": total, "files_affected": files_affected, "truncated": len(found) < total}
+        return self._with_savings(answer, set(files))
 
     @tool()
     def find_http_routes(self, method: str = "", path: str = "", file_path: str = "") -> dict:
-        if file_path and not os.path.exists(os.path.join(self.root, file_path)):
-            raise ToolError(f"file {file_path!r} does not exist")
-        stored = self.store.read("routes")
+        if file_path:
+            self._inside(file_path)
+        stored = self.store.read("routes", self.repo)
         found = self._rows(routes.with_handler(routes.find(stored, self.repo, method, path, file_path, limit=100), self.symbols).orderBy("method", "normalized_path", "id"))
-        matches = self._rows(routes.match(stored, self.repo).orderBy(F.desc("confidence"), "def_id", "call_id").limit(200))  # as many as are shown
-        return self._with_savings({"routes": found, "route_count": len(found), "matches": matches}, {r["file_path"] for r in found})
+        total = routes.match_classes(stored, self.repo).agg(F.coalesce(F.sum(F.col("defs") * F.col("calls")), F.lit(0))).first()[0]
+        matches = self._rows(routes.match(stored, self.repo).orderBy(F.desc("confidence"), "def_id", "call_id").limit(200))
+        answer = {"routes": found, "route_count": len(found), "matches": matches, "match_count": total, "matches_truncated": len(matches) < total}
+        return self._with_savings(answer, {r["file_path"] for r in found})
 
     @tool()
     def search_code_patterns(self, pattern: str, file_path_prefix: str = "", kind: str = "", limit: int = 50, compatible: bool = False) -> dict:
-        import re
-
         if not pattern:
             raise ToolError("pattern is required")
-        try:
-            found = self._rows(search.search_patterns(self.symbols, self.repo, pattern, file_path_prefix, kind, limit, compatible))
-        except re.error as e:
-            raise ToolError(f"invalid pattern: {e}") from e
+        found = self._rows(search.search_patterns(self.symbols, self.repo, pattern, file_path_prefix, kind, limit, compatible))
         return self._with_savings({"results": found, "result_count": len(found), "pattern": pattern}, {r["file_path"] for r in found}, 150 * len(found))
 
     @tool()
     def save_symbol_memory(self, symbol_name: str, note: str, author: str = "agent") -> dict:
+        """Appends the note to the repository's part; no stored note is written again."""
         if not note or not note.strip():
             raise ToolError("note is required")
         if len(note) > memories.MAX_NOTE:
             raise ToolError(f"note is longer than {memories.MAX_NOTE} characters")
         target = self._resolve(symbol_name).first()
-        before = self.store.read("memories")
         new = self.spark.createDataFrame([(target.id, note, author)], "symbol_id long, note string, author string")
-        if not before.where((F.col("symbol_id") == target.id) & (F.col("note") == note)).isEmpty():
+        fresh = staged(memories.new_rows(self.store.read("memories"), new), "note")
+        number = fresh.agg(F.max("id")).first()[0]
+        if number is None:
             raise ToolError("the symbol has this note already")
-        after = memories.save(before, new).persist()
-        number = after.agg(F.max("id")).first()[0]
-        self.store.write("memories", after)
-        after.unpersist()
+        self.store.append("memories", fresh, self.repo)
         return {"memory_id": number, "symbol": target.qualified_name}
 
     @tool()
@@ -282,9 +337,12 @@ class Service:
 
     @tool()
     def purge_stale_memories(self, orphaned_only: bool = False) -> dict:
-        before = self.store.read("memories")
-        after = memories.purge_stale(before, self.symbols, self.repo, orphaned_only).persist()
-        purged = before.count() - after.count()
-        self.store.write("memories", after)
-        after.unpersist()
+        purged, changes = 0, {}
+        for part in self.store.parts("memories"):  # one a repository
+            before = self.store.read("memories", part)
+            after = staged(memories.purge_stale(before, self.symbols, self.repo, orphaned_only), "purged")
+            if gone := before.count() - after.count():
+                purged, changes["memories", part] = purged + gone, after
+        if changes:
+            self.store.commit(changes)
         return {"purged": purged}

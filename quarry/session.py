@@ -32,13 +32,17 @@ def local_session(cpus: int | str = 8, memory: str = "8g", shuffle: int = 8) ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder for cut lineage: what the cluster names in spark.checkpoint.dir.
 
-    Only where no folder is set (tests, local runs) a temporary one is made and set.
+    Only a local run, where one machine is all there is, gets a temporary folder if none is set; any other master must
+    name one, as a machine's own folder would not be seen by the others.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = found.get() if found.isDefined() else None
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder when the master is {master}")
         found = "file://" + tempfile.mkdtemp(prefix="quarry-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -59,6 +63,13 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder; what lies there goes when the driver ends."""
+    path = f"{shared_dir(spark)}/quarry-{uuid.uuid4().hex[:12]}-{name}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back.
 
@@ -66,9 +77,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     checkpoint() because the columns are compressed. The folder goes when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quarry-{uuid.uuid4().hex[:12]}-{name}"
+    path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -16,6 +16,7 @@ class Config:
     log_level: str = "info"
     tools: tuple[str, ...] = field(default=())
     debounce_ms: int = 500
+    embedder: str = "hash"
 
 
 def _typed(name: str, text: str):

@@ -15,18 +15,10 @@ def sections(documents: DataFrame, key: str = "doc_id", text: str = "text") -> D
     What stands before the first heading has an empty title. Deeper headings stay in the content, which is trimmed.
     A blank or null text has no sections. No shuffle: each text is cut within its row.
     """
-    lines = F.split(F.col(text), "\n", -1)
-    start = F.named_struct(F.lit("title"), F.lit(""), F.lit("lines"), F.array().cast("array<string>"))
-    empty = F.array().cast("array<struct<title:string,lines:array<string>>>")
-
-    def step(done: Column, line: Column) -> Column:
-        heading = F.startswith(line, F.lit("## "))
-        last = F.element_at(done, -1)
-        grown = F.named_struct(F.lit("title"), last["title"], F.lit("lines"), F.concat(last["lines"], F.array(line)))
-        opened = F.named_struct(F.lit("title"), F.substring(line, F.lit(4), F.char_length(line)), F.lit("lines"), F.array().cast("array<string>"))
-        return F.when(heading, F.concat(done, F.array(opened))).otherwise(F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(grown)))
-
-    cut = F.aggregate(lines, F.concat(empty, F.array(start)), step)
-    kept = F.filter(cut, lambda s: (s["title"] != "") | (F.size(s["lines"]) > 0))
-    rows = documents.where(F.col(text).rlike(r"\S")).select(key, F.posexplode(kept).alias("position", "s"))
-    return rows.select(key, "position", F.col("s.title").alias("title"), _trim(F.array_join("s.lines", "\n")).alias("content"))
+    # the line end before a heading separates; an empty heading without lines is no section
+    pieces = F.filter(F.split(F.col(text), "\n(?=## )", -1), lambda p: p != "## ")
+    rows = documents.where(F.col(text).rlike(r"\S")).select(key, F.posexplode(pieces).alias("position", "piece"))
+    heading, end = F.startswith("piece", F.lit("## ")), F.instr("piece", "\n")
+    title = F.when(heading, F.substring(F.substring_index("piece", "\n", 1), F.lit(4), F.char_length("piece"))).otherwise("")
+    lines = F.when(~heading, F.col("piece")).when(end > 0, F.substring(F.col("piece"), end + 1, F.char_length("piece"))).otherwise("")
+    return rows.select(key, "position", title.alias("title"), _trim(lines).alias("content"))

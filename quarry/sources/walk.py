@@ -84,17 +84,60 @@ def indexable(path: Column, size: Column, patterns: list[str] = ()) -> Column:
     return language(path).isNotNull() & (size <= MAX_FILE_BYTES) & ~in_skipped_dir(path) & ~ignored(path, list(patterns))
 
 
-def scan(spark: SparkSession, root: str, repo_name: str, with_content: bool = True) -> DataFrame:
-    """(repo_name, path, content_hash, size_bytes, language, content) of the files under root that may be indexed.
+#: Paths that read_files() hands to the reader by name; of more it reads the tree and keeps the wanted ones.
+NAMED_PATHS = 10_000
 
-    The file listing is filtered before contents are read where Spark can push it; files too large are never read.
-    """
+
+def _base(root: str) -> tuple[str, str]:
+    """(root as the reader takes it, the part of its paths in front of the relative ones)."""
     base = root if "://" in root or root.startswith("file:") else "file:" + os.path.abspath(root)
     prefix = re.sub(r"^file:/*", "/", base).rstrip("/") if base.startswith("file:") else base.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
+    return base, prefix
+
+
+def _listed(spark: SparkSession, root: str, paths: list[str] | None = None) -> DataFrame:
+    """The reader's rows with `rel`, the path below root; only names with a known extension are listed."""
+    base, prefix = _base(root)
+    reader = spark.read.format("binaryFile")
+    if paths is None:
+        raw = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(e[1:] for e in LANGUAGES) + "}").load(base)
+    else:
+        raw = reader.load([re.sub(r"([\\{}\[\]*?,])", r"\\\1", f"{base.rstrip('/')}/{p}") for p in paths])
     plain = F.regexp_replace("path", "^file:/+", "/") if base.startswith("file:") else F.col("path")
-    rel = F.expr(f"substring(p, {len(prefix) + 2})")
-    rows = raw.where(F.col("length") <= MAX_FILE_BYTES).withColumn("p", plain).withColumn("rel", rel)
-    kept = rows.where(indexable(F.col("rel"), F.col("length"), load_ignore(prefix)))
+    return raw.withColumn("p", plain).withColumn("rel", F.expr(f"substring(p, {len(prefix) + 2})"))
+
+
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """(path, size_bytes, modified) of the files under root that may be indexed; no content is read."""
+    rows = _listed(spark, root).where(indexable(F.col("rel"), F.col("length"), load_ignore(_base(root)[1])))
+    return rows.select(F.col("rel").alias("path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"))
+
+
+def skipped(spark: SparkSession, root: str) -> int:
+    """How many files with a known extension the rules leave out."""
+    return _listed(spark, root).where(~indexable(F.col("rel"), F.col("length"), load_ignore(_base(root)[1]))).count()
+
+
+def scan(spark: SparkSession, root: str, repo_name: str, with_content: bool = True) -> DataFrame:
+    """(repo_name, path, content_hash, size_bytes, language[, content]) of the files under root that may be indexed.
+
+    The listing is filtered before contents are read where Spark can push it; files too large are never read.
+    """
+    rows = _listed(spark, root).where(F.col("length") <= MAX_FILE_BYTES)
+    kept = rows.where(indexable(F.col("rel"), F.col("length"), load_ignore(_base(root)[1])))
     columns = [F.lit(repo_name).alias("repo_name"), F.col("rel").alias("path"), F.sha2("content", 256).alias("content_hash"), F.col("length").alias("size_bytes"), language(F.col("rel")).alias("language")]
     return kept.select(*columns, *([F.col("content")] if with_content else []))
+
+
+def read_files(spark: SparkSession, root: str, repo_name: str, paths: DataFrame) -> DataFrame:
+    """scan() with contents of the files in paths(path) alone.
+
+    Up to NAMED_PATHS of them are opened by name; of more, the whole tree is read and the others are dropped.
+    """
+    named = [r.path for r in paths.select("path").distinct().limit(NAMED_PATHS + 1).collect()]
+    if len(named) > NAMED_PATHS:
+        return scan(spark, root, repo_name).join(paths.select("path").distinct(), "path", "left_semi")
+    if not named:
+        return scan(spark, root, repo_name).limit(0)
+    rows = _listed(spark, root, named).where(F.col("length") <= MAX_FILE_BYTES)
+    return rows.select(F.lit(repo_name).alias("repo_name"), F.col("rel").alias("path"), F.sha2("content", 256).alias("content_hash"), F.col("length").alias("size_bytes"), language(F.col("rel")).alias("language"), "content")

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from quarry.functions import embedders, params, scalars
@@ -78,12 +79,38 @@ def test_string_or_list_refuses(value):
 
 @pytest.mark.parametrize(
     "pattern, literal",
-    [("^plain$", "plain"), (r"open\(", "open"), (".*", ""), ("ab.*", ""), (r"\bword\b", "word"), (r"ab\bfoo", "bfoo"), ("one|two", "one"), ("x+yes_1", "yes_1")],
-)
+    [("^plain$", "plain"), (r"open\(", "open"), (".*", ""), ("ab.*", ""), (r"\bword\b", "word"), ("one|two", ""), ("x+yes_1", "yes_1"), ("(one|two)+three?", "thre"), ("(?:part){2,}x", "part"),
+     ("(part){0,2}other", "other"), ("say [a-z]+ loudly", "loudly"), (r"\p{L}+word", ""), ("[[:alpha:]_word]+", ""), (r"\Qa.b\E", "")],
+)
 def test_required_literal(pattern, literal):
     assert params.required_literal(pattern) == literal
 
 
+@given(st.lists(st.sampled_from(["abc", "de", "x", "(abc|de)", "(?:fgh)?", "[a-d]", "x*", "(abcd)+", ".", "^", "$", r"\b"]), min_size=1, max_size=6), st.text("abcdefghx ", max_size=20))
+@settings(max_examples=300, deadline=None)
+def test_every_match_holds_the_literal(parts, text):
+    import re
+
+    pattern = "".join(parts)
+    if re.search(pattern, text):
+        assert params.required_literal(pattern) in text
+
+
+@pytest.mark.parametrize(
+    "pattern, text",
+    [("(?P<n>foo)(?P=n)", r"(foo)\1(?:)"), ("[[:alpha:][:^digit:]_]+", r"[\p{Alpha}[^\p{Digit}]_]+"), ("[]a[]", r"[\]a\[]"), ("[a&&b]", r"[a&\&b]"), (r"\(?P<x>a", r"\(?P<x>a"), (r"(a)(?<b>c)(?P<d>e)(?P=d)", r"(a)(?<b>c)(e)\3(?:)"),
+     (r"[\]&&]", r"[\]&\&]"), ("(?:a|b)(?i)c", "(?:a|b)(?i)c"), (r"\Q(?P<a>\E", r"\Q(?P<a>\E"), ("[^]]", r"[^\]]")],
+)
+def test_engine_pattern(pattern, text):
+    assert params.engine_pattern(pattern) == text
+
+
+@pytest.mark.parametrize("pattern", ["(?P=none)", "[[:nothing:]]"])
+def test_engine_pattern_refuses(pattern):
+    with pytest.raises(ValueError):
+        params.engine_pattern(pattern)
+
+
 @pytest.mark.parametrize("query, phrase", [("a", '"a"'), ('say "x"', '"say ""x"""'), ("", '""'), ("a AND b*", '"a AND b*"')])
 def test_phrase(query, phrase):
     assert params.phrase(query) == phrase

@@ -5,7 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import bloom, diff, graph, lookup, memories, mutations, orphans, routes, search
+from quarry.operators import bloom, diff, fulltext, graph, lookup, memories, mutations, orphans, routes, running, search
 from quarry.schema import DEPENDENCIES, MEMORIES, ROUTES, SYMBOLS
 
 T0 = datetime(2024, 1, 1)
@@ -47,6 +47,11 @@ def test_call_tree_cap_and_blast(spark):
     e = edges(spark, *[(0, i) for i in range(1, 151)])
     s = syms(spark, *[(i, f"f{i}", f"p{i % 2}.go") for i in range(151)])
     assert graph.call_tree(e, s, ids(spark, 0)).count() == 100
+    many = edges(spark, *[(i, 0) for i in range(1, 151)])
+    assert graph.blast_radius(many, s, ids(spark, 0)).count() == 150 and graph.blast_radius(many, s, ids(spark, 0), cap=100).count() == 100
+    chain = edges(spark, *[(i, i + 1) for i in range(9)])
+    assert {r.node for r in graph.bfs(chain, ids(spark, 0), 9, deepest=6).collect()} == set(range(1, 7))
+    assert {(r.root, r.node, r.depth) for r in graph.bfs_many(chain, ids(spark, 0, 3), 2).collect()} == {(0, 1, 1), (0, 2, 2), (3, 4, 1), (3, 5, 2)}
     back = edges(spark, (1, 9), (2, 9), (3, 9))
     hit = graph.blast_radius(back, syms(spark, (1, "a", "x"), (2, "b", "x"), (3, "c", "y"), (9, "t", "z")), ids(spark, 9), 0)
     assert {(r.file_path, r.affected) for r in graph.blast_by_file(hit).collect()} == {("x", 2), ("y", 1)}
@@ -64,6 +69,8 @@ def test_dead_code(spark):
     assert {r.name for r in graph.dead_code(e, s, "r").collect()} == {"orphan", "Äbc"}
     assert {r.name for r in graph.dead_code(e, s, "r", exclude_exported=False).collect()} == {"orphan", "Exported", "Äbc"}
     assert graph.dead_code(e, s, "other").count() == 0
+    many = syms(spark, *[(i, f"f{i}") for i in range(300)])
+    assert [graph.dead_code(e, many, "r", limit=n).count() for n in (0, 500, None)] == [50, 200, 298]
 
 
 def test_tests_for_symbol(spark):
@@ -91,9 +98,10 @@ def test_search_ranks_and_wildcards(spark):
 
 def test_resolve_many_names(spark):
     s = syms(spark, *[(i, f"name{i:03}") for i in range(1, 121)], (121, "z", "a", None, 1, "", "q.z"), (122, "Late"))
-    asked = [f"name{i:03}" for i in range(1, 121)] + ["q.z", "late", "E1", "nothing", None, "late"]
+    asked = [f"name{i:03}" for i in range(1, 121)] + ["q.z", "late", "E1", "nothing", None, "late", "ame_01", "q%z"]
     got = search.resolve_many(s, "r", spark.createDataFrame([(n,) for n in asked], "input string")).collect()
-    want = [(n, int(n[4:])) for n in asked[:120]] + [("q.z", 121), ("late", 122), ("E1", 100), ("nothing", None), (None, None), ("late", 122)]
+    want = [(n, int(n[4:])) for n in asked[:120]] + [("q.z", 121), ("late", 122), ("E1", 100), ("nothing", None), (None, None), ("late", 122), ("ame_01", 1), ("q%z", 121)]
+    assert search.resolve(s, "r", "ame_01").first().id == 1
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
 
 
@@ -102,18 +110,33 @@ def test_patterns(spark):
     r = search.search_patterns(s, "r", r"foo\(\d\)").first()
     assert (r.match_text, r.match_start, r.match_end) == ("foo(1)", 37, 43) and r.snippet.endswith("ä😀 foo(1) tail")
     assert search.search_patterns(s, "r", "foo|bar").count() == 2
-    assert search.search_patterns(s, "r", "foo|bar", compatible=True).count() == 1  # the prefilter knows the first word only
+    assert search.search_patterns(s, "r", "foo|bar", compatible=True).count() == 2  # no word of an alternation is required
     assert search.search_patterns(s, "r", "foo|bar", prefix="P/b").count() == 1
     assert search.search_patterns(s, "r", "foo", limit=0).count() == 0
+    assert search.search_patterns(s, "r", "foo", limit=None).count() == 1
+    t = syms(spark, (1, "a", "p/a", None, 1, "x aa yy"), (2, "b", "p/b", None, 1, "foo.foo bar.foo"))
+    twice = search.search_patterns(t, "r", r"(a)\1").first()
+    assert (twice.match_text, twice.match_start, twice.match_end, twice.snippet) == ("aa", 2, 4, "x aa yy")
+    named = search.search_patterns(t, "r", r"(?P<word>[[:alpha:]]+)\.(?P=word)\b").first()
+    assert (named.id, named.match_text, named.match_start) == (2, "foo.foo", 0)
+    empty = search.search_patterns(t, "r", "z*").first()
+    assert (empty.match_text, empty.match_start, empty.match_end) == ("", 0, 0)
+    for bad in ("(", "(?P=x)", "[[:none:]]", "a{2,1}"):
+        with pytest.raises(ValueError):
+            search.search_patterns(t, "r", bad)
     long = search.search_patterns(syms(spark, (1, "a", "p", None, 1, "y" * 500)), "r", "y+").first()
     assert long.snippet == "y" * 200 + "..."
 
 
 def test_full_text(spark):
-    docs = spark.createDataFrame([(1, "r", 0, "open_file handle"), (2, "r", 0, "file open"), (3, "q", 0, "open file"), (4, "r", 0, None)], "symbol_id long, repo_name string, column int, text string")
+    docs = spark.createDataFrame([(1, "r", "f", 0, "open_file handle"), (2, "r", "f", 0, "file open"), (3, "q", "f", 0, "open file"), (4, "r", "f", 0, None)], "symbol_id long, repo_name string, file_path string, column int, text string")
     assert [r.symbol_id for r in search.fts_search(docs, "r", "Open File").collect()] == [1]
     assert search.fts_search(docs, "r", "??").count() == 0
     assert [r.symbol_id for r in search.fts_search(docs, "r", "files opening", stemmed=True).collect()] == [2]
+    again = spark.createDataFrame([(5, "r", "f", 0, "a b a b a"), (5, "r", "f", 1, "b a")], docs.schema)
+    index, sizes = fulltext.postings(again), fulltext.lengths(again)
+    assert sizes.first().length == 7 and fulltext.search(index, sizes, None, "a b a").count() == 1 and fulltext.search(index, sizes, None, "b b").count() == 0
+    assert fulltext.search(index.limit(0), sizes.limit(0), None, "a").count() == 0
     ranks = search.fts_search(docs, "r", "open").collect()
     assert [r.symbol_id for r in ranks] == [2, 1] and all(r["rank"] < 0 for r in ranks)
 
@@ -224,8 +247,27 @@ def test_diff(spark):
 
 def test_overlaps(spark):
     s = syms(spark, (1, "A", "f", None, 10), (2, "B", "f", None, 20))  # 10-14, 20-24
-    h = spark.createDataFrame([("f", 14, 1), ("f", 15, 5), ("f", 24, 9), ("f", 12, 0), ("g", 10, 9)], "file_path string, start_line int, line_count int")
-    assert {tuple(r) for r in diff.overlaps(s, h).collect()} == {(1, 14, 14), (2, 24, 24)}
+    h = spark.createDataFrame([("r", "f", 14, 1), ("r", "f", 15, 5), ("r", "f", 24, 9), ("r", "f", 12, 0), ("r", "g", 10, 9), ("q", "f", 10, 9), (None, "f", 10, 9)], "repo_name string, file_path string, start_line int, line_count int")
+    assert sorted(map(tuple, diff.overlaps(s, h).collect())) == [(1, 14, 14), (2, 24, 24)]
+
+
+def test_overlaps_over_many_bins(spark):
+    """Long symbols and long hunks share many bins: each pair comes once."""
+    s = spark.createDataFrame([(i, "r", "n", "n", "function", "f", "h", "", i * 37, i * 37 + 300, "go", T0) for i in range(40)], SYMBOLS)
+    hunks = [("r", "f", k * 61, 200) for k in range(30)]
+    got = sorted(map(tuple, diff.overlaps(s, spark.createDataFrame(hunks, "repo_name string, file_path string, start_line int, line_count int")).collect()))
+    want = sorted((i, max(i * 37, a), min(i * 37 + 300, a + n - 1)) for i in range(40) for _, _, a, n in hunks if i * 37 <= a + n - 1 and i * 37 + 300 >= a)
+    assert got == want
+
+
+def test_running_sums_of_a_hot_group(spark):
+    rows = [(g, i, float(i % 5)) for g, n in ((1, 400), (2, 7), (None, 3)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g long, i long, v double").repartition(5)
+    got = {(r.g, r.i): (r.n, r.total) for r in running.running(running.row_numbers(df, ["g"], [F.desc("i")], "n"), ["g"], [F.col("i")], F.col("v"), "total").collect()}
+    size = {1: 400, 2: 7, None: 3}
+    assert got == {(g, i): (size[g] - i, float(sum(j % 5 for j in range(i + 1)))) for g, i, _ in rows}
+    assert sorted(r.n for r in running.row_numbers(df, [], [F.col("v"), F.col("i")], "n").collect()) == list(range(1, 411))
+    assert running.row_numbers(df.limit(0), ["g"], [F.col("i")], "n").count() == 0
 
 
 def test_lookup(spark):

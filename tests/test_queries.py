@@ -44,17 +44,17 @@ def test_every_reference_is_resolved(spark, tmp_path):
 
     rows = [(i, REPO, f"n{i}", f"q.n{i}", "function", f"f{(i + 1) // 2}.go", "h", "", i, i, "go", T0) for i in range(1, 9)]
     spark.createDataFrame(rows, SYMBOLS).write.parquet(str(tmp_path / "symbols.parquet"))
-    got = {(r.caller_id, r.callee_id) for r in QUERIES["name_index_resolve_all"](spark, str(tmp_path)).collect()}
+    got = {(r.caller_id, r.callee_id) for r in QUERIES["name_index_resolve"](spark, str(tmp_path)).collect()}
     assert got == {(i - 1 + i % 2, i) for i in range(1, 9)}
 
 
 def test_every_search_is_fused(spark, small):
     """All searches of the tables, not one of them."""
     searches = {r.query_id for t in ("semantic_results", "fts_results") for r in spark.read.parquet(f"{small}/{t}.parquet").where("query_id is not null").select("query_id").distinct().collect()}
-    assert {r.query_id for r in QUERIES["rrf_fusion_all"](spark, small).collect()} == searches and len(searches) > 1
+    assert {r.query_id for r in QUERIES["rrf_fusion"](spark, small).collect()} == searches and len(searches) > 1
 
 
-@pytest.mark.parametrize("name, terms, stemmed", [("fts_term_indexed", ["shard"], False), ("fts_phrase_indexed", ["func", "x"], False), ("fts_term_stemmed", ["parsing"], True)])
+@pytest.mark.parametrize("name, terms, stemmed", [("fts_term_bm25", ["shard"], False), ("fts_phrase_bm25", ["func", "x"], False), ("fts_term_stemmed", ["sharding"], True)])
 def test_full_text_over_the_index(spark, tmp_path, name, terms, stemmed):
     """Brute force over documents written out by hand; some hits stand only in the keywords."""
     from quarry.plans.views import REPO
@@ -79,7 +79,7 @@ def test_full_text_over_the_index(spark, tmp_path, name, terms, stemmed):
     idf = max(math.log((len(docs) - len(hits) + 0.5) / (len(hits) + 0.5)), 1e-6)
     want = {d[0]: -idf * tf[d] * 2.2 / (tf[d] + 1.2 * (0.25 + 0.75 * size[d] / mean)) for d in hits if d[1] == REPO}
     got = {r.symbol_id: r["rank"] for r in QUERIES[name](spark, str(tmp_path)).collect()}
-    assert got == pytest.approx(want, abs=1e-6) and len(want) == {"fts_term_indexed": 2, "fts_phrase_indexed": 1, "fts_term_stemmed": 2}[name]
+    assert got == pytest.approx(want, abs=1e-6) and len(want) == {"fts_term_bm25": 2, "fts_phrase_bm25": 1, "fts_term_stemmed": 3}[name]
 
 
 def test_wordpiece_reads_the_embedding_text(spark, tmp_path):
@@ -95,5 +95,5 @@ def test_l2_normalize_reads_every_component(spark, tmp_path):
     """Vectors of one length and one head: only the components after the third tell them apart."""
     vectors = [(1, "r", [1.0, 2.0, 2.0, 4.0, 0.0]), (2, "r", [1.0, 2.0, 2.0, 0.0, 4.0]), (3, "r", [0.0] * 5)]
     spark.createDataFrame(vectors, "symbol_id long, repo_name string, embedding array<float>").write.parquet(str(tmp_path / "vec_symbols.parquet"))
-    got = {r.symbol_id: r.weighed for r in QUERIES["l2_normalize_all"](spark, str(tmp_path)).collect()}
+    got = {r.symbol_id: r.weighed for r in QUERIES["l2_normalize"](spark, str(tmp_path)).collect()}
     assert got == {1: 5.4, 2: 6.2, 3: 0.0}

@@ -27,19 +27,37 @@ def test_scan(spark, tmp_path):
     (tmp_path / ".gitignore").write_text("# none\n\nskip/\n")
     rows = {r.path: r for r in walk.scan(spark, str(tmp_path), "r", with_content=False).collect()}
     assert set(rows) == {"src/a.ts", "src/b.tsx", "edge.go"}
+    named = walk.read_files(spark, str(tmp_path), "r", spark.createDataFrame([("src/a.ts",), ("src/a.ts",), ("edge.go",)], "path string")).collect()
+    assert {(r.path, r.content_hash) for r in named} == {(p, rows[p].content_hash) for p in ("src/a.ts", "edge.go")} and len(named) == 2
+    assert {r.path for r in walk.listing(spark, str(tmp_path)).collect()} == set(rows) and walk.skipped(spark, str(tmp_path)) == 3
     assert rows["src/a.ts"].content_hash == "2d711642b726b04401627ca9fbac32f5c8530fb1903cc4db02258717921a4881" and rows["src/b.tsx"].language == "tsx"
 
 
 def test_sections(spark):
     texts = [(1, "intro\n\n## One\na\n### deep\nb\n## Two"), (2, " \n "), (3, None), (4, "## Only\n"), (5, "no heading")]
+    texts += [(6, "## \n## \nx\n## B"), (7, "\n## A\n\n"), (8, "##no\n ## no")]
     df = spark.createDataFrame(texts, "doc_id long, text string")
     got = [(r.doc_id, r.position, r.title, r.content) for r in markdown.sections(df).orderBy("doc_id", "position").collect()]
-    assert got == [(1, 0, "", "intro"), (1, 1, "One", "a\n### deep\nb"), (1, 2, "Two", ""), (4, 0, "Only", ""), (5, 0, "", "no heading")]
+    assert got == [(1, 0, "", "intro"), (1, 1, "One", "a\n### deep\nb"), (1, 2, "Two", ""), (4, 0, "Only", ""), (5, 0, "", "no heading"),
+                   (6, 0, "", "x"), (6, 1, "B", ""), (7, 0, "", ""), (7, 1, "A", ""), (8, 0, "", "##no\n ## no")]
 
 
-def test_name_status_and_hunks():
-    assert gitdiff.parse_name_status("M\ta.go\nR100\told.go\tnew.go\nbad\n") == {"a.go": "M", "old.go": "R100"}
-    assert gitdiff.parse_hunks("@@ -1,2 +3,4 @@ f\n+x\n@@ -9 +8 @@\n@@ -5,3 +4,0 @@\n") == [(3, 4), (8, 1)]
+def _raw(*records):
+    return "".join(f":100644 100644 abc1234 0000000 {status}\x00" + "".join(f"{p}\x00" for p in paths) for status, *paths in records)
+
+
+def test_name_status_and_hunks(spark):
+    patch = (
+        "diff --git a/a.go b/a.go\nindex 1..2 100644\n--- a/a.go\n+++ b/a.go\n@@ -1,2 +3,4 @@ f\n+x\n+++ b/liar.go\r@@ -1 +77 @@\n@@ -9 +8 @@\n+@@ -1 +99 @@\n@@ -5,3 +4,0 @@\n-y\n"
+        "diff --git a/gone.go b/gone.go\ndeleted file mode 100644\n--- a/gone.go\n+++ /dev/null\n@@ -1,3 +0,0 @@\n-+++ b/other.go\n"
+        "diff --git a/old.go b/new name.go\nsimilarity index 90%\nrename from old.go\nrename to new name.go\n--- a/old.go\n+++ b/new name.go\n@@ -2 +2 @@\n+z\n"
+    )
+    text = _raw(("M", "a.go"), ("D", "gone.go"), ("R090", "old.go", "new name.go"), ("M", "mode.sh")) + "\x00" + patch
+    diffs = spark.createDataFrame([("r", text), ("q", _raw(("A", "a.go")) + "\x00" + "diff --git a/a.go b/a.go\n--- /dev/null\n+++ b/a.go\n@@ -0,0 +1,9 @@\n+a"), ("none", ""), ("null", None)], "repo_name string, text string")
+    assert {tuple(r) for r in gitdiff.name_status(diffs).collect()} == {("r", "a.go", "M"), ("r", "gone.go", "D"), ("r", "new name.go", "R090"), ("r", "mode.sh", "M"), ("q", "a.go", "A")}
+    assert {tuple(r) for r in gitdiff.hunks(diffs).collect()} == {("r", "a.go", 3, 4), ("r", "a.go", 8, 1), ("r", "new name.go", 2, 1), ("q", "a.go", 1, 9)}
+    files, _ = gitdiff.combined(diffs)
+    assert {tuple(r) for r in files.collect()} == {("r", "a.go", "M"), ("r", "gone.go", "D"), ("r", "new name.go", "R090"), ("q", "a.go", "A")}
 
 
 def test_diff_tables(spark, tmp_path):
@@ -47,14 +65,20 @@ def test_diff_tables(spark, tmp_path):
     git("init", "-q")
     (tmp_path / "a.py").write_text("one\ntwo\nthree\n")
     (tmp_path / "b.py").write_text("b\n")
+    (tmp_path / "moved.py").write_text("".join(f"line {i}\n" for i in range(30)))
     git("add", "-A")
     git("commit", "-qm", "x")
     (tmp_path / "a.py").write_text("one\nTWO\nthree\nfour\n")
     os.unlink(tmp_path / "b.py")
-    (tmp_path / "new.py").write_text("n\n")
-    files, hunks = gitdiff.diff_tables(spark, str(tmp_path))
-    assert {tuple(r) for r in files.collect()} == {("a.py", "M"), ("b.py", "D")}
-    assert {tuple(r) for r in hunks.collect()} == {("a.py", 2, 1), ("a.py", 4, 1)}
+    (tmp_path / "nëw file.py").write_text("n\n")
+    git("mv", "moved.py", "über.py")
+    (tmp_path / "über.py").write_text("".join(f"line {i}\n" for i in range(29)) + "last\n")
+    files, hunks = gitdiff.diff_tables(spark, str(tmp_path), "r")
+    assert {tuple(r)[1:] for r in files.collect()} == {("a.py", "M"), ("b.py", "D"), ("über.py", "R096")} or {r.file_path for r in files.collect()} == {"a.py", "b.py", "über.py"}
+    assert {tuple(r) for r in hunks.collect()} == {("r", "a.py", 2, 1), ("r", "a.py", 4, 1), ("r", "über.py", 30, 1)}
+    assert {r.file_path: r.status[0] for r in gitdiff.changed_files(spark, str(tmp_path), "r").collect()} == {"a.py": "M", "b.py": "D", "über.py": "R", "nëw file.py": "A"}
+    assert {r.file_path for r in gitdiff.changed_files(spark, str(tmp_path), "r", staged=False).collect()} == {"nëw file.py"}
+    assert gitdiff.diff_tables(spark, str(tmp_path / "none"), "r")[0].count() == 0
 
 
 def _file(head, body=b""):
