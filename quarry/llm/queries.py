@@ -21,7 +21,8 @@ def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p2_origins(spark, sf_dir).where("origin is not null").select("file_id").distinct()
+    found = generated.file_origins(table(spark, sf_dir, "files"), table(spark, sf_dir, "symbols"), usage=False)
+    return found.where("origin is not null").select("file_id").distinct()
 
 
 def p2_origins(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 
-from quarry.llm import encoding, fusion, generated, lexicon, neardup, neighbours, packing, spans, splitting
+from quarry.llm import encoding, fusion, generated, grammar, lexicon, neardup, neighbours, packing, spans, splitting
 
 from . import brute
 
@@ -98,28 +98,71 @@ PATHS = {
 }
 
 
+def _function(i):
+    r = random.Random(i)
+    return "\n".join([f"func work{i}(a int) int {{", *(f"  if a > {r.randrange(9)} {{ return call{r.randrange(5)}(a, {r.randrange(99)}) }}" for _ in range(12)), "}"])
+
+
 def test_origins(spark):
-    files = [(i, "r", p, 4000) for i, p in enumerate(PATHS)]
-    layout = {"flat.js": [(1, "f", "function"), (1, "g", "function")], "blob.go": [(90, "table", "variable")], "small.go": [(90, "table", "variable")], "big.go": [(30, "f", "function"), (50, "g", "function")], "nosize.js": [(1, "f", "function"), (2, "g", "function")]}
-    sizes = {"flat.js": 90_000, "blob.go": 900_000, "small.go": 4000, "big.go": 120_000, "nosize.js": None}
-    want = dict(PATHS) | {"flat.js": "minified", "blob.go": "data", "small.go": None, "big.go": None, "nosize.js": "minified", None: None}
-    files += [(100 + i, "r", p, sizes[p]) for i, p in enumerate(layout)] + [(200, "r", None, None), (0, "r", "third_party/x/a.go", 4000)]
-    symbols = [("r", p, q, k, line) for p, found in layout.items() for line, q, k in found]
-    f = spark.createDataFrame([(*r, "x", "y") for r in files], "id long, repo_name string, path string, size_bytes long, last_line string, origin string")
-    s = spark.createDataFrame(symbols, "repo_name string, file_path string, qualified_name string, kind string, end_line int")
+    r = random.Random(8)
+    table = "var table = [\n" + "".join("  " + ", ".join(f"0x{r.randrange(1 << 16):04x}" for _ in range(8)) + ",\n" for _ in range(40)) + "]"
+    strings = "words = [\n" + "".join(f"  '{r.randrange(1 << 60):x}',\n" for _ in range(60)) + "]"
+    few = "var limits = [1, 20, 300, 4000, 50000]"
+    layout = {
+        "flat.js": [(1, _function(1)), (1, _function(2))], "blob.go": [(90, table)], "words.py": [(90, strings)], "small.go": [(90, few)], "big.go": [(30, _function(3)), (50, _function(4)), (60, few)],
+        "nosize.js": [(1, _function(5)), (2, _function(6))], "nocode.go": [(40, None)], "blob_in_code.go": [(300, _function(7) * 20), (310, few)],
+    }
+    sizes = {"flat.js": 90_000, "blob.go": 9000, "words.py": None, "small.go": 4000, "big.go": 120_000, "nosize.js": None, "nocode.go": 4000, "blob_in_code.go": 9000}
+    want = dict(PATHS) | {"flat.js": "minified", "blob.go": "data", "words.py": "data", "small.go": None, "big.go": None, "nosize.js": "minified", "nocode.go": None, "blob_in_code.go": None, None: None}
+    files = [(i, "r", p, 4000) for i, p in enumerate(PATHS)] + [(100 + i, "r", p, sizes[p]) for i, p in enumerate(layout)] + [(200, "r", None, None), (0, "r", "third_party/x/a.go", 4000)]
+    symbols = [(i, "r", p, line, code) for i, (p, line, code) in enumerate((p, line, code) for p, found in layout.items() for line, code in found)]
+    symbols += [symbols[0], (None, "r", "small.go", 5, table), (900, "q", "small.go", 5, table), *((1000 + i, "r", f"other{i}.go", 30, _function(i + 50)) for i in range(40))]
+    f = spark.createDataFrame([(*x, "x", "y") for x in files], "id long, repo_name string, path string, size_bytes long, last_line string, origin string")
+    s = spark.createDataFrame([(*x, "x") for x in symbols], "id long, repo_name string, file_path string, end_line int, code_block string, tokens string")
     got = generated.file_origins(f, s).collect()
     names = {i: p for i, _, p, _ in files}
-    assert len(got) == len(names) and {names[r.file_id]: r.origin for r in got} == want
-    assert all(0 <= r.literal_share <= 1 and r.rule_reuse >= 0 for r in got)
+    assert len(got) == len(names) and {names[x.file_id]: x.origin for x in got} == want
+    by_path = {names[x.file_id]: x for x in got}
+    assert by_path["blob.go"].literal_share > 0.6 > 0.3 > by_path["big.go"].literal_share and by_path["nocode.go"].literal_chars == 0
+    assert 0 < by_path["big.go"].rule_share < 1 <= by_path["big.go"].rule_spread <= by_path["big.go"].rule_reuse
+    assert generated.file_origins(f, s, usage=False).columns == ["file_id", "origin", "literal_share", "literal_chars"]
     assert generated.file_origins(f.limit(0), s.limit(0)).count() == 0
 
 
-@given(st.lists(st.lists(st.sampled_from("ab/_c"), max_size=12), max_size=12))
-@settings(max_examples=50, deadline=None)
-def test_parse_keeps_the_tokens(paths):
-    rules = [{("a", "b"), ("/", "_")}, {("a\x1fb", "c")}]
-    for tokens in paths:
-        assert [t for s in generated.parse(tokens, rules) for t in s.split("\x1f")] == tokens
+TEXT = st.lists(st.sampled_from(["a", "b1", " ", "(", "12", '"s t"', "\n  ", "é"]), max_size=40).map("".join)
+
+
+@given(st.lists(TEXT, min_size=1, max_size=6))
+@settings(max_examples=100, deadline=None)
+def test_parse_keeps_the_characters(texts):
+    """Every character stays in its text, whatever the rules; a rule stands for the digrams it was made of."""
+    rows = grammar.sequences(texts, {})
+    assert [int((x & grammar.LENGTH).sum()) for x in rows] == [len(t) for t in texts]
+    s, owner = grammar.joined(rows)
+    rules = []
+    for _ in range(3):
+        p = grammar.pairs(grammar.parse(s, owner, rules)[0])
+        found = np.unique(p[p != 0])
+        if not len(found):
+            break
+        rules.append(grammar.Rules(found))
+    parsed, own = grammar.parse(s, owner, rules)
+    assert [int((parsed[own == i] & grammar.LENGTH).sum()) for i in range(len(texts))] == [len(t) for t in texts]
+    assert (np.bincount(own[parsed == 0], minlength=len(texts)) == 1).all()
+    if rules:  # all digrams are rules: after a round no two terminals are neighbours
+        once, _ = grammar.parse(s, owner, rules[:1])
+        terminal = (once != 0) & (once & grammar.RULE == 0)
+        assert not (terminal[1:] & terminal[:-1]).any()
+
+
+def test_grammar_finds_the_frequent_digrams(spark):
+    texts = ["x = call(y)\n" * 30, "x = call(z)\n" * 30, "".join(f"u{i} " for i in range(500))]
+    rows = grammar.sequences(texts, {})
+    df = spark.createDataFrame([(x.tobytes(),) for x in rows], "tokens binary").repartition(2)
+    rules = grammar.infer(df, 1 / 400)
+    parsed, own = grammar.parse(*grammar.joined(rows), rules)
+    left = np.bincount(own[parsed != 0], minlength=3)
+    assert len(rules) > 2 and left[0] < 40 and left[2] == 1000 and grammar.infer(df.limit(0)) == []
 
 
 # 3
