@@ -291,6 +291,42 @@ def test_encoder_equals_the_public_one(text):
     assert encoding.Encoder(block, RANKS, encoding.split_pattern()).encode([text, None, ""]) == [own.encode_ordinary(text), [], []]
 
 
+def test_plain_characters_are_what_they_are_taken_for():
+    """Every plain character is an ASCII digit, a space, a letter or none of these, as the pattern's classes say."""
+    import re
+
+    import regex
+
+    letter, plain = re.compile(f"[{encoding._LETTERS}]"), re.compile(encoding._PLAIN)
+    for c in map(chr, range(0x3000)):
+        if plain.fullmatch(c):
+            assert bool(letter.fullmatch(c)) == bool(regex.fullmatch(r"\p{L}", c)) and bool(re.fullmatch(f"[{encoding._SPACE}]", c)) == bool(regex.fullmatch(r"\s", c))
+            assert bool(re.fullmatch("[0-9]", c)) == bool(regex.fullmatch(r"\p{N}", c))
+
+
+@given(st.text(st.sampled_from("ab'sltérßŁ’–—…09 \t\n\r\x0b\x1c\x85\xa0²中.-_"), max_size=60))
+@settings(max_examples=300, deadline=None)
+def test_splitter_equals_the_pattern(text):
+    import regex
+
+    pattern = encoding.split_pattern()
+    assert encoding.splitter(pattern)(text) == regex.compile(pattern).findall(text)
+    assert encoding.splitter(r"\p{Lu}+|.")("ABc") == ["AB", "c"]
+
+
+def test_encoder_forgets(monkeypatch):
+    import tiktoken
+
+    own = tiktoken.Encoding("own", pat_str=encoding.split_pattern(), mergeable_ranks=RANKS, special_tokens={})
+    monkeypatch.setattr(encoding, "MEMO", 50)
+    encoder = encoding.Encoder(encoding.compile_lexicon([" word1"], RANKS), RANKS, encoding.split_pattern())
+    for i in range(6):
+        texts = ["", *(f"w{k} {'xyz' * k} word1" for k in range(i * 20, i * 30 + 20)), None]
+        assert encoder.encode(texts) == [own.encode_ordinary(t or "") for t in texts]
+        assert encoder.sizes(texts).tolist() == [len(own.encode_ordinary(t or "")) for t in texts]
+    assert encoder.encode([]) == [] and encoder.sizes([None]).tolist() == [0]
+
+
 def test_long_words():
     import tiktoken
 
