@@ -129,11 +129,31 @@ class Lexicon:
         return [tuple(out[out_at[p] : out_at[p + 1]].tolist()) if ok else None for ok, p in zip(alive.tolist(), place.tolist())]
 
 
+#: Words up to so many bytes are merged over a plain list of ranks, which is quadratic but quicker there than a heap.
+SHORT = 64
+
+
+def _merge_short(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    n, none = len(word), len(ranks) + 1 << 32
+    get = ranks.get
+    cuts, rank = list(range(n + 1)), [get(word[i : i + 2], none) for i in range(n - 1)]
+    while rank and (least := min(rank)) < none:
+        i = rank.index(least)
+        del cuts[i + 1], rank[i]
+        if i < len(rank):
+            rank[i] = get(word[cuts[i] : cuts[i + 2]], none)
+        if i:
+            rank[i - 1] = get(word[cuts[i - 1] : cuts[i + 1]], none)
+    return [ranks[word[a:z]] for a, z in zip(cuts, cuts[1:])]
+
+
 def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Byte-pair merges of one word: the adjacent pair of lowest rank first, leftmost of equals; n log n in its length."""
     if word in ranks:
         return [ranks[word]]
     n = len(word)
+    if n <= SHORT:
+        return _merge_short(word, ranks)
     end = list(range(1, n + 1))
     after = list(range(1, n + 1))
     before = list(range(-1, n - 1))

@@ -314,6 +314,18 @@ def test_splitter_equals_the_pattern(text):
     assert encoding.splitter(r"\p{Lu}+|.")("ABc") == ["AB", "c"]
 
 
+@given(st.text("aeinrstABé_😀", min_size=1, max_size=70))
+@settings(max_examples=150, deadline=None)
+def test_both_merges_agree(word):
+    raw, short = word.encode(), lexicon.SHORT
+    try:
+        lexicon.SHORT = 0
+        by_heap = lexicon.merge(raw, RANKS)
+    finally:
+        lexicon.SHORT = short
+    assert by_heap == ([RANKS[raw]] if raw in RANKS else lexicon._merge_short(raw, RANKS))
+
+
 def test_encoder_forgets(monkeypatch):
     import tiktoken
 
