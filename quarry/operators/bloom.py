@@ -6,6 +6,8 @@ Every key sets `BITS` bits inside one 64-bit word, so a filter is a table (word,
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Bits set for each key; with up to 8 keys a word about 3 % of absent keys pass.
@@ -16,6 +18,12 @@ LOG2_WORDS = 18
 MAX_LOG2_WORDS = 22
 
 
+def words_for(keys: int) -> int:
+    """log2_words for so many distinct keys, 8 a word. Beyond 8 * 2**MAX_LOG2_WORDS keys the filter fills up and lets more
+    and more absent keys pass; what follows it must be exact, so only its use is lost, never a row."""
+    return min(MAX_LOG2_WORDS, max(10, math.ceil(math.log2(max(keys, 1) / 8))))
+
+
 def _word(key: Column, log2_words: int) -> Column:
     return F.pmod(F.xxhash64(F.lit("word"), key), F.lit(1 << log2_words)).cast("int")
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import bloom
 
 
-def orphan_references(refs: DataFrame, parents: DataFrame, log2_words: int = bloom.LOG2_WORDS) -> DataFrame:
+def orphan_references(refs: DataFrame, parents: DataFrame, log2_words: int | None = None) -> DataFrame:
     """(ref_table, ref_id, ref_month, ref_state) of the references without a timely parent.
 
     refs: (ref_table string, ref_id long, parent_id long, own_time timestamp); parents: (id long, seen timestamp).
@@ -17,18 +17,22 @@ def orphan_references(refs: DataFrame, parents: DataFrame, log2_words: int = blo
     `late`. Null parent_id: no reference. Null own_time or `seen`: can be missing, not late; its month is null.
     Repeated (ref_table, ref_id) count once: equal verdicts are merged.
 
+    The filters are sized by the number of distinct keys, up to 2**22 words (50 MB); a fuller one passes more references on to the
+    exact join, which takes any number. log2_words fixes the size of both.
+
     Skew: the references are reduced to distinct keys before the exact join, so a parent named by a third of all
     references is looked up once. The parent side is pre-aggregated, on the map side first.
     """
     refs = refs.select("ref_table", "ref_id", "parent_id", "own_time").where(F.col("parent_id").isNotNull())
-    words = bloom.build(parents, "id", log2_words)
-    tested = bloom.flag(refs, F.col("parent_id"), words, "maybe", log2_words)
+    size = lambda rows, key: log2_words or bloom.words_for(rows.agg(F.approx_count_distinct(key)).first()[0])
+    of_parents, of_refs = size(parents, "id"), size(refs, "parent_id")
+    tested = bloom.flag(refs, F.col("parent_id"), bloom.build(parents, "id", of_parents), "maybe", of_parents)
     month = F.date_format("own_time", "yyyy-MM")
     denied = tested.where(~F.col("maybe")).select("ref_table", "ref_id", month.alias("ref_month"), F.lit("missing").alias("ref_state"))
     open_refs = tested.where("maybe").drop("maybe")
 
     wanted = open_refs.select(F.col("parent_id").alias("id")).distinct()
-    named = bloom.flag(parents.select("id", "seen"), F.col("id"), bloom.build(wanted, "id", log2_words), "named", log2_words)
+    named = bloom.flag(parents.select("id", "seen"), F.col("id"), bloom.build(wanted, "id", of_refs), "named", of_refs)
     earliest = named.where("named").groupBy("id").agg(F.min("seen").alias("first_seen"), F.lit(True).alias("there"))
     looked_up = wanted.join(earliest, "id", "left").select(F.col("id").alias("parent_id"), "first_seen", F.coalesce("there", F.lit(False)).alias("there"))
     # few keys, many references: the hot key's rows are spread by a salt, its one lookup row is copied to each salt
