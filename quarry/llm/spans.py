@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators import bloom
+from ..operators.skew import HOT, hot_keys, join_hot
 from ..session import spread, staged
 
 RUN, GRAM = 128, 65
@@ -141,31 +143,30 @@ def shared_stretches(documents: DataFrame) -> DataFrame:
     rows that repeat a doc_id are the same document and do not count as another. Touching or overlapping runs join.
     """
     groups = staged(spread(documents.select("doc_id", "text").where(F.char_length("text") >= RUN)).mapInArrow(_groups, "anchor long, span long, doc_id long, first int, runs int"), "runs")
-    kinds = groups.groupBy("anchor", "span", "runs").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min_by("first", "doc_id").alias("first"))
+    # most anchors stand in one document: a filter of the others' lets few of their groups go on, before anything wide is shuffled
+    shared = staged(groups.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("anchor"), "anchors")
+    size = bloom.words_for(shared.count())
+    groups = staged(bloom.flag(groups, F.col("anchor"), bloom.build(shared, "anchor", size), "open", size).where("open").drop("open"), "open")
+    kinds = staged(groups.groupBy("anchor", "span", "runs").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min_by("first", "doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "kinds")
     # an anchor goes on if two documents hold it; several kinds of one anchor may still share single runs
-    by_anchor = kinds.groupBy("anchor").agg(F.min("low").alias("a"), F.max("high").alias("z"), F.count(F.lit(1)).alias("kinds")).where("a < z")
-    open_kinds = staged(kinds.join(by_anchor.select("anchor", "kinds"), "anchor"), "kinds")
-    whole = open_kinds.where("low < high").select("span", "runs", F.lit(-1).cast("long").alias("mask"))
+    by_anchor = kinds.groupBy("anchor").agg(F.min("low").alias("a"), F.max("high").alias("z"), F.count(F.lit(1)).alias("kinds"))
+    several = by_anchor.where("a < z and kinds > 1").select("anchor")
+    whole = kinds.where("low < high").select("span", "runs", F.lit(-1).cast("long").alias("mask"))
 
-    wanted = open_kinds.where("kinds > 1").select(F.col("low").alias("doc_id"), F.struct("span", "first", "runs", "low", "high").alias("g"))
-    per_doc = wanted.groupBy("doc_id").agg(F.collect_list("g").alias("groups"))
+    wanted = join_hot(kinds, several, ["anchor"], hot_keys(kinds, ["anchor"]), ["span"]).select(F.col("low").alias("doc_id"), F.struct("span", "first", "runs", "low", "high").alias("g"))
+    per_doc = wanted.groupBy("doc_id").agg(F.collect_list("g").alias("groups"))  # groups of one text each
     texts = documents.select("doc_id", "text").where(F.char_length("text") >= RUN)
     single = texts.join(per_doc, "doc_id").select("text", "groups").mapInArrow(_single_runs, "span long, nth int, run long, low long, high long")
     single = staged(single, "single")
-    found = single.groupBy("run").agg(F.min("low").alias("a"), F.max("high").alias("z")).where("a < z").select("run")
-    edges = single.where("low = high").join(found, "run").groupBy("span").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("nth"))).alias("mask"))
+    found = single.groupBy("run").agg(F.min("low").alias("a"), F.max("high").alias("z"), F.count(F.lit(1)).alias("n")).where("a < z")
+    found = staged(found.select("run", "n"), "found")
+    edges = join_hot(single.where("low = high"), found.select("run"), ["run"], found.where(F.col("n") > HOT), ["span", "nth"])
+    edges = edges.groupBy("span").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("nth"))).alias("mask"))
     masks = whole.select("span", "mask").unionByName(edges)
-    return _placed(groups, masks)
-
-
-def _placed(groups: DataFrame, masks: DataFrame) -> DataFrame:
-    """Brings the masks of the kinds back to every document; hot kinds are spread over salts."""
-    salts = 16
-    salted = groups.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    spread = masks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    hot = kinds.groupBy("span").agg(F.sum("n").alias("n")).where(F.col("n") > HOT)
     own = F.col("mask").bitwiseAND(F.expr(f"shiftrightunsigned(-1L, {WINDOW} - runs)"))
-    shared = salted.join(spread, ["span", "salt"]).select("doc_id", "first", own.alias("mask"))
-    per_doc = shared.groupBy("doc_id").agg(F.collect_list(F.struct("first", "mask")).alias("groups"))
+    placed = join_hot(groups, masks, ["span"], hot, ["doc_id"]).select("doc_id", "first", own.alias("mask"))
+    per_doc = placed.groupBy("doc_id").agg(F.collect_list(F.struct("first", "mask")).alias("groups"))  # groups of one text each
     return per_doc.mapInArrow(_stretches, "doc_id long, start_char int, end_char int")
 
 
