@@ -66,74 +66,105 @@ class Hashes:
         return _mix((self.sums[end] - self.sums[start]) * self.inverses[start])
 
 
-def run_groups(h: Hashes) -> tuple[np.ndarray, ...]:
-    """(anchor hash, first run, runs in the group, place of the anchor in the first run) of the text's groups."""
+#: Bits of a gram's key that hold its place; the others are those of its hash. Equal keys but for the place are taken as
+#: equal grams; which of them is the leftmost may turn at a multiple of 2**PLACE, which only makes another group.
+PLACE = 20
+
+
+def run_groups(h: Hashes, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(anchor hash, first run, runs, place of the anchor in the first run, text) of the groups of all texts behind each other.
+
+    sizes: their characters, in the order in which h was made of them. First runs count from the start of h.
+    """
+    last = h.n - RUN + 1
+    if last <= 0:
+        return (np.zeros(0, np.int64),) * 5
     grams = h.of(np.arange(h.n - GRAM + 1), np.arange(GRAM, h.n + 1))
-    # leftmost argmin over every WINDOW neighbours, by doubling: keep (value, place) of the smaller, the left one if equal
-    value, place, width = grams, np.arange(len(grams)), 1
-    while width < WINDOW:
+    low = np.uint64((1 << PLACE) - 1)
+    key = (grams & ~low) | (np.arange(len(grams), dtype=np.uint64) & low)
+    width = 1
+    while width < WINDOW:  # the least of every WINDOW neighbours, by doubling
         step = min(width, WINDOW - width)
-        a, b = value[:-step], value[step:]
-        right = b < a
-        value = np.where(right, b, a)
-        place = np.where(right, place[step:], place[:-step])
+        key = np.minimum(key[:-step], key[step:])
         width += step
-    starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-    return value[starts], starts, np.diff(np.r_[starts, len(place)]), place[starts] - starts
+    end = np.cumsum(sizes)
+    within = np.flatnonzero(np.repeat(end, sizes)[:last] - np.arange(last) >= RUN)  # runs that lie in one text
+    if not len(within):
+        return (np.zeros(0, np.int64),) * 5
+    place = within + ((key[within].astype(np.int64) - within) & ((1 << PLACE) - 1))
+    new = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (within[1:] != within[:-1] + 1)])
+    first = within[new]
+    return grams[place[new]], first, np.diff(np.r_[new, len(within)]), place[new] - first, np.searchsorted(end, first, side="right")
+
+
+#: Characters that are worked on at once.
+AT_ONCE = 1 << 18
+
+
+def _chunks(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Rows [a, z) of AT_ONCE characters in all, or one longer text."""
+    a = held = 0
+    for z, n in enumerate(sizes.tolist()):
+        if held and held + n > AT_ONCE:
+            yield a, z
+            a, held = z, 0
+        held += n
+    if a < len(sizes):
+        yield a, len(sizes)
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["anchor", "span", "doc_id", "first", "runs"]
     for batch in batches:
-        parts: list[list[np.ndarray]] = [[] for _ in names]
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if text is None or doc is None or len(text) < RUN:
-                continue
-            h = Hashes(text)
-            anchor, first, runs, offset = run_groups(h)
+        rows = [(d, t) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if d is not None and t is not None and len(t) >= RUN]
+        doc, every = np.array([d for d, _ in rows], np.int64), np.array([len(t) for _, t in rows], np.int64)
+        for a, z in _chunks(every):
+            sizes = every[a:z]
+            h = Hashes("".join(t for _, t in rows[a:z]))
+            anchor, first, runs, offset, text = run_groups(h, sizes)
             span = h.of(first, first + runs + RUN - 1) ^ _mix((offset * 128 + runs).astype(np.uint64))
-            for x, part in zip((anchor.view(np.int64), span.view(np.int64), np.full(len(first), doc, np.int64), first.astype(np.int32), runs.astype(np.int32)), parts):
-                part.append(x)
-        if parts[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in parts], names=names)
+            start = np.cumsum(sizes) - sizes
+            columns = anchor.view(np.int64), span.view(np.int64), doc[a:z][text], (first - start[text]).astype(np.int32), runs.astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=names)
+
+
+def _flat(lists: pa.Array, *fields: str) -> list[np.ndarray]:
+    """The row of each element of lists of structs, and the fields."""
+    values = lists.flatten()
+    row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+    return [row, *(values.field(f).to_numpy(zero_copy_only=False) for f in fields)]
 
 
 def _single_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hashes each run of the wanted groups of a text: (span, nth run of its group, hash)."""
     for batch in batches:
-        spans, nths, hashes, lows, highs = [], [], [], [], []
-        for text, groups in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            h = Hashes(text)
-            first, runs = (np.array([g[k] for g in groups], np.int64) for k in ("first", "runs"))
-            which = np.repeat(np.arange(len(runs)), runs)
-            nth = np.arange(len(which)) - np.repeat(np.cumsum(runs) - runs, runs)
-            start = first[which] + nth
-            for out, k in ((spans, "span"), (lows, "low"), (highs, "high")):
-                out.append(np.array([g[k] for g in groups], np.int64)[which])
-            nths.append(nth.astype(np.int32))
-            hashes.append(h.of(start, start + RUN).view(np.int64))
-        if spans:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (spans, nths, hashes, lows, highs)], names=["span", "nth", "run", "low", "high"])
+        texts = batch.column(0).to_pylist()
+        row, span, first, runs, low, high = _flat(batch.column(1), "span", "first", "runs", "low", "high")
+        every = np.array([len(t) for t in texts], np.int64)
+        for a, z in _chunks(every):
+            h = Hashes("".join(texts[a:z]))
+            start = np.cumsum(every[a:z]) - every[a:z]
+            x, y = np.searchsorted(row, [a, z])
+            many = runs[x:y].astype(np.int64)
+            which = np.repeat(np.arange(x, y), many)
+            nth = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
+            at = start[row[which] - a] + first[which] + nth
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (span[which], nth.astype(np.int32), h.of(at, at + RUN).view(np.int64), low[which], high[which])], names=["span", "nth", "run", "low", "high"])
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Merges the shared runs of each document, given as (first, mask) lists, to maximal stretches."""
     for batch in batches:
-        docs, starts, ends = [], [], []
-        for doc, groups in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            first = np.array([g["first"] for g in groups], np.int64)
-            mask = np.array([g["mask"] for g in groups], np.int64).astype("<i8")
-            bits = np.unpackbits(mask.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            row, nth = np.nonzero(bits)
-            at = np.unique(first[row] + nth)
-            if not len(at):
-                continue
-            new = np.flatnonzero(np.r_[True, np.diff(at) > RUN])
-            starts.append(at[new].astype(np.int32))
-            ends.append((at[np.r_[new[1:] - 1, len(at) - 1]] + RUN).astype(np.int32))
-            docs.append(np.full(len(new), doc, np.int64))
-        if docs:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (docs, starts, ends)], names=["doc_id", "start_char", "end_char"])
+        row, first, mask = _flat(batch.column(1), "first", "mask")
+        bits = np.unpackbits(mask.astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        group, nth = np.nonzero(bits)
+        at = np.unique(row[group] << 40 | first[group].astype(np.int64) + nth)  # by document, then place
+        if not len(at):
+            continue
+        new = np.flatnonzero(np.r_[True, np.diff(at) > RUN])  # another document lies far beyond
+        last = at[np.r_[new[1:] - 1, len(at) - 1]]
+        place = lambda v: (v & (1 << 40) - 1).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at[new] >> 40)), pa.array(place(at[new])), pa.array(place(last) + np.int32(RUN))], names=["doc_id", "start_char", "end_char"])
 
 
 def shared_stretches(documents: DataFrame) -> DataFrame:

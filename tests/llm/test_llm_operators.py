@@ -428,11 +428,26 @@ def test_recurrence_in_one_text_does_not_count(spark):
     assert {(r.doc_id, r.share) for r in share} == {(1, 0.0), (2, 0.0)}
 
 
-def test_run_groups_name_every_run_once():
-    text = "".join(random.Random(6).choice("ab ") for _ in range(1000))
-    _, first, runs, offset = spans.run_groups(spans.Hashes(text))
-    assert first[0] == 0 and (first[1:] == first[:-1] + runs[:-1]).all() and first[-1] + runs[-1] == 1000 - 127
-    assert runs.max() <= spans.WINDOW and offset.max() < spans.WINDOW
+def test_run_groups_name_every_run_once(monkeypatch):
+    r = random.Random(6)
+    texts = ["".join(r.choice("ab ") for _ in range(n)) for n in (1000, 128, 127, 0, 300)]
+    sizes = np.array([len(t) for t in texts])
+    _, first, runs, offset, text = spans.run_groups(spans.Hashes("".join(texts)), sizes)
+    start = np.cumsum(sizes) - sizes
+    for i, n in enumerate(sizes):
+        own = text == i
+        a, k = first[own] - start[i], runs[own]
+        assert k.sum() == max(n - 127, 0) and (not own.any() or a[0] == 0 and (a[1:] == a[:-1] + k[:-1]).all())
+    assert runs.max() <= spans.WINDOW and 0 <= offset.min() and offset.max() < spans.WINDOW
+    for part in (2, 5):  # texts apart, and places that turn often, name the same anchors
+        monkeypatch.setattr(spans, "PLACE", 7 if part == 5 else 20)
+        alone = [spans.run_groups(spans.Hashes(t), np.array([len(t)])) for t in texts if len(t) >= 128]
+        assert {int(a) for x in alone for a in x[0]} == {int(a) for a in spans.run_groups(spans.Hashes("".join(texts)), sizes)[0]}
+
+
+def test_stretches_in_small_chunks(spark, monkeypatch):
+    monkeypatch.setattr(spans, "AT_ONCE", 500)
+    assert list(spans._chunks(np.array([100, 450, 40, 900, 1, 0]))) == [(0, 1), (1, 3), (3, 4), (4, 6)] and list(spans._chunks(np.zeros(0, int))) == []
 
 
 def test_hashes_of_equal_substrings():
