@@ -97,6 +97,11 @@ def l2_normalize(a: Column) -> Column:
     return F.transform(F.array(norm), lambda n: F.when(n < 1e-12, F.transform(a, lambda x: x.cast("double"))).otherwise(F.transform(a, lambda x: x.cast("double") / n)))[0]
 
 
+def code_if(wanted: Column, code: Column) -> Column:
+    """The code if it is wanted, else null."""
+    return F.when(wanted, code)
+
+
 def phrase(query: Column) -> Column:
     """A full-text query as one quoted phrase, as params.phrase() does for a single one."""
     return F.concat(F.lit('"'), F.replace(query, F.lit('"'), F.lit('""')), F.lit('"'))

@@ -146,6 +146,11 @@ def dead_code(edges: DataFrame, symbols: DataFrame, repo: str, file_path: str =
     return dead if limit is None else dead.limit(params.limit_or(limit, 50, 200))
 
 
+def is_test() -> Column:
+    """Does (file_path, name) look like a test?"""
+    return _like(F.col("file_path"), TEST_PATHS) | _like(F.col("name"), TEST_NAMES)
+
+
 def tests_for_symbol(edges: DataFrame, symbols: DataFrame, repo: str, target: DataFrame, name: str) -> DataFrame:
     """(symbol_id, name, file_path, start_line, match_reason): tests of target(id), by file, line and id.
 
@@ -155,7 +160,7 @@ def tests_for_symbol(edges: DataFrame, symbols: DataFrame, repo: str, target: Da
     code = symbols.where((F.col("repo_name") == repo) & F.col("kind").isin("function", "method"))
     callers = edges.join(target.select(F.col("id").alias("callee_id")), "callee_id", "left_semi").select(F.col("caller_id").alias("id")).distinct()
     in_test = _like(F.col("file_path"), TEST_PATHS)
-    direct = code.where(in_test | _like(F.col("name"), TEST_NAMES)).join(callers, "id", "left_semi").withColumn("match_reason", F.lit("dependency"))
+    direct = code.where(is_test()).join(callers, "id", "left_semi").withColumn("match_reason", F.lit("dependency"))
     base = name.rsplit(".", 1)[-1]
     guessed = code.where(in_test & scalars.like_any(F.col("name"), base)).withColumn("match_reason", F.lit("name_heuristic"))
     none = direct.limit(1).select(F.lit(1).alias("hit")).agg(F.count("hit").alias("hits")).where("hits = 0")  # one row or none

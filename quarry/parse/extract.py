@@ -23,12 +23,12 @@ EDGE_ROW = "repo_name string, file_path string, kind string, symbol string, line
 def symbols_of(text: str, language: str) -> list[dict]:
     """The symbols of a file in the order of their lines; of equal (qualified name, first line) the first wins.
 
-    A function inside a class becomes a method and is named Class.name. An unknown language or a broken Python file has
-    no symbols.
+    A function inside a class becomes a method and is named Class.name. An unknown language has no symbols; a Python file
+    that does not parse has those that its headers and indents show.
     """
     if language == "python":
         tree = languages.python_tree(text)
-        found = [(n, k, p, a, z, c) for n, k, p, a, z, c in languages.python_symbols(text, tree)] if tree else []
+        found = languages.python_symbols(text, tree) if tree else languages.broken_python_symbols(text)
     elif language in languages.SYMBOLS:
         src = Source(text, language)
         raw = sorted(languages.SYMBOLS[language](src), key=lambda s: (s.start, -s.end))
@@ -57,7 +57,8 @@ def edges_of(text: str, language: str) -> list[dict]:
     """(kind, symbol, line) of a file: import, call, extends, implements; repeats kept."""
     if language == "python":
         tree = languages.python_tree(text)
-        return [{"kind": k, "symbol": s, "line": line} for k, s, line in languages.python_edges(tree)] if tree else []
+        found = languages.python_edges(tree) if tree else languages.broken_python_edges(text)
+        return [{"kind": k, "symbol": s, "line": line} for k, s, line in found]
     if language not in languages.EDGES:
         return []
     src = Source(text, language)

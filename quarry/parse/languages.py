@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import keyword
 import re
 from dataclasses import dataclass
 
@@ -450,5 +451,45 @@ def python_edges(tree: ast.Module) -> list[tuple[str, str, int]]:
     return out
 
 
+_PY_BLANK = re.compile(r"""#[^\n]*|(\"{3}|'{3}).*?(?:\1|\Z)|"(?:\\.|[^"\\\n])*"?|'(?:\\.|[^'\\\n])*'?""", re.S)
+_PY_HEAD = re.compile(r"^([ \t]*)(?:async[ \t]+)?(def|class)[ \t]+(\w+)", re.M)
+
+
+def _python_code(text: str) -> str:
+    """The text with comments and strings blanked."""
+    return _PY_BLANK.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
+
+
+def broken_python_symbols(text: str) -> list[tuple[str, str, str, int, int, str]]:
+    """python_symbols() of a text that does not parse: a header's block ends before the next line indented no deeper."""
+    code, lines, out = _python_code(text), text.splitlines(keepends=True), []
+    indent = [len(x) - len(x.lstrip(" \t")) if x.strip() else None for x in code.splitlines()]
+    open_blocks: list[tuple[int, int, str, str]] = []  # last line, indent, kind, name
+    for m in _PY_HEAD.finditer(code):
+        first, depth = code.count("\n", 0, m.start()), len(m[1])
+        after = next((i for i in range(first + 1, len(indent)) if indent[i] is not None and indent[i] <= depth), len(indent))
+        last = max((i for i in range(first, after) if indent[i] is not None), default=first)
+        open_blocks = [b for b in open_blocks if b[0] >= first and b[1] < depth]
+        parent = next((b[3] for b in reversed(open_blocks) if b[2] == "class"), "")
+        kind = "class" if m[2] == "class" else "method" if parent else "function"
+        out.append((m[3], kind, parent, first + 1, last + 1, "".join(lines[first : last + 1])[depth:].rstrip("\n")))
+        open_blocks.append((last, depth, m[2], m[3]))
+    for m in re.finditer(r"^(\w+)[ \t]*(?::[^=\n]+)?=(?!=)", code, re.M):
+        line = code.count("\n", 0, m.start())
+        out.append((m[1], "variable", "", line + 1, line + 1, lines[line].rstrip("\n")))
+    return out
+
+
+def broken_python_edges(text: str) -> list[tuple[str, str, int]]:
+    """python_edges() of a text that does not parse."""
+    code, out = _python_code(text), []
+    for m in re.finditer(r"^[ \t]*import[ \t]+([\w., \t]+)", code, re.M):
+        out += [("import", n.split()[0], code.count("\n", 0, m.start()) + 1) for n in m[1].split(",") if n.strip()]
+    out += [("import", m[1], code.count("\n", 0, m.start()) + 1) for m in re.finditer(r"^[ \t]*from[ \t]+(\w[\w.]*)[ \t]+import\b", code, re.M)]
+    calls = re.finditer(r"(?<![\w.])([A-Za-z_]\w*)[ \t]*\(", code)
+    heads = {m.end() for m in _PY_HEAD.finditer(code)}
+    return out + [("call", m[1], code.count("\n", 0, m.start()) + 1) for m in calls if not keyword.iskeyword(m[1]) and m.end(1) not in heads]
+
+
 SYMBOLS = {"go": go_symbols, "typescript": script_symbols, "tsx": script_symbols, "javascript": script_symbols, "rust": rust_symbols, "java": java_symbols, "c": c_symbols, "cpp": c_symbols, "csharp": csharp_symbols}
 EDGES = {"go": go_edges, "typescript": script_edges, "tsx": script_edges, "javascript": script_edges, "rust": rust_edges, "java": java_edges, "c": c_edges, "cpp": c_edges, "csharp": csharp_edges}

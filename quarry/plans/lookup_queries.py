@@ -272,27 +272,3 @@ def tokenize_words(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.fulltext import terms
 
     return table(spark, sf, "documents").where("text is not null").select("doc_id", F.size(terms(F.col("text"))).alias("words"))
-
-
-@query()
-def mock_embed(spark: SparkSession, sf: str) -> DataFrame:
-    """Unit vectors of the hashing embedder for every symbol's embedding text."""
-    from ..functions.embedders import hash_embedding
-
-    rows = spread(symbols(spark, sf, "code_block"))
-    return rows.select(F.col("id").alias("symbol_id"), hash_embedding(scalars.embed_text(F.col("kind"), F.col("qualified_name"), F.col("code_block"))).alias("embedding"))
-
-
-@query()
-def wordpiece(spark: SparkSession, sf: str) -> DataFrame:
-    """WordPiece ids of every symbol's embedding text over a stand-in vocabulary of letters and common words."""
-    import string
-
-    from ..functions.embedders import WordPiece, wordpiece_ids
-
-    words = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "function", "class", "return", "def", "func", *string.ascii_lowercase, *string.digits, *"(){}:,.*_", *("##" + c for c in string.ascii_lowercase + string.digits)]
-    tokenizer = WordPiece({w: i for i, w in enumerate(words)})
-    rows = spread(symbols(spark, sf, "code_block"))
-    return rows.select(F.col("id").alias("symbol_id"), wordpiece_ids(scalars.embed_text(F.col("kind"), F.col("qualified_name"), F.col("code_block")), tokenizer).alias("ids"))
-
-

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import graph_queries, lookup_queries, orphan_queries, search_queries, stream_queries
+from . import engine_queries, graph_queries, lookup_queries, orphan_queries, search_queries, source_queries, stream_queries
 
-MODULES = [lookup_queries, graph_queries, search_queries, stream_queries, orphan_queries]
+MODULES = [lookup_queries, graph_queries, search_queries, stream_queries, orphan_queries, source_queries, engine_queries]
 
 
 def queries() -> dict:

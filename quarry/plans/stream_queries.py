@@ -44,6 +44,17 @@ def dedup_pending(spark: SparkSession, sf: str) -> DataFrame:
     return watch.pending(_events(spark, sf)).select(F.date_format("window_start", "yyyy-MM-dd HH").alias("hour"), "path")
 
 
+@query("SELECT DISTINCT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, user_id::VARCHAR AS path FROM events")
+def dedup_pending_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """dedup_pending through a stream, which keeps the paths of the open hours as its state."""
+    out = scratch(spark, "stream")
+    events = watch.read_events(spark, f"{sf.rstrip('/')}/events.parquet", table(spark, sf, "events").schema)
+    paths = watch.pending(events.select(F.col("user_id").cast("string").alias("path"), "ts"), lateness="400 days")
+    run = paths.writeStream.format("parquet").option("path", f"{out}/found").option("checkpointLocation", f"{out}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema("window_start timestamp, path string").parquet(f"{out}/found").select(F.date_format("window_start", "yyyy-MM-dd HH").alias("hour"), "path")
+
+
 @query("SELECT event_type, count(*)::BIGINT AS n FROM events GROUP BY event_type")
 def stream_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Counts by type, taken through a stream of the event files and one micro-batch after another."""
@@ -59,7 +70,7 @@ def stream_counts(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{out}/counts").groupBy("event_type").agg(F.sum("n").alias("n"))
 
 
-@query()
+@query("SELECT DISTINCT 0 AS flush, 'src/user_' || user_id || '.go' AS path FROM events WHERE event_type <> 'error'")
 def stream_incremental_index(spark: SparkSession, sf: str) -> DataFrame:
     """The paths handed to the index, flush by flush, of a stream of change events."""
     out = scratch(spark, "stream")

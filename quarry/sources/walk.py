@@ -5,7 +5,9 @@ from __future__ import annotations
 import fnmatch
 import os
 import re
+from datetime import datetime, timezone
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..schema import MAX_FILE_BYTES
@@ -95,14 +97,80 @@ def _base(root: str) -> tuple[str, str]:
     return base, prefix
 
 
+def _hidden(spark: SparkSession, root: str) -> list[str]:
+    """Paths below root that Spark's listing passes over, as a name in them begins with `_` or `.`; known extensions only.
+
+    Skipped directories are not entered. Only names are looked at, directory by directory.
+    """
+    base, prefix = _base(root)
+    jvm, found, todo = spark._jvm, [], [("", False)]
+    fs = jvm.org.apache.hadoop.fs.Path(base).getFileSystem(spark._jsc.hadoopConfiguration())
+    local = prefix if base.startswith("file:") else None
+    while todo:
+        below, hidden = todo.pop()
+        if local is not None:
+            entries = [(e.name, e.is_dir(follow_symlinks=False)) for e in os.scandir(os.path.join(local, below)) if e.is_dir(follow_symlinks=False) or e.is_file()]
+        else:
+            entries = [(s.getPath().getName(), s.isDirectory()) for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{below}"))]
+        for name, folder in entries:
+            path, out = f"{below}{name}", hidden or name[0] in "_."
+            if folder and name not in SKIPPED_DIRS:
+                todo.append((path + "/", out))
+            elif not folder and out and os.path.splitext(name)[1] in LANGUAGES:
+                found.append(path)
+    return found
+
+
+_FILE_ROW = "path string, modificationTime timestamp, length long, content binary"
+
+
+def _opened(spark: SparkSession, base: str, paths: list[str]) -> DataFrame:
+    """The reader's rows of files whose own name begins with `_` or `.`, which the reader never gives; there are few.
+
+    In a mounted file system the workers open them, elsewhere the driver does, one after another.
+    """
+    full = [f"{base.rstrip('/')}/{p}" for p in paths]
+    if base.startswith("file:"):
+
+        def read(batches):
+            for batch in batches:
+                found = []
+                for path in batch.path:
+                    plain = re.sub("^file:/*", "/", path)
+                    info = os.stat(plain)
+                    with open(plain, "rb") as f:
+                        found.append((path, pd.Timestamp(int(info.st_mtime * 1000), unit="ms"), info.st_size, f.read() if info.st_size <= MAX_FILE_BYTES else b""))
+                yield pd.DataFrame(found, columns=["path", "modificationTime", "length", "content"])
+
+        return spark.createDataFrame([(p,) for p in full], "path string").mapInPandas(read, _FILE_ROW)
+    fs_path, rows = spark._jvm.org.apache.hadoop.fs.Path, []
+    for p in full:
+        fs = fs_path(p).getFileSystem(spark._jsc.hadoopConfiguration())
+        info, stream = fs.getFileStatus(fs_path(p)), fs.open(fs_path(p))
+        try:
+            content = bytes(stream.readAllBytes()) if info.getLen() <= MAX_FILE_BYTES else b""
+        finally:
+            stream.close()
+        rows.append((p, datetime.fromtimestamp(info.getModificationTime() / 1000, timezone.utc), info.getLen(), content))
+    return spark.createDataFrame(rows, _FILE_ROW)
+
+
 def _listed(spark: SparkSession, root: str, paths: list[str] | None = None) -> DataFrame:
     """The reader's rows with `rel`, the path below root; only names with a known extension are listed."""
     base, prefix = _base(root)
-    reader = spark.read.format("binaryFile")
+
+    def named(some: list[str]) -> DataFrame:
+        odd = [p for p in some if os.path.basename(p)[0] in "_."]
+        even = [re.sub(r"([\\{}\[\]*?,])", r"\\\1", f"{base.rstrip('/')}/{p}") for p in some if os.path.basename(p)[0] not in "_."]
+        parts = ([spark.read.format("binaryFile").load(even)] if even else []) + ([_opened(spark, base, odd)] if odd else [])
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
     if paths is None:
-        raw = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(e[1:] for e in LANGUAGES) + "}").load(base)
+        raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(e[1:] for e in LANGUAGES) + "}").load(base)
+        if hidden := _hidden(spark, root):
+            raw = raw.unionByName(named(hidden))
     else:
-        raw = reader.load([re.sub(r"([\\{}\[\]*?,])", r"\\\1", f"{base.rstrip('/')}/{p}") for p in paths])
+        raw = named(paths)
     plain = F.regexp_replace("path", "^file:/+", "/") if base.startswith("file:") else F.col("path")
     return raw.withColumn("p", plain).withColumn("rel", F.expr(f"substring(p, {len(prefix) + 2})"))
 

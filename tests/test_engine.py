@@ -5,15 +5,19 @@ import os
 import subprocess
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.index_job import index
+from quarry.functions import embedders
+from quarry.index_job import forget, index
 from quarry.operators import memories
 from quarry.service import TOOLS, Service, enabled
 from quarry.store import Store
 from quarry.streaming import watch
 
+from . import tiny_onnx
+
 MAIN = "package main\n\nfunc main() {\n\tgreet()\n}\n"
 GREET = "package main\n\nfunc greet() {\n\tprint(1)\n}\n\nfunc unused() {\n}\n"
 CALC = "export class Calc {\n  times(a: number) {\n    return helper(a);\n  }\n}\nexport function helper(a: number) {\n  return a;\n}\n"
@@ -113,6 +117,141 @@ def test_service(spark, tree, tmp_path):
     assert s.session_saved >= 0 and len(TOOLS) == 17
 
 
+def test_service_batches_and_bounds(spark, tree, tmp_path, monkeypatch):
+    (tree / "many.go").write_text("package main\n\n" + "".join(f"func user{i:03}() {{\n\tgreet()\n}}\n\n" for i in range(130)))
+    s = Service(spark, Store(spark, str(tmp_path / "store")), str(tree), "demo")
+    assert s.reindex_project()["errors"] == 0
+    blast = s.get_blast_radius("greet", 1)
+    # edges belong to the first symbol of a file
+    assert blast["by_depth"] == {1: 2} and not blast["truncated"] and s.get_blast_radius("greet", 1, cap=1)["truncated"]
+    batch = s.get_code_by_symbol([f"user{i:03}" for i in range(50)], depth=1)
+    assert batch["success_count"] == 50 and [i["input"] for i in batch["results"]] == [f"user{i:03}" for i in range(50)]
+    assert [d["name"] for d in batch["results"][0]["data"]["dependencies"]] == ["greet"] and "truncated" not in batch
+    assert "error" in s.get_code_by_symbol(["x"] * 51)
+    monkeypatch.setattr("quarry.service.MAX_ROWS", 1)
+    assert len(s._rows(s.symbols, 1)) == 2
+    usages = s.get_symbol_usages("greet")
+    assert usages["usage_count"] == 2
+    for bad in ("../tree/ARCHITECTURE.md/../../x", "/etc/hostname", "../secret.md"):
+        (tmp_path / "secret.md").write_text("## no")
+        assert "does not exist" in s.read_architecture_rules(bad)["error"]
+    for pattern in (r"(?P<n>greet)\(", r"(e)\1"):
+        assert s.search_code_patterns(pattern)["result_count"] > 0
+
+
+def _folder(path, words, matrix):
+    path.mkdir()
+    body = matrix.astype("<f4").tobytes()
+    head = json.dumps({"embeddings": {"dtype": "F32", "shape": list(matrix.shape), "data_offsets": [0, len(body)]}}).encode()
+    (path / "model.safetensors").write_bytes(len(head).to_bytes(8, "little") + head + body)
+    (path / "vocab.txt").write_text("\n".join(words))
+    (path / "model.onnx").write_bytes(tiny_onnx.model(matrix))
+    return path
+
+
+def test_one_embedder_for_index_and_search(spark, tree, tmp_path):
+    """With a static model the nearest symbol is the one that means the query; its vectors are no others'."""
+    words = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "greet", "helper", "unused", "calc", "times"]
+    matrix = np.zeros((9, 5), np.float32)
+    matrix[4:, :] = np.eye(5)
+    folder = _folder(tmp_path / "model", words, matrix)
+    for kind in ("static", "onnx"):
+        store = Store(spark, str(tmp_path / kind))
+        s = Service(spark, store, str(tree), "demo", embedder=f"{kind}:{folder}")
+        stats = s.reindex_project()
+        assert stats["vectors"] == stats["symbols"] == 6
+        found = s.semantic_search_symbols("helper", top_k=1, min_similarity=0.2)["results"]
+        assert [(r["name"], r["source"]) for r in found] == [("helper", "both")]
+        assert {len(r.embedding) for r in store.read("vec_symbols").collect()} == {5}
+        other = Service(spark, store, str(tree), "demo")
+        assert "index the project" in other.semantic_search_symbols("helper")["error"]
+        assert other.reindex_project()["vectors"] == 6  # no file changed, but all vectors are made anew
+        assert {len(r.embedding) for r in store.read("vec_symbols").collect()} == {128} and "results" in other.semantic_search_symbols("helper")
+    for bad in ("static:/none", "what"):
+        with pytest.raises((OSError, ValueError)):
+            embedders.load_embedder(bad)
+
+
+def test_vector_cache_is_read_again_after_a_change(spark, tree, tmp_path):
+    s = Service(spark, Store(spark, str(tmp_path / "store")), str(tree), "demo")
+    s.reindex_project()
+    s.semantic_search_symbols("greet", min_similarity=0)
+    first = s.cache._held["demo"]
+    s.semantic_search_symbols("main", min_similarity=0)
+    assert s.cache._held["demo"] is first
+    (tree / "greet.go").write_text(GREET + "\nfunc added() {\n}\n")
+    index(spark, str(tree), "demo", s.store)  # by another process, as it were
+    assert any(r["name"] == "added" for r in s.semantic_search_symbols("added", min_similarity=0)["results"])
+    assert s.cache._held["demo"][0] != first[0]
+
+
+def test_store_commits_whole(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    edges = lambda n: spark.createDataFrame([(i, i, "call") for i in range(n)], "caller_id long, callee_id long, kind string")
+    store.commit({("dependencies", "a"): edges(3), ("dependencies", "b"): edges(2)}, {"k": [1]})
+    old = store.read("dependencies")
+    store.append("dependencies", edges(1), "a")
+    assert store.read("dependencies", "a").count() == 4 and store.read("dependencies").count() == 6 and store.meta("k") == [1]
+    store.commit({("dependencies", "a"): None})
+    assert store.parts("dependencies") == ["b"] and old.count() == 5  # a reader keeps what it began with
+    broken = tmp_path / "s" / "_manifest" / "000000000099.json"
+    broken.write_text('{"schema": 2, "tab')  # a writer died here
+    assert store.read("dependencies").count() == 2
+    store.write("dependencies", edges(7), "b")
+    assert store.read("dependencies").count() == 7 and (tmp_path / "s" / "_manifest" / "000000000100.json").exists()
+    with pytest.raises(Exception):
+        store._put({}, 100)  # the number is taken
+    assert store.vacuum() == 0 and store.vacuum(grace_s=-1) >= 3 and store.read("dependencies").count() == 7
+    for _ in range(18):
+        store.append("dependencies", edges(1), "c")
+    assert store.read("dependencies", "c").count() == 18 and len(store.version("dependencies", "c").split(",")) <= 16
+    newer = Store(spark, str(tmp_path / "new"))
+    newer._put({"schema": 99, "tables": {}, "meta": {}}, 1)
+    with pytest.raises(ValueError):
+        Store(spark, str(tmp_path / "new"))
+
+
+def test_store_of_the_first_layout(spark, tmp_path):
+    root = tmp_path / "old"
+    rows = {"symbols": [(1, "r", "a"), (2, "q", "b")], "dependencies": [(1, 1, "call"), (2, 2, "call"), (9, 9, "call")], "memories": [(5, 1, "n")]}
+    from quarry.schema import TABLES
+    for name, some in rows.items():
+        schema = TABLES[name]
+        spark.createDataFrame([(*r, *[None] * (len(schema) - len(r))) for r in some], schema).write.parquet(str(root / name / "v-1"))
+        (root / name / "_current").write_text("v-1")
+    store = Store(spark, str(root))
+    assert store.parts("symbols") == ["q", "r"] and store.read("dependencies", "r").first().caller_id == 1 and store.read("memories", "").count() == 1
+    assert Store(spark, str(root)).read("symbols").count() == 2
+
+
+def test_watcher_feeds_the_index(spark, tree, tmp_path):
+    s = Service(spark, Store(spark, str(tmp_path / "store")), str(tree), "demo")
+    s.reindex_project()
+    watcher = watch.TreeWatcher(spark, str(tree))
+    assert watcher.poll() == 0
+    (tree / "new.go").write_text("package main\n\nfunc fresh() {\n\tgreet()\n}\n")
+    os.unlink(tree / "calc.ts")
+    (tree / "notes.md").write_text("no source")
+    assert watcher.run(s.flush, polls=3, every_s=0) == 1
+    assert set(by_name(s.store)) == {"main", "greet", "unused", "fresh"}
+    assert {r.path for r in s.store.read("files").collect()} == {"main.go", "greet.go", "new.go"}
+    names = {r.id: r.name for r in s.store.read("symbols").collect()}
+    assert ("fresh", "greet") in {(names[e.caller_id], names[e.callee_id]) for e in s.store.read("dependencies").collect()}
+    assert watcher.run(s.flush, polls=2, every_s=0) == 0
+
+
+def test_full_text_follows_the_files(spark, tree, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    index(spark, str(tree), "demo", store)
+    terms = lambda: {r.term for r in store.read("fts_postings").collect()}
+    assert {"calc", "helper", "greet"} <= terms()
+    os.unlink(tree / "calc.ts")
+    index(spark, str(tree), "demo", store)
+    assert not {"calc", "helper"} & terms() and store.read("fts_lengths").count() == 3
+    forget(store, "demo")
+    assert store.read("fts_postings").count() == store.read("symbols").count() == 0
+
+
 def test_served_lines(spark, tree, tmp_path):
     from quarry.__main__ import answer, serve
 

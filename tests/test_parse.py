@@ -222,3 +222,26 @@ def test_rows_and_table_functions(spark):
     rows = spark.sql("SELECT f.path, s.qualified_name FROM own_files f, LATERAL code_symbols(f.content, f.language) s").collect()
     assert len(rows) == 7
     assert spark.sql("SELECT e.symbol FROM own_files f, LATERAL code_edges(f.content, f.language) e WHERE e.kind = 'call'").count() == 2
+
+
+def test_python_that_does_not_parse():
+    text = 'import os, sys as s\nfrom a.b import c\nclass A(B):\n    """doc def no(): """\n    x = 1\n    async def run(self, y):\n        if y:\n        return call(y) + o.m(1)  # def no2()\n\n    def two(self):\n        pass\ntop = "str(" + f(2)\ndef last(\n    a):\n    with (x\n'
+    found = {(r["qualified_name"], r["kind"], r["start_line"], r["end_line"]) for r in extract.symbols_of(text, "python")}
+    assert found == {("A", "class", 3, 11), ("A.run", "method", 6, 8), ("A.two", "method", 10, 11), ("top", "variable", 12, 12), ("last", "function", 13, 15)}
+    assert {(e["kind"], e["symbol"]) for e in extract.edges_of(text, "python")} == {("import", "os"), ("import", "sys"), ("import", "a.b"), ("call", "call"), ("call", "f")}
+
+
+def test_time_limit_of_a_file(spark, monkeypatch):
+    import time
+
+    def slow(text, language):
+        time.sleep(5)
+
+    monkeypatch.setattr(extract, "symbols_of", slow)
+    began = time.time()
+    assert extract.parsed("x = 1", "python", 0.2) == ([], [], "timeout") and time.time() - began < 3
+    monkeypatch.undo()
+    files = spark.createDataFrame([("r", "a.py", "python", "import x\ndef f():\n    g()\n"), ("r", "b.xyz", "none", "?"), ("r", "c.go", "go", None)], "repo_name string, path string, language string, content string")
+    rows = {r.file_path: r for r in extract.parse_files(files).collect()}
+    assert [s.name for s in rows["a.py"].symbols] == ["f"] and {e.kind for e in rows["a.py"].edges} == {"import", "call"} and {r.error for r in rows.values()} == {None}
+    assert [r.symbol for r in extract.imports_of_files(extract.edge_rows(extract.parse_files(files))).collect()] == ["x"]

@@ -86,7 +86,7 @@ def test_wordpiece_reads_the_embedding_text(spark, tmp_path):
     """One signature, two kinds and names: the ids differ, and spell kind, qualified name and first line."""
     rows = [(1, "r", "a", "q.a", "function", "a.go", "h", "return\nclass", 1, 2, "go", T0), (2, "r", "b", "q.b", "class", "a.go", "h", "return", 3, 4, "go", T0)]
     spark.createDataFrame(rows, SYMBOLS).write.parquet(str(tmp_path / "symbols.parquet"))
-    got = {r.symbol_id: [i for i in r.ids if i] for r in QUERIES["wordpiece"](spark, str(tmp_path)).collect()}
+    got = {r.symbol_id: [int(i) for i in r.ids.split() if i != "0"] for r in QUERIES["wordpiece"](spark, str(tmp_path)).collect()}
     at = {w: i for i, w in enumerate(["[PAD]", "[UNK]", "[CLS]", "[SEP]", "function", "class", "return", "def", "func", *"abcdefghijklmnopqrstuvwxyz", *"0123456789", *"(){}:,.*_"])}
     assert got == {i: [at[w] for w in ["[CLS]", kind, "q", ".", name, ":", "return", "[SEP]"]] for i, kind, name in ((1, "function", "a"), (2, "class", "b"))}
 

@@ -20,13 +20,13 @@ def test_ignore(spark, pattern, path, hit):
 
 
 def test_scan(spark, tmp_path):
-    files = {"src/a.ts": "x", "src/b.tsx": "y", "node_modules/c.ts": "z", "README.md": "r", "big.go": "g" * (1 << 20) + "g", "edge.go": "g" * (1 << 20), "skip/d.py": "d", "src/UP.GO": "u"}
+    files = {"src/a.ts": "x", "src/b.tsx": "y", "node_modules/c.ts": "z", "README.md": "r", "big.go": "g" * (1 << 20) + "g", "edge.go": "g" * (1 << 20), "skip/d.py": "d", "src/UP.GO": "u", "src/_gen/e.py": "e", ".hidden/_f.go": "f", "src/_g.ts": "g", ".git/h.go": "h"}
     for name, text in files.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text(text)
     (tmp_path / ".gitignore").write_text("# none\n\nskip/\n")
     rows = {r.path: r for r in walk.scan(spark, str(tmp_path), "r", with_content=False).collect()}
-    assert set(rows) == {"src/a.ts", "src/b.tsx", "edge.go"}
+    assert set(rows) == {"src/a.ts", "src/b.tsx", "edge.go", "src/_gen/e.py", ".hidden/_f.go", "src/_g.ts"}
     named = walk.read_files(spark, str(tmp_path), "r", spark.createDataFrame([("src/a.ts",), ("src/a.ts",), ("edge.go",)], "path string")).collect()
     assert {(r.path, r.content_hash) for r in named} == {(p, rows[p].content_hash) for p in ("src/a.ts", "edge.go")} and len(named) == 2
     assert {r.path for r in walk.listing(spark, str(tmp_path)).collect()} == set(rows) and walk.skipped(spark, str(tmp_path)) == 3
