@@ -10,6 +10,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..operators.running import row_numbers
+from ..operators.skew import hot_keys, join_hot
 from ..session import staged
 
 K = 60
@@ -25,30 +27,12 @@ def best_scores(hits: DataFrame, score: str, higher_is_better: bool) -> DataFram
     return usable.groupBy("query_id", "symbol_id").agg(F.max(value if higher_is_better else -value).alias("goodness"))
 
 
-def _positions(scores: DataFrame, into: str) -> DataFrame:
-    """scores with the position of each hit in its query, from 1, best first, equal scores by smaller symbol_id.
-
-    A query may hold a third of all hits, so no window runs over a whole query: hits are range-partitioned by
-    (query, goodness, symbol), numbered within the part, and shifted by the counts of the parts before.
-    """
-    spark = scores.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("query_id"), F.col("goodness").desc(), F.col("symbol_id")]
-    placed = scores.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id())
-    placed = staged(placed, "placed")  # fixes the parts, which both uses below must see alike
-    local = Window.partitionBy("part", "query_id").orderBy(F.col("goodness").desc(), "symbol_id")
-    numbered = placed.withColumn("in_part", F.row_number().over(local))
-    sizes = placed.groupBy("query_id", "part").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("query_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    shift = sizes.select("query_id", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
-    return numbered.join(shift, ["query_id", "part"]).select("query_id", "symbol_id", (F.col("in_part") + F.col("shift")).alias(into))
-
-
 def rank_tables(tables: list[tuple[DataFrame, str, bool]]) -> DataFrame:
     """Full outer join of the tables' positions: (query_id, symbol_id, position_0, position_1, ...); null where absent."""
     joined = None
     for i, (hits, score, higher) in enumerate(tables):
-        ranked = _positions(best_scores(hits, score, higher), f"position_{i}")
+        best = best_scores(hits, score, higher)
+        ranked = row_numbers(best, ["query_id"], [F.desc("goodness"), F.col("symbol_id")], f"position_{i}").drop("goodness")
         joined = ranked if joined is None else joined.join(ranked, ["query_id", "symbol_id"], "full_outer")
     return joined
 
@@ -80,35 +64,45 @@ def fused_places(tables: list[tuple[DataFrame, str, bool]], top: int = 10, k: in
 def component(ranked: DataFrame, names: list[str], directions: list[int]) -> np.ndarray:
     """Loadings of the first principal component of the columns' correlation matrix, one pass over all rows.
 
-    Signs are oriented so that the loadings agree with the declared directions. A constant column loads 0; without
-    rows, or with all columns constant, every column weighs the same.
+    A correlation is taken over the rows that hold both columns. The sign is oriented so that the loadings agree with
+    the declared directions on the whole; where scores contradict each other a single loading can stay against its own,
+    and if they cancel out the first column decides. A constant column loads 0; without rows, with all columns constant
+    or without any correlation, every column that varies (or every one) weighs the same.
     """
-    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    sums = ranked.agg(F.count(F.lit(1)).alias("n"), *[F.avg(n).alias(f"m{i}") for i, n in enumerate(names)], *[F.covar_pop(names[i], names[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
-    cov = np.zeros((len(names),) * 2)
+    goal = np.asarray(directions, float)
+    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
+    row = ranked.agg(*[F.var_pop(n).alias(f"v{i}") for i, n in enumerate(names)], *[
+        x for i, j in pairs for x in (
+            F.covar_pop(names[i], names[j]).alias(f"c{i}_{j}"),
+            F.var_pop(F.when(F.col(names[j]).isNotNull(), F.col(names[i]))).alias(f"a{i}_{j}"), F.var_pop(F.when(F.col(names[i]).isNotNull(), F.col(names[j]))).alias(f"b{i}_{j}"))
+    ]).first()
+    usable = np.array([(row[f"v{i}"] or 0.0) > 1e-24 for i in range(len(names))])
+    corr = np.diag(usable.astype(float))
     for i, j in pairs:
-        cov[i, j] = cov[j, i] = sums[f"c{i}_{j}"] or 0.0
-    sd = np.sqrt(np.diag(cov))
-    usable = sd > 1e-12
+        spread = (row[f"a{i}_{j}"] or 0.0) * (row[f"b{i}_{j}"] or 0.0)
+        if usable[i] and usable[j] and spread > 1e-48:
+            corr[i, j] = corr[j, i] = row[f"c{i}_{j}"] / np.sqrt(spread)
     if not usable.any():
-        return np.asarray(directions, float) / np.sqrt(len(names))
-    corr = np.where(usable[:, None] & usable, cov / np.maximum(np.outer(sd, sd), 1e-24), 0.0)
-    _, vectors = np.linalg.eigh(corr)
-    first = vectors[:, -1]
-    return first * (1 if first @ np.asarray(directions, float) >= 0 else -1)
+        return goal / np.sqrt(len(names))
+    if np.abs(corr - np.diag(np.diag(corr))).max(initial=0.0) < 1e-9:
+        return goal * usable / np.sqrt(usable.sum())
+    first = np.linalg.eigh(corr)[1][:, -1]
+    agree = first @ goal
+    if abs(agree) < 1e-9:
+        agree = next(x * g for x, g in zip(first, goal) if abs(x) > 1e-9)
+    return first * (1 if agree > 0 else -1)
 
 
 def component_places(tables: list[tuple[DataFrame, str, bool]], top: int = 10) -> DataFrame:
     """(query_id, place, symbol_id) by the first principal component of the rank-transformed scores.
 
-    The rank transform maps the position p of n hits of a query to (n - p + 0.5) / n; a table without the hit gives 0.
-    If scores disagree so much that a loading turns against its declared direction, it counts with its magnitude in
-    the declared direction, so a better score never lowers a place.
+    The rank transform maps the position p of n hits of a query to (n - p + 0.5) / n. The correlation is that of the
+    hits that both tables hold; in the projection a table without the hit gives 0, below its last hit.
     """
     names = [f"score_{i}" for i in range(len(tables))]
-    ranked = rank_tables(tables)
+    ranked = staged(rank_tables(tables), "ranked")
     counts = ranked.groupBy("query_id").agg(*[F.count(f"position_{i}").alias(f"n_{i}") for i in range(len(tables))])
-    joined = ranked.join(counts, "query_id")
-    scored = joined.select("query_id", "symbol_id", *[F.coalesce((F.col(f"n_{i}") - F.col(f"position_{i}") + 0.5) / F.col(f"n_{i}"), F.lit(0.0)).alias(n) for i, n in enumerate(names)])
-    loadings = np.abs(component(scored, names, [1] * len(names)))
-    return _first(scored, sum(F.lit(float(w)) * F.col(n) for w, n in zip(loadings, names)), top)
+    joined = join_hot(ranked, counts, ["query_id"], hot_keys(ranked, ["query_id"]), ["symbol_id"])
+    scored = joined.select("query_id", "symbol_id", *[((F.col(f"n_{i}") - F.col(f"position_{i}") + 0.5) / F.col(f"n_{i}")).alias(n) for i, n in enumerate(names)])
+    loadings = component(scored, names, [1] * len(names))
+    return _first(scored, sum(F.lit(float(w)) * F.coalesce(n, F.lit(0.0)) for w, n in zip(loadings, names)), top)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
-from . import encoding, fusion, generated, neardup, neighbours, packing, spans, splitting
+from . import encoding, fusion, generated, neardup, neighbours, packing, paragraphs, spans, splitting
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +77,12 @@ def p9_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_share(documents, spans.shared_stretches(documents))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_origins, p3_found, p3_cohesion, p4_found, p6_found, p6_component, p7_ids, p8_containers, p8_fill, p9_found, p9_share)}
+def p9_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 9 by the method named: clusters of near-duplicate paragraphs, and which paragraph of each is kept."""
+    return paragraphs.near_duplicate_paragraphs(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_origins, p3_found, p3_cohesion, p4_found, p6_found, p6_component, p7_ids, p8_containers, p8_fill, p9_found, p9_share, p9_paragraphs)}
 
 SQL = {
     "p1_found": """

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 
-from quarry.llm import encoding, fusion, generated, grammar, lexicon, neardup, neighbours, packing, spans, splitting
+from quarry.llm import encoding, fusion, generated, grammar, lexicon, neardup, neighbours, packing, paragraphs, spans, splitting
 
 from . import brute
 
@@ -260,6 +260,12 @@ def test_component_signs(spark):
     df = spark.createDataFrame([(float(i), float(-i), 1.0) for i in range(10)], "a double, b double, c double")
     loads = fusion.component(df, ["a", "b", "c"], [1, -1, 1])
     assert loads[0] > 0 > loads[1] and loads[2] == 0
+    against = fusion.component(df, ["a", "b"], [1, 1])  # the two contradict each other: the first one decides
+    assert against[0] == pytest.approx(0.5**0.5) and against[1] == pytest.approx(-(0.5**0.5))
+    apart = spark.createDataFrame([(1.0, None), (2.0, None), (None, 3.0), (None, 9.0)], "a double, b double")  # no row holds both
+    assert fusion.component(apart, ["a", "b"], [1, 1]) == pytest.approx([0.5**0.5] * 2)
+    both = spark.createDataFrame([(float(i), float(i * i), None) for i in range(5)] + [(9.0, None, 1.0)], "a double, b double, c double")
+    assert fusion.component(both, ["a", "b", "c"], [1, 1, 1])[:2] == pytest.approx([0.5**0.5] * 2, abs=1e-6)
 
 
 # 7
@@ -454,3 +460,52 @@ def test_hashes_of_equal_substrings():
     h = spans.Hashes("xx" + "héllo wörld" + "yy" + "héllo wörld")
     a, z = np.array([2, 15]), np.array([13, 26])
     assert len(set(h.of(a, z).tolist())) == 1 and h.of(np.array([0]), np.array([2]))[0] != h.of(np.array([13]), np.array([15]))[0]
+
+
+def test_paragraphs_equal_brute_force(spark, monkeypatch):
+    """Clusters, links and what is kept, against all pairs; a third of the paragraphs are copies of one."""
+    r = random.Random(9)
+    word = lambda: f"w{r.randrange(300)}"
+    bases = [[word() for _ in range(r.randrange(30, 80))] for _ in range(25)]
+    made = []
+    for b in bases:
+        made.append(" ".join(b))
+        for k in range(3):
+            c = list(b)
+            for _ in range(k):
+                c[r.randrange(len(c))] = "new" + str(r.randrange(99))
+            made.append(" ".join(c))
+    made += ["Only, four short words", "only four short  WORDS!", "x"] + [made[0]] * 50
+    r.shuffle(made)
+    texts = {i: "\n\n".join(made[i * 4 : i * 4 + 4]) for i in range(-(-len(made) // 4))}
+    texts |= {900: None, 901: "", 902: " \n\n \t\n", 903: "!!!\n\n???", 904: "line one\nline two\n \n  after a blank line  "}
+    data = [(i, t, 1, 2) for i, t in texts.items()] + [(0, texts[0], 1, 2), (None, "a b c d e f", 1, 2)]
+    df = spark.createDataFrame(data, "doc_id long, text string, cls int, links int")
+    want_rows = [(i, n, a, z) for i, t in texts.items() if t for n, (a, z) in enumerate(paragraphs.pieces(t)) if paragraphs._WORD.search(t[a:z])]
+    sets = [frozenset(paragraphs.shingles(texts[i][a:z]).tolist()) for i, _, a, z in want_rows]
+    distinct = sorted(set(sets), key=sorted)
+    near = {s: {t for t in distinct if t != s and len(s & t) >= 0.8 * len(s | t) - 1e-9} for s in distinct}
+    label = {s: n for n, s in enumerate(distinct)}
+    for _ in distinct:
+        label = {s: min([label[s], *(label[t] for t in near[s])]) for s in distinct}
+    first = {}
+    for row, s in sorted(zip(want_rows, sets)):
+        first.setdefault(label[s], row[:2])
+    want = {row: (label[s], len(near[s]), first[label[s]] == row[:2]) for row, s in zip(want_rows, sets)}
+    for tile in (1024, 2):
+        monkeypatch.setattr(paragraphs, "TILE", tile)
+        got = {(x.doc_id, x.paragraph, x.start_char, x.end_char): x for x in paragraphs.near_duplicate_paragraphs(df).collect()}
+        assert set(got) == set(want) and len({x.class_id for x in got.values()}) == len(set(label.values()))
+        assert {k: (x.links, x.kept) for k, x in got.items()} == {k: v[1:] for k, v in want.items()}
+        assert len({(x.class_id, want[k][0]) for k, x in got.items()}) == len(set(label.values()))
+    assert paragraphs.near_duplicate_paragraphs(df.limit(0)).count() == 0
+
+
+def test_components_of_a_long_chain(spark):
+    edges = spark.range(0, 200).selectExpr("id as a", "id + 1 as b").unionByName(spark.range(500, 503).selectExpr("id as a", "503L as b"))
+    assert {(r.node, r.root) for r in paragraphs.components(edges).collect()} == {(i, 0) for i in range(201)} | {(i, 500) for i in range(500, 504)}
+
+
+def test_pieces():
+    assert [(("a\n\nb c\r\n \t\r\n\nd\n")[a:z]) for a, z in paragraphs.pieces("a\n\nb c\r\n \t\r\n\nd\n")] == ["a", "b c\r", "d\n"]
+    assert paragraphs.pieces("") == [] and paragraphs.pieces("\n\n\n") == []
