@@ -5,6 +5,7 @@
 2. On a bounded sample a k-nearest-neighbour graph is built and cut into balanced partitions: a few rounds in which each
    vector moves to the partition of most of its neighbours, against a price on large partitions. A linear softmax
    classifier learns the partition from the vector.
+   Of more than two million classes, partitions have two levels, each fitted like that.
 3. Every class is indexed in the partition the classifier finds most probable and searched in the PROBES most probable
    ones. A partition larger than TILE is cut into tiles, to each of which its queries go.
 4. Within a tile, products of blocks of vectors; what may be among the k best is rescored in double precision.
@@ -23,11 +24,13 @@ from ..session import slots, staged
 
 #: Rows on which the graph and the classifier are fitted, at most: 8 MB of vectors of 128 numbers.
 SAMPLE = 16_384
-#: Vectors to a partition, on average; at most MOST_PARTITIONS of them.
-PARTITION, MOST_PARTITIONS = 1024, 2048
-#: Partitions that each query searches.
-PROBES = 6
+#: Vectors to a partition, on average; above ONE_LEVEL partitions there are two levels of them.
+PARTITION, ONE_LEVEL = 1024, 2048
+#: Partitions that each query searches; with two levels, upper ones, and leaves in each of them.
+PROBES, UPPER_PROBES, LEAF_PROBES = 6, 4, 3
 TILE = 4096
+#: Rows of an upper partition that one task routes.
+ROWS_A_SALT = 200_000
 #: Cosines closer than this are equal.
 SAME = 1e-6
 
@@ -112,32 +115,105 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), rows], names=["cls", "vec"])
 
 
-def _routed(w: np.ndarray, b: np.ndarray, tiles: np.ndarray | None, probes: int, dimension: int):
-    """Without tiles: the partition of each class, (cls, part). With them: index rows and query rows by tile."""
-    first = np.cumsum(tiles) - tiles if tiles is not None else None
+def _fitted(sample: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, bias) of the classifier of `parts` balanced partitions; one partition takes everything."""
+    if parts <= 1 or len(sample) <= parts:
+        return np.zeros((1, sample.shape[1]), np.float32), np.zeros(1, np.float32)
+    return fit_classifier(sample, balanced_partition(sample, parts), parts)
+
+
+def _sent(batch: pa.RecordBatch, x: np.ndarray, own: np.ndarray, w: np.ndarray, b: np.ndarray, tiles: np.ndarray, probes: int, base: int) -> pa.RecordBatch:
+    """Index rows (kind 0, of the rows in `own`) and query rows (kind 1) of a batch (cls, vec) by tile, numbered from base."""
+    first = np.cumsum(tiles) - tiles
+    cls = batch.column(0).to_numpy()
+    score = x.astype(np.float32) @ w.T + b
+    k = min(probes, len(w))
+    parts = np.argpartition(-score, k - 1, axis=1)[:, :k].ravel()
+    at = np.flatnonzero(own)
+    home = np.argmax(score[at], axis=1)
+    mixed = (cls[at].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+    tile = first[home] + (mixed % tiles[home].astype(np.uint64)).astype(np.int64)
+    each = tiles[parts]
+    asked = np.repeat(first[parts], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+    row = np.repeat(np.repeat(np.arange(len(cls)), k), each)
+    rows, kind = np.r_[at, row], np.r_[np.zeros(len(at), np.int8), np.ones(len(row), np.int8)]
+    return pa.RecordBatch.from_arrays([pa.array(base + np.r_[tile, asked]), pa.array(kind), pa.array(cls[rows]), batch.column(1).take(pa.array(rows))], names=["tile", "kind", "cls", "vec"])
+
+
+_SENT = "tile long, kind byte, cls long, vec binary"
+
+
+def _parted(w: np.ndarray, b: np.ndarray, dimension: int):
+    """(cls, part): the most probable partition of each class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                batch = whole.slice(at, 2048)
+                score = _unit(batch, 1, dimension).astype(np.float32) @ w.T + b
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.argmax(score, axis=1).astype(np.int32))], names=["cls", "part"])
+
+    return run
+
+
+def _routed(w: np.ndarray, b: np.ndarray, tiles: np.ndarray, probes: int, dimension: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                batch = whole.slice(at, 2048)
+                yield _sent(batch, _unit(batch, 1, dimension), np.ones(batch.num_rows, bool), w, b, tiles, probes, 0)
+
+    return run
+
+
+def _to_tops(w: np.ndarray, b: np.ndarray, probes: int, dimension: int):
+    """(top, own, cls, vec): each class once for each of its `probes` most probable upper partitions; own: the first of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 batch = whole.slice(at, 2048)
-                cls = batch.column(0).to_numpy()
                 score = _unit(batch, 1, dimension).astype(np.float32) @ w.T + b
-                if tiles is None:
-                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.argmax(score, axis=1).astype(np.int32))], names=["cls", "part"])
-                    continue
                 k = min(probes, len(w))
-                best = np.argpartition(-score, k - 1, axis=1)[:, :k]
-                own = np.argmax(score, axis=1)
-                mixed = (cls.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-                tile = first[own] + (mixed % tiles[own].astype(np.uint64)).astype(np.int64)
-                many = tiles[best].sum(axis=1)
-                row = np.repeat(np.arange(len(cls)), many)
-                parts = best.ravel()
-                each = tiles[parts]
-                spread = np.repeat(first[parts], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-                rows = np.r_[np.arange(len(cls)), row]
-                kind = np.r_[np.zeros(len(cls), np.int8), np.ones(len(row), np.int8)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.r_[tile, spread].astype(np.int32)), pa.array(kind), pa.array(cls[rows]), batch.column(1).take(pa.array(rows))], names=["tile", "kind", "cls", "vec"])
+                top = np.argpartition(-score, k - 1, axis=1)[:, :k]
+                rows = pa.array(np.repeat(np.arange(batch.num_rows), k))
+                own = (top == np.argmax(score, axis=1)[:, None]).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(top.ravel().astype(np.int32)), pa.array(own), batch.column(0).take(rows), batch.column(1).take(rows)], names=["top", "own", "cls", "vec"])
+
+    return run
+
+
+def _fit_top(partition: int, dimension: int):
+    """The classifier of one upper partition from its sample (top, members, vec): weights, bias, and tiles of its leaves."""
+
+    def run(table: pa.Table) -> pa.Table:
+        x = np.concatenate([_unit(b, 2, dimension) for b in table.to_batches() if b.num_rows]).astype(np.float32)
+        members = table.column("members")[0].as_py()
+        w, b = _fitted(x, min(round(members / partition), len(x) // 8))
+        held = np.bincount(np.argmax(x @ w.T + b, axis=1), minlength=len(w)) * (members / len(x))
+        tiles = np.maximum(1, np.ceil(1.25 * held / TILE)).astype("<i8")
+        return pa.table({"top": [table.column("top")[0].as_py()], "w": [w.tobytes()], "b": [b.tobytes()], "tiles": [tiles.tobytes()]}, schema=pa.schema([("top", pa.int32()), ("w", pa.binary()), ("b", pa.binary()), ("tiles", pa.binary())]))
+
+    return run
+
+
+def _to_leaves(probes: int, dimension: int):
+    """Rows sorted by upper partition, its model first: sends each class to the tiles of its leaves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = None
+        for whole in batches:
+            tops, models = whole.column(0).to_numpy(), whole.column(2).to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero(np.r_[True, (tops[1:] != tops[:-1]) | (models[1:] != models[:-1])])
+            for a, z in zip(edges, np.r_[edges[1:], len(tops)]):
+                if models[a]:
+                    w, b, tiles = (whole.column(i)[int(a)].as_py() for i in (5, 6, 7))
+                    model = np.frombuffer(w, "<f4").reshape(-1, dimension), np.frombuffer(b, "<f4"), np.frombuffer(tiles, "<i8")
+                    continue
+                for at in range(a, z, 2048):
+                    part = whole.slice(at, min(2048, z - at))
+                    batch = pa.RecordBatch.from_arrays([part.column(4), part.column(5)], names=["cls", "vec"])
+                    yield _sent(batch, _unit(batch, 1, dimension), part.column(3).to_numpy(zero_copy_only=False).astype(bool), *model, probes, int(tops[a]) << 32)
 
     return run
 
@@ -183,26 +259,52 @@ def _searched(k: int, least: float, dimension: int):
     return run
 
 
+def _sample(vectors: DataFrame, n: int, dimension: int) -> np.ndarray:
+    """At most SAMPLE of n classes, the same in every run."""
+    cell = F.pmod(F.xxhash64(F.lit(3), "cls"), F.lit(1 << 30))
+    picked = vectors.where(cell < int(min(1.0, 1.2 * SAMPLE / max(n, 1)) * (1 << 30)) + 1).limit(SAMPLE).select("vec").toArrow()
+    parts = [_unit(b, 0, dimension) for b in picked.to_batches() if b.num_rows]
+    return np.concatenate(parts).astype(np.float32) if parts else np.zeros((0, dimension), np.float32)
+
+
+def _sent_by_levels(vectors: DataFrame, n: int, dimension: int, partition: int) -> DataFrame:
+    """The tiles of two levels of partitions, for more classes than one level takes.
+
+    About as many upper partitions as each has leaves, so both grow with the root of n and every leaf stays at about
+    `partition` classes: a query meets UPPER_PROBES * LEAF_PROBES of them at any n. Each upper partition is fitted on a
+    sample of its own, in a task of its own; its model goes to the rows, no model to the driver.
+    """
+    spark = vectors.sparkSession
+    tops = max(2, round((n / partition) ** 0.5))
+    w, b = _fitted(_sample(vectors, n, dimension), tops)
+    sizes = vectors.mapInArrow(_parted(w, b, dimension), "cls long, part int").groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()  # one row an upper partition
+    plan = spark.createDataFrame([(r.part, r.n, int(min(1.0, SAMPLE / r.n) * (1 << 30)), -(-r.n // ROWS_A_SALT)) for r in sizes], "top int, members long, below long, salts int")
+    placed = vectors.mapInArrow(_to_tops(w, b, UPPER_PROBES, dimension), "top int, own boolean, cls long, vec binary").join(F.broadcast(plan), "top")
+    cell = F.pmod(F.xxhash64(F.lit(5), "cls"), F.lit(1 << 30))
+    own = placed.where("own").where(cell <= F.col("below")).select("top", "members", "vec")
+    models = staged(own.groupBy("top").applyInArrow(_fit_top(partition, dimension), "top int, w binary, b binary, tiles binary"), "models")
+    none = F.lit(None).cast("binary")
+    copies = models.join(F.broadcast(plan), "top").select("top", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("model"), F.lit(False).alias("own"), F.lit(0).cast("long").alias("cls"), F.col("w").alias("vec"), "b", "tiles")
+    rows = placed.select("top", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int").alias("salt"), F.lit(False).alias("model"), "own", "cls", "vec", none.alias("b"), none.alias("tiles"))
+    together = rows.unionByName(copies).repartition(max(slots(spark), -(-UPPER_PROBES * n // ROWS_A_SALT)), "top", "salt").sortWithinPartitions("top", "salt", F.desc("model"))
+    return together.mapInArrow(_to_leaves(LEAF_PROBES, dimension), _SENT)
+
+
 def nearest_classes(vectors: DataFrame, k: int, least: float, dimension: int, probes: int = PROBES, partition: int = PARTITION) -> DataFrame:
     """(q long, t long, cos double): for each class (cls long, vec binary) the classes found near it, itself included."""
     spark = vectors.sparkSession
     n = vectors.count()
-    parts = max(1, min(MOST_PARTITIONS, round(n / partition)))
-    share = min(1.0, 1.2 * SAMPLE / max(n, 1))
-    cell = F.pmod(F.xxhash64(F.lit(3), "cls"), F.lit(1 << 30))
-    picked = vectors.where(cell < int(share * (1 << 30)) + 1).limit(SAMPLE).select("vec").toArrow()
-    if parts > 1:
-        sample = np.concatenate([_unit(b, 0, dimension) for b in picked.to_batches() if b.num_rows]).astype(np.float32)
-        part = balanced_partition(sample, parts)
-        w, b = fit_classifier(sample, part, parts)
+    parts = max(1, round(n / partition))
+    if parts > ONE_LEVEL:
+        sent = _sent_by_levels(vectors, n, dimension, partition)
+        width = max(slots(spark), -(-parts // 8))
     else:
-        w, b = np.zeros((1, dimension), np.float32), np.zeros(1, np.float32)
-    sizes = vectors.mapInArrow(_routed(w, b, None, probes, dimension), "cls long, part int").groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()
-    tiles = np.ones(len(w), np.int64)
-    for r in sizes:  # one row a partition
-        tiles[r.part] = -(-r.n // TILE)
-    sent = vectors.mapInArrow(_routed(w, b, tiles, probes, dimension), "tile int, kind byte, cls long, vec binary")
-    width = max(slots(spark), min(int(tiles.sum()), 4096) // 8)
+        w, b = _fitted(_sample(vectors, n, dimension) if parts > 1 else np.zeros((0, dimension), np.float32), parts)
+        tiles = np.ones(len(w), np.int64)
+        for r in vectors.mapInArrow(_parted(w, b, dimension), "cls long, part int").groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect():  # one row a partition
+            tiles[r.part] = -(-r.n // TILE)
+        sent = vectors.mapInArrow(_routed(w, b, tiles, probes, dimension), _SENT)
+        width = max(slots(spark), int(tiles.sum()) // 8)
     return sent.repartition(width, "tile").sortWithinPartitions("tile", "kind").mapInArrow(_searched(k, least, dimension), "q long, t long, cos double")
 
 

@@ -221,6 +221,19 @@ def test_nearest_pairs_over_many_partitions(spark, monkeypatch):
     assert len(got & want) >= 0.95 * len(want)
 
 
+def test_nearest_pairs_over_two_levels(spark, monkeypatch):
+    """A third of the vectors lie close together, so an upper partition, and a leaf, are far larger than the others."""
+    for name, value in (("TILE", 64), ("ONE_LEVEL", 4), ("ROWS_A_SALT", 100), ("SAMPLE", 1000)):
+        monkeypatch.setattr(neighbours, name, value)
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(200, 32))
+    data = {i: (centres[0 if i % 3 == 0 else i % 200] + 0.25 * r.normal(size=32)).astype(np.float32).tolist() for i in range(2400)}
+    data |= {9000 + i: data[1] for i in range(12)}
+    got = rows(neighbours.nearest_pairs(vectors(spark, list(data.items())), 5, 0.8, 32, partition=64))
+    want = brute.nearest(data, 5, 0.8, 32)
+    assert len(got & want) >= 0.93 * len(want)
+
+
 def test_balanced_partition():
     x = np.random.default_rng(0).normal(size=(2000, 16)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
