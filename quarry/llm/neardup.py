@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import bloom
+from ..operators.skew import hot_keys, join_hot
 from ..session import slots, spread, staged
 
 WORD = re.compile(r"[A-Za-z0-9_]+")
@@ -39,6 +40,8 @@ SKETCH_LOG2 = 21
 HOT = 4096
 FP_WORDS = 4
 LEAF = 16
+#: Classes of more copies than this are spread over salts where they are joined.
+HOT_CLASS = 20_000
 #: Pairs of nodes opened at once: up to LEAF**2 pairs of entries each, of 96 bytes while they are compared.
 NODE_PAIRS = 4000
 
@@ -155,10 +158,15 @@ def _entries(frequency: np.ndarray, threshold: float):
 
 
 def gray_rank(words: np.ndarray) -> np.ndarray:
-    """Position of each 64-bit word in the reflected Gray sequence: neighbours there differ in one bit."""
+    """Position of each row in the reflected Gray sequence, as words from the highest: neighbours there differ in one bit.
+
+    Every bit of the rank is the parity of the bits from the highest to its own, over all words of the row.
+    """
     rank = words.copy()
     for shift in (1, 2, 4, 8, 16, 32):
         rank ^= rank >> np.uint64(shift)
+    for i in range(1, rank.shape[1]):  # the lowest bit of a word's rank is the parity of all before
+        rank[:, i] ^= np.uint64(0) - (rank[:, i - 1] & np.uint64(1))
     return rank
 
 
@@ -170,18 +178,20 @@ def _distance(a: np.ndarray, b: np.ndarray, mask: np.ndarray | None = None) -> n
 class GrayIndex:
     """Entries of several shards, sorted by (shard, Gray rank), under nodes of LEAF entries and nodes of LEAF nodes.
 
-    A node holds the mask of the bits in which all below agree, their common pattern, and the greatest size below.
+    A lower node ends where the next entry differs in more bits than a similar one may, so what lies under it shares a
+    pattern; or after LEAF entries. A node holds the mask of the bits in which all below agree, their common pattern, and the greatest size below.
     pairs() descends from pairs of upper nodes to pairs of entries and drops a pair of nodes as soon as the bits that
     both masks fix differ in more places than any pair below may.
     """
 
-    def __init__(self, shard: np.ndarray, n: np.ndarray, fp: np.ndarray):
-        self.order = np.lexsort((gray_rank(fp[:, 0]), shard))
+    def __init__(self, shard: np.ndarray, n: np.ndarray, fp: np.ndarray, threshold: float):
+        self.order = np.lexsort((*gray_rank(fp).T[::-1], shard))
         self.shard, self.n, self.fp = shard[self.order], n[self.order].astype(np.int64), fp[self.order]
         self.levels = []
+        far = _distance(self.fp[1:], self.fp[:-1]) > self._bound(self.n[1:] + self.n[:-1], threshold)
         owner, low, high, most, least = self.shard, self.fp, self.fp, self.n, self.n
-        for _ in range(2):
-            starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+        for level in range(2):
+            starts = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | far] if level == 0 else np.r_[True, owner[1:] != owner[:-1]])
             place = np.arange(len(owner)) - np.repeat(starts, np.diff(np.r_[starts, len(owner)]))
             heads = np.flatnonzero(place % LEAF == 0)
             ends = np.r_[heads[1:], len(owner)]
@@ -244,7 +254,7 @@ class GrayIndex:
 
 def _shard_pairs(threshold: float):
     def solve(shard, ids, n, fp) -> pa.RecordBatch:
-        x, y = GrayIndex(shard, n, fp).pairs(threshold)
+        x, y = GrayIndex(shard, n, fp, threshold).pairs(threshold)
         a, b = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
         pairs = np.unique(np.stack([a, b], axis=1)[a != b], axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
@@ -296,7 +306,7 @@ def near_duplicates(blocks: DataFrame, threshold: float = 0.8, min_words: int =
     spark = blocks.sparkSession
     bags = staged(word_bags(blocks, min_words), "bags")
     members = bags.groupBy("bag_hi", "bag_lo", "id").agg(F.lit(1)).select("bag_hi", "bag_lo", "id")
-    heads = members.groupBy("bag_hi", "bag_lo").agg(F.min("id").alias("rep"))
+    heads = members.groupBy("bag_hi", "bag_lo").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     frequency = _frequencies(bags)
     reps = bags.groupBy("bag_hi", "bag_lo").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("words").alias("words"), F.first("counts").alias("counts"))
     entries = reps.select("id", "n", "words", "counts").mapInArrow(_entries(frequency, threshold), "shard long, id long, n int, fp binary")
@@ -304,13 +314,16 @@ def near_duplicates(blocks: DataFrame, threshold: float = 0.8, min_words: int =
     sharded = entries.repartition(parts, "shard").sortWithinPartitions("shard")
     pairs = staged(sharded.mapInArrow(_shard_pairs(threshold), "a long, b long").distinct(), "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    named = bloom.flag(bags.select("id", "words", "counts"), F.col("id"), bloom.build(ids, "id"), "named").where("named")
+    size = bloom.words_for(2 * pairs.count())
+    named = bloom.flag(bags.select("id", "words", "counts"), F.col("id"), bloom.build(ids, "id", size), "named", size).where("named")
     needed = named.groupBy("id").agg(F.first("words").alias("words"), F.first("counts").alias("counts"))
     left = needed.select(F.col("id").alias("a"), F.col("words").alias("wa"), F.col("counts").alias("ca"))
     right = needed.select(F.col("id").alias("b"), F.col("words").alias("wb"), F.col("counts").alias("cb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "wa", "ca", "wb", "cb")
+    with_a = join_hot(pairs, left, ["a"], hot_keys(pairs, ["a"]), ["b"])
+    both = join_hot(with_a, right, ["b"], hot_keys(pairs, ["b"]), ["a"]).select("a", "b", "wa", "ca", "wb", "cb")
     links = both.mapInArrow(_verify(threshold), "a long, b long, similarity double")
-    return members.join(heads, ["bag_hi", "bag_lo"]).select("rep", "id"), links
+    named = join_hot(members, heads.drop("copies"), ["bag_hi", "bag_lo"], heads.where(F.col("copies") > HOT_CLASS), ["id"])
+    return staged(named.select("rep", "id"), "members"), links
 
 
 def expanded_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -318,8 +331,10 @@ def expanded_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
 
     Grows with the square of a class; use members and links where copies are many.
     """
-    x = members.select(F.col("rep"), F.col("id").alias("x"))
-    y = members.select(F.col("rep"), F.col("id").alias("y"))
-    within = x.join(y, "rep").where("x < y").select(F.col("x").alias("symbol_a"), F.col("y").alias("symbol_b"))
-    across = links.join(x.withColumnRenamed("rep", "a"), "a").join(y.withColumnRenamed("rep", "b"), "b")
+    hot = hot_keys(members, ["rep"], HOT_CLASS)
+    x = members.select("rep", F.col("id").alias("x"))
+    y = members.select("rep", F.col("id").alias("y"))
+    within = join_hot(x, y, ["rep"], hot, ["x"]).where("x < y").select(F.col("x").alias("symbol_a"), F.col("y").alias("symbol_b"))
+    of_a = join_hot(x.withColumnRenamed("rep", "a"), links.select("a", "b"), ["a"], hot.withColumnRenamed("rep", "a"), ["x"])
+    across = join_hot(y.withColumnRenamed("rep", "b"), of_a, ["b"], hot.withColumnRenamed("rep", "b"), ["y"])
     return within.unionByName(across.select(F.least("x", "y").alias("symbol_a"), F.greatest("x", "y").alias("symbol_b")))

@@ -59,6 +59,7 @@ def test_near_pairs_equal_brute_force(spark, blocks):
 
 def test_near_pairs_with_hot_shards(spark, blocks, monkeypatch):
     monkeypatch.setattr(neardup, "HOT", 3)
+    monkeypatch.setattr(neardup, "HOT_CLASS", 1)
     df = spark.createDataFrame(list(blocks.items()), "id long, code_block string")
     members, links = neardup.near_duplicates(df)
     assert rows(neardup.expanded_pairs(members, links)) == brute.near_pairs(blocks)
@@ -71,9 +72,11 @@ def test_near_pairs_of_nothing(spark):
 
 
 def test_gray_rank_orders_neighbours():
-    n = np.arange(256, dtype=np.uint64)
-    gray = n ^ (n >> np.uint64(1))
-    assert (neardup.gray_rank(gray) == n).all()
+    r = random.Random(3)
+    for n in [*range(256), *(r.randrange(1 << 256) for _ in range(200))]:
+        gray = n ^ n >> 1
+        words = lambda v: np.array([[v >> 64 * i & (1 << 64) - 1 for i in (3, 2, 1, 0)]], np.uint64)
+        assert (neardup.gray_rank(words(gray)) == words(n)).all()
 
 
 def test_gray_index_loses_no_close_pair():
@@ -81,7 +84,7 @@ def test_gray_index_loses_no_close_pair():
     fp = r.integers(0, 2**63, (900, neardup.FP_WORDS)).astype(np.uint64)
     fp[300:600] = fp[:300] ^ (np.uint64(1) << r.integers(0, 63, (300, 1)).astype(np.uint64))
     shard, n = np.repeat([7, 9], 450), np.full(900, 50)
-    x, y = neardup.GrayIndex(shard, n, fp).pairs(0.8)
+    x, y = neardup.GrayIndex(shard, n, fp, 0.8).pairs(0.8)
     got = {(min(a, b), max(a, b)) for a, b in zip(x.tolist(), y.tolist())}
     want = {(a, b) for a in range(900) for b in range(a + 1, 900) if shard[a] == shard[b] and np.bitwise_count(fp[a] ^ fp[b]).sum() <= 11}
     assert got == want
