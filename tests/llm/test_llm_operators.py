@@ -193,6 +193,18 @@ def test_split_blocks(spark):
         splitting.split_blocks(df, limit=100, least=100)
 
 
+@given(st.lists(st.lists(st.sampled_from("abcde"), max_size=5), min_size=1, max_size=25), st.integers(1, 4))
+@settings(max_examples=150, deadline=None)
+def test_cohesion_is_the_cosine_of_the_windows(lines, width):
+    from collections import Counter
+
+    got = splitting._cohesion(lines, width)
+    for g in range(1, len(lines)):
+        a, b = (Counter(w for line in part for w in line) for part in (lines[max(0, g - width) : g], lines[g : g + width]))
+        norm = (sum(v * v for v in a.values()) * sum(v * v for v in b.values())) ** 0.5
+        assert got[g - 1] == pytest.approx(sum(a[w] * b[w] for w in a) / norm if norm else 0.0)
+
+
 def test_cohesion_cuts_between_topics():
     one, two = "alpha beta gamma\n" * 40, "delta omega sigma\n" * 40
     assert splitting.cohesion_cuts(one + two, 1000, 400, 50)[0][1] == len(one)
@@ -400,6 +412,17 @@ def test_fill_pattern_is_the_best():
         packing.plan({50: 1}, 40)
 
 
+def test_audit_sees_faults(spark):
+    sizes = spark.createDataFrame([(1, 150), (2, 30), (3, 0), (4, None), (5, 60)], "doc_id long, n_tokens int")
+    good = packing.pack_items(sizes, 100)
+    fields = ["documents", "over_full", "needless_pieces", "wrong_sizes", "gaps"]
+    row = packing.audit(sizes, good, 100).first()
+    assert [row[f] for f in fields] == [5, 0, 0, 0, 0] and row.near_least
+    bad = spark.createDataFrame([(1, 0, 0, 100), (1, 1, 0, 50), (2, 0, 3, 10), (2, 1, 3, 10), (3, 0, 0, 0), (4, 0, 0, 0)], "doc_id long, piece int, container_id long, n_tokens int")
+    row = packing.audit(sizes, bad, 100).first()
+    assert [row[f] for f in fields] == [5, 1, 1, 2, 2]
+
+
 def test_pack_items(spark):
     r = random.Random(2)
     sizes = [(i, r.choice([7, 7, 7, r.randrange(1, 100)])) for i in range(3000)] + [(5000, 0), (5001, None), (5002, 250), (5003, 200), (5004, 100)]
