@@ -194,6 +194,19 @@ def file_imports(spark: SparkSession, sf: str) -> DataFrame:
     return extract.imports_of_files(edges).select(F.col("file_path").cast("long").alias("id"), F.col("symbol").alias("imported"))
 
 
+@query(
+    "SELECT DISTINCT id, regexp_extract(part, '(?:^|[^\\w.$])([A-Za-z_]\\w*)\\s*$', 1) AS called FROM parts WHERE NOT regexp_matches(part, '(?:\\bdef|\\bfunc|\\)) +[A-Za-z_]\\w*\\s*$')"
+    " AND regexp_extract(part, '(?:^|[^\\w.$])([A-Za-z_]\\w*)\\s*$', 1) NOT IN ('', 'func', 'return', 'if', 'for', 'switch', 'in', 'not', 'and', 'or', 'is', 'else', 'elif', 'while', 'with', 'assert', 'case', 'go', 'defer', 'yield', 'await', 'lambda', 'range')",
+    bare="SELECT id, regexp_replace(code_block, '\"(?:\\\\.|[^\"\\\\\\n])*\"|''(?:\\\\.|[^''\\\\\\n])*''|`[^`]*`|//[^\\n]*|#[^\\n]*', ' ', 'g') AS code FROM sym WHERE kind IN ('function', 'method') AND language IN ('go', 'python')",
+    parts="SELECT id, unnest(string_split(code, '(')[1:-2]) AS part FROM bare",
+)
+def called_names(spark: SparkSession, sf: str) -> DataFrame:
+    """The names that each Go and Python function calls; SQL takes what stands before brackets."""
+    files = _as_files(spark, sf).where("language in ('go', 'python')")
+    edges = extract.edge_rows(extract.parse_files(spread(files))).where("kind = 'call'")
+    return edges.select(F.col("file_path").cast("long").alias("id"), F.col("symbol").alias("called")).where("called <> 'range'").distinct()
+
+
 # embedders and tokenizers
 
 WORDS = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "function", "class", "return", "def", "func", *"abcdefghijklmnopqrstuvwxyz", *"0123456789", *"(){}:,.*_", *("##" + c for c in "abcdefghijklmnopqrstuvwxyz0123456789")]
