@@ -37,11 +37,20 @@ def _store(spark: SparkSession) -> Store:
     return Store(spark, scratch(spark, "store"))
 
 
+_INDEXED: dict[tuple[str, str], Store] = {}
+
+
+def _indexed(spark: SparkSession, sf: str) -> Store:
+    """A new store of the whole tree, which stays for the runs without changes of the same session."""
+    store = _INDEXED[spark.sparkContext.applicationId, sf] = _store(spark)
+    index(spark, tree(spark, sf), "all", store)
+    return store
+
+
 @query(_FILES, tree=TREE)
 def indexed_files(spark: SparkSession, sf: str) -> DataFrame:
     """The stored files after the first index of the whole tree."""
-    store = _store(spark)
-    index(spark, tree(spark, sf), "all", store)
+    store = _indexed(spark, sf)
     return store.read("files", "all").select("path", "content_hash", "size_bytes")
 
 
@@ -78,11 +87,9 @@ def index_run_stats(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"SELECT count(*)::BIGINT AS unchanged, 0::BIGINT AS written FROM ({_FILES})", tree=TREE)
 def reindex_unchanged(spark: SparkSession, sf: str) -> DataFrame:
     """A run over a tree that is as it was: nothing is read but what is hashed, and nothing is written."""
-    store = _store(spark)
-    files = tree(spark, sf)
-    index(spark, files, "all", store)
+    store = _INDEXED.get((spark.sparkContext.applicationId, sf)) or _indexed(spark, sf)
     before = store.version("symbols", "all")
-    again = index(spark, files, "all", store)
+    again = index(spark, tree(spark, sf), "all", store)
     return spark.createDataFrame([(again.unchanged, int(store.version("symbols", "all") != before))], "unchanged long, written long")
 
 

@@ -7,6 +7,7 @@ import json
 import time
 import uuid
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession, types as T
 
 from .operators.fulltext import arranged
@@ -133,18 +134,41 @@ class Store:
         """{(table, part): rows} replace those parts in one step; None drops a part. append adds the rows instead."""
         manifest = self._manifest()
         tables = {n: dict(parts) for n, parts in manifest["tables"].items()}
+        todo: dict[tuple[str, str], DataFrame] = {}
         for (name, part), rows in changes.items():
             held = tables.setdefault(name, {})
             if rows is None:
                 held.pop(part, None)
                 continue
-            before = held.get(part, [])
-            if append and len(before) >= MOST_VERSIONS:
+            before = held.get(part, []) if append else []
+            if len(before) >= MOST_VERSIONS:
                 rows, before = self.read(name, part).unionByName(rows.select(*TABLES[name].fieldNames())), []
-            held[part] = [*(before if append else []), self._write(name, part, rows)]
+            held[part], todo[name, part] = [*before], rows
+        for (name, part), version in self._written(todo).items():
+            tables[name][part].append(version)
         numbers = self._numbers()
         self._put({"schema": SCHEMA_VERSION, "tables": tables, "meta": manifest["meta"] | (meta or {}), "at": time.time()}, numbers[-1] + 1 if numbers else 1)
 
+    def _written(self, todo: dict[tuple[str, str], DataFrame]) -> dict[tuple[str, str], str]:
+        """Writes all parts at the same time, so small ones do not wait for each other; their versions."""
+        done: dict[tuple[str, str], str] = {}
+        failed: list[BaseException] = []
+
+        def write(name: str, part: str, rows: DataFrame) -> None:
+            try:
+                done[name, part] = self._write(name, part, rows)
+            except BaseException as e:  # noqa: BLE001 - raised below, in the caller's thread
+                failed.append(e)
+
+        threads = [InheritableThread(target=write, args=(*key, rows)) for key, rows in todo.items()]  # a job's tags go along
+        for t in threads:
+            t.start()
+        for t in threads:
+            t.join()
+        if failed:
+            raise failed[0]
+        return done
+
     def _write(self, name: str, part: str, rows: DataFrame) -> str:
         version = uuid.uuid4().hex[:12]
         ordered = rows.select(*TABLES[name].fieldNames())
