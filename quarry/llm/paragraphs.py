@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import bloom
+from ..operators.skew import HOT, join_hot
 from ..session import slots, spread, staged
 
 BANDS, ROWS = 10, 4
@@ -182,11 +183,12 @@ def near_duplicate_paragraphs(documents: DataFrame, threshold: float = THRESHOLD
     roots = components(found.select(F.col("cls").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     info = links.join(roots.withColumnRenamed("node", "cls"), "cls", "left")
-    # few rows a class, but a class may hold a third of all paragraphs: its one row is copied to each salt
-    salts = 16
-    salted = members.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    spread_info = info.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    named = salted.join(spread_info, ["cls", "salt"], "left").select("doc_id", "paragraph", "start_char", "end_char", F.coalesce("root", "cls").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), "salt")
-    firsts = named.groupBy("class_id").agg(F.min(F.struct("doc_id", "paragraph")).alias("first")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    copies = staged(members.groupBy("cls").agg(F.count(F.lit(1)).alias("n")), "classes")
+    known = copies.join(info, "cls", "left").select("cls", F.coalesce("root", "cls").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    named = join_hot(members, known, ["cls"], copies.where(F.col("n") > HOT), ["doc_id"]).select("doc_id", "paragraph", "start_char", "end_char", "class_id", "links")
+    named = staged(named, "named")
+    firsts = named.groupBy("class_id").agg(F.min(F.struct("doc_id", "paragraph")).alias("first"), F.count(F.lit(1)).alias("n"))
+    firsts = staged(firsts, "firsts")
     kept = F.struct("doc_id", "paragraph") == F.col("first")
-    return named.join(firsts, ["class_id", "salt"]).select("doc_id", "paragraph", "start_char", "end_char", "class_id", "links", kept.alias("kept"))
+    found = join_hot(named, firsts.drop("n"), ["class_id"], firsts.where(F.col("n") > HOT), ["doc_id"])
+    return found.select("doc_id", "paragraph", "start_char", "end_char", "class_id", "links", kept.alias("kept"))

@@ -533,6 +533,7 @@ def test_paragraphs_equal_brute_force(spark, monkeypatch):
     want = {row: (label[s], len(near[s]), first[label[s]] == row[:2]) for row, s in zip(want_rows, sets)}
     for tile in (1024, 2):
         monkeypatch.setattr(paragraphs, "TILE", tile)
+        monkeypatch.setattr(paragraphs, "HOT", 100_000 if tile > 2 else 5)
         got = {(x.doc_id, x.paragraph, x.start_char, x.end_char): x for x in paragraphs.near_duplicate_paragraphs(df).collect()}
         assert set(got) == set(want) and len({x.class_id for x in got.values()}) == len(set(label.values()))
         assert {k: (x.links, x.kept) for k, x in got.items()} == {k: v[1:] for k, v in want.items()}
