@@ -6,7 +6,8 @@ Steps, all lossless:
 2. Bags are multisets, seen as sets of occurrences (word, 1st), (word, 2nd)... The fingerprint is a parity sketch:
    every occurrence flips one of 256 bits. The Hamming distance of two sketches is at most the symmetric difference
    of the sets, and weighted Jaccard >= t means a difference of at most (1-t)/(1+t) * (n_a + n_b). So a distance above
-   that bound proves that a pair fails.
+   that bound proves that a pair fails. The counts of long bags are also summed over 64 cells, up to 255 in each: the
+   sums of two bags differ by no more than the sets do, so they prove by the same bound.
 3. Index shards: two sets with that similarity share one of the first n - ceil(t*n) + 1 occurrences in any common
    order; rare words go first, by a fixed-size counting sketch over all bags. An occurrence that no other bag holds
    needs no entry. Each shard is a Gray-order hierarchical index: entries sorted by Gray rank of the fingerprint,
@@ -39,11 +40,15 @@ SKETCH_LOG2 = 21
 #: Shards with more entries than this are cut into tiles of pairs of salts.
 HOT = 4096
 FP_WORDS = 4
+#: Bags of so many words fill the fingerprint, so it proves little; they carry a sketch of their counts too.
+LONG, CELLS = 128, 64
 LEAF = 16
 #: Classes of more copies than this are spread over salts where they are joined.
 HOT_CLASS = 20_000
-#: Pairs of nodes opened at once: up to LEAF**2 pairs of entries each, of 96 bytes while they are compared.
-NODE_PAIRS = 4000
+#: Pairs of nodes or entries compared at once, of some 100 bytes each; one pair of nodes opens to LEAF**2 at most.
+PAIRS = 1 << 18
+#: Pairs found that are kept until repeats are dropped and the rest is given out.
+FOUND = 1 << 19
 
 _BAG = "id long, bag_hi long, bag_lo long, n int, words binary, counts binary"
 
@@ -121,7 +126,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def _entries(frequency: np.ndarray, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys_out, ids_out, ns_out, fps_out = [], [], [], []
+            keys_out, ids_out, ns_out, fps_out, sizes_out = [], [], [], [], []
             for row, n, words, counts in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 keys, many = _unpack(words, counts)
                 rep = np.repeat(keys, many)
@@ -131,6 +136,9 @@ def _entries(frequency: np.ndarray, threshold: float):
                 bits = (occurrence >> np.uint64(40)).astype(np.int64) % (64 * FP_WORDS)
                 odd = (np.bincount(bits, minlength=64 * FP_WORDS) & 1).astype(np.uint8)
                 fp = np.packbits(odd).tobytes()
+                if n >= LONG:
+                    cells = np.bincount((keys & np.uint64(CELLS - 1)).astype(np.int64), many, CELLS)
+                    fp += np.minimum(cells, 255).astype(np.uint8).tobytes()
                 often = frequency[(rep >> np.uint64(64 - SKETCH_LOG2)).astype(np.int64)].astype(np.int64)
                 order = np.lexsort((occurrence, often))
                 chosen = order[: n - math.ceil(threshold * n - 1e-9) + 1]
@@ -150,9 +158,11 @@ def _entries(frequency: np.ndarray, threshold: float):
                 ids_out.append(np.full(len(key), row, np.int64))
                 ns_out.append(np.full(len(key), n, np.int32))
                 fps_out.append(fp * len(key))
+                sizes_out.append(np.full(len(key), len(fp), np.int32))
             if keys_out:
-                fps = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * FP_WORDS), sum(map(len, keys_out)), [None, pa.py_buffer(b"".join(fps_out))])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys_out).view(np.int64)), pa.array(np.concatenate(ids_out)), pa.array(np.concatenate(ns_out)), fps.cast(pa.binary())], names=["shard", "id", "n", "fp"])
+                ends = np.cumsum(np.r_[np.zeros(1, np.int32), *sizes_out], dtype=np.int32)
+                fps = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(b"".join(fps_out))])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys_out).view(np.int64)), pa.array(np.concatenate(ids_out)), pa.array(np.concatenate(ns_out)), fps], names=["shard", "id", "n", "fp"])
 
     return run
 
@@ -170,9 +180,18 @@ def gray_rank(words: np.ndarray) -> np.ndarray:
     return rank
 
 
-def _distance(a: np.ndarray, b: np.ndarray, mask: np.ndarray | None = None) -> np.ndarray:
-    x = a ^ b
-    return np.bitwise_count(x if mask is None else x & mask).sum(axis=1, dtype=np.int64)
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+
+
+def _blocks(many: np.ndarray, most: int) -> Iterator[slice]:
+    """Slices of the rows of `many` whose sums are no more than `most`, or that are one row."""
+    ends = np.cumsum(many)
+    at = 0
+    while at < len(many):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield slice(at, to)
+        at = to
 
 
 class GrayIndex:
@@ -180,11 +199,12 @@ class GrayIndex:
 
     A lower node ends where the next entry differs in more bits than a similar one may, so what lies under it shares a
     pattern; or after LEAF entries. A node holds the mask of the bits in which all below agree, their common pattern, and the greatest size below.
-    pairs() descends from pairs of upper nodes to pairs of entries and drops a pair of nodes as soon as the bits that
-    both masks fix differ in more places than any pair below may.
+    found() descends from pairs of upper nodes to pairs of entries and drops a pair of nodes as soon as the bits that
+    both masks fix differ in more places than any pair below may. It goes down to the entries block by block, so at no
+    time more than PAIRS pairs of a level are held, whatever the size of a shard and however little the masks prove.
     """
 
-    def __init__(self, shard: np.ndarray, n: np.ndarray, fp: np.ndarray, threshold: float):
+    def __init__(self, shard: np.ndarray, n: np.ndarray, fp: np.ndarray, threshold: float, cells: np.ndarray | None = None):
         self.order = np.lexsort((*gray_rank(fp).T[::-1], shard))
         self.shard, self.n, self.fp = shard[self.order], n[self.order].astype(np.int64), fp[self.order]
         self.levels = []
@@ -199,7 +219,9 @@ class GrayIndex:
             high = np.bitwise_or.reduceat(high, heads, axis=0)
             most, least = np.maximum.reduceat(most, heads), np.minimum.reduceat(least, heads)
             owner = owner[heads]
-            self.levels.append({"owner": owner, "start": heads, "end": ends, "mask": ~(low ^ high), "pattern": low, "most": most, "least": least})
+            self.levels.append({"owner": owner, "start": heads, "end": ends, "mask": np.ascontiguousarray(~(low ^ high).T), "pattern": np.ascontiguousarray(low.T), "most": most, "least": least})
+        self.words = np.ascontiguousarray(self.fp.T)
+        self.cells = None if cells is None else cells[self.order]
 
     @staticmethod
     def _within(sizes_start: np.ndarray, sizes_end: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -214,65 +236,100 @@ class GrayIndex:
 
     def pairs(self, threshold: float) -> tuple[np.ndarray, np.ndarray]:
         """Row numbers (in the order given) of the pairs within a shard that may be similar enough."""
-        top = self.levels[1]
-        starts = np.flatnonzero(np.r_[True, top["owner"][1:] != top["owner"][:-1]])
-        ends = np.r_[starts[1:], len(top["owner"])]
-        out_a, out_b = [], []
-        step = 20_000
-        for at in range(0, len(starts), step):  # blocks of shards, to bound what is held at a time
-            groups = np.arange(at, min(at + step, len(starts)))
-            a, b = self._within(starts, ends, groups, groups)
-            for level, below in ((1, 0), (0, None)):
-                nodes = self.levels[level]
-                a, b = self._prune(nodes, a, b, threshold)
-                kept_a, kept_b = [], []
-                for cut in range(0, len(a), NODE_PAIRS):
-                    x, y = self._within(nodes["start"], nodes["end"], a[cut : cut + NODE_PAIRS], b[cut : cut + NODE_PAIRS])
-                    if below is None:
-                        different = x < y
-                        x, y = x[different], y[different]
-                        low, high = np.minimum(self.n[x], self.n[y]), np.maximum(self.n[x], self.n[y])
-                        near = (low >= threshold * high - 1e-9) & (_distance(self.fp[x], self.fp[y]) <= self._bound(low + high, threshold))
-                        x, y = x[near], y[near]
-                    kept_a.append(x)
-                    kept_b.append(y)
-                a, b = (np.concatenate(kept_a), np.concatenate(kept_b)) if kept_a else (a[:0], b[:0])
-            out_a.append(a)
-            out_b.append(b)
-        return (self.order[np.concatenate(out_a)], self.order[np.concatenate(out_b)]) if out_a else (np.empty(0, np.int64),) * 2
+        found = list(self.found(threshold))
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 2
+
+    def found(self, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The same, in blocks of PAIRS pairs at most."""
+        lower, upper = self.levels
+        starts = np.flatnonzero(np.r_[True, upper["owner"][1:] != upper["owner"][:-1]])
+        ends = np.r_[starts[1:], len(upper["owner"])]
+        nodes = np.arange(len(upper["owner"]))
+        many = np.repeat(ends, ends - starts) - nodes  # each upper node meets itself and those after it in its shard
+        for part in _blocks(many, PAIRS):
+            a = np.repeat(nodes[part], many[part])
+            b = a + np.arange(len(a)) - np.repeat(np.cumsum(many[part]) - many[part], many[part])
+            a, b = self._prune(upper, a, b, threshold)
+            for a, b in self._opened(upper, a, b):
+                a, b = self._prune(lower, a, b, threshold)
+                for x, y in self._opened(lower, a, b):
+                    yield tuple(self.order[z] for z in self._near(x, y, threshold))
+
+    def _opened(self, nodes: dict, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        start, end = nodes["start"], nodes["end"]
+        for part in _blocks((end[a] - start[a]) * (end[b] - start[b]), PAIRS):
+            yield self._within(start, end, a[part], b[part])
+
+    def _near(self, x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of different entries whose sizes and fingerprints do not prove that they fail."""
+        low, high = np.minimum(self.n[x], self.n[y]), np.maximum(self.n[x], self.n[y])
+        keep = (x < y) & (low >= threshold * high - 1e-9)
+        x, y, most = x[keep], y[keep], self._bound(low[keep] + high[keep], threshold)
+        differ = np.zeros(len(x), np.int64)
+        for words in self.words:  # most pairs fail by the first words
+            differ += np.bitwise_count(words[x] ^ words[y])
+            keep = differ <= most
+            x, y, most, differ = x[keep], y[keep], most[keep], differ[keep]
+        if self.cells is not None:
+            both = np.flatnonzero((self.n[x] >= LONG) & (self.n[y] >= LONG))
+            keep = np.ones(len(x), bool)
+            for part in (both[at : at + PAIRS // CELLS] for at in range(0, len(both), PAIRS // CELLS)):
+                differ = np.abs(self.cells[x[part]].astype(np.int16) - self.cells[y[part]]).sum(axis=1, dtype=np.int64)
+                keep[part] = differ <= most[part]
+            x, y = x[keep], y[keep]
+        return x, y
 
     @staticmethod
     def _bound(total: np.ndarray, threshold: float) -> np.ndarray:
         return np.floor((1 - threshold) / (1 + threshold) * total + 1e-9).astype(np.int64)
 
     def _prune(self, nodes: dict, a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-        fixed = nodes["mask"][a] & nodes["mask"][b]
-        near = _distance(nodes["pattern"][a], nodes["pattern"][b], fixed) <= self._bound(nodes["most"][a] + nodes["most"][b], threshold)
-        near &= np.minimum(nodes["most"][a], nodes["most"][b]) >= threshold * np.maximum(nodes["least"][a], nodes["least"][b]) - 1e-9
-        return a[near], b[near]
+        keep = np.minimum(nodes["most"][a], nodes["most"][b]) >= threshold * np.maximum(nodes["least"][a], nodes["least"][b]) - 1e-9
+        a, b = a[keep], b[keep]
+        most, differ = self._bound(nodes["most"][a] + nodes["most"][b], threshold), np.zeros(len(a), np.int64)
+        for mask, pattern in zip(nodes["mask"], nodes["pattern"]):
+            differ += np.bitwise_count((pattern[a] ^ pattern[b]) & mask[a] & mask[b])
+            keep = differ <= most
+            a, b, most, differ = a[keep], b[keep], most[keep], differ[keep]
+        return a, b
 
 
 def _shard_pairs(threshold: float):
-    def solve(shard, ids, n, fp) -> pa.RecordBatch:
-        x, y = GrayIndex(shard, n, fp, threshold).pairs(threshold)
-        a, b = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
-        pairs = np.unique(np.stack([a, b], axis=1)[a != b], axis=0)
+    def batch_of(pairs: list[np.ndarray]) -> pa.RecordBatch:
+        pairs = np.unique(np.concatenate([np.empty((0, 2), np.int64), *pairs]), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
+    def solve(shard, ids, n, fp, cells) -> Iterator[pa.RecordBatch]:
+        pairs, held = [], 0
+        for x, y in GrayIndex(shard, n, fp, threshold, cells).found(threshold):
+            a, b = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
+            pairs.append(np.stack([a, b], axis=1)[a != b])
+            held += len(pairs[-1])
+            if held >= FOUND:
+                yield batch_of(pairs)
+                pairs, held = [], 0
+        yield batch_of(pairs)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             part = [batch.column(i).to_numpy() for i in range(3)]
-            part.append(np.frombuffer(b"".join(batch.column(3).to_pylist()), ">u8").astype(np.uint64).reshape(-1, FP_WORDS))
+            prints = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8)
+            long = part[2] >= LONG
+            starts = np.cumsum(np.r_[0, 8 * FP_WORDS + CELLS * long[:-1]])
+            part.append(prints[starts[:, None] + np.arange(8 * FP_WORDS)].view(">u8").astype(np.uint64))
+            cells = np.zeros((len(long), CELLS), np.uint8)
+            cells[long] = prints[starts[long][:, None] + 8 * FP_WORDS + np.arange(CELLS)]
+            part.append(cells)
             held = part if held is None else [np.concatenate(x) for x in zip(held, part)]
             last = int(np.searchsorted(held[0], held[0][-1]))  # sorted by shard: the last one may go on
             if last >= 50_000:
-                yield solve(*(x[:last] for x in held))
+                yield from solve(*(x[:last] for x in held))
                 held = [x[last:] for x in held]
         if held is not None:
-            yield solve(*held)
+            yield from solve(*held)
 
     return run
 

@@ -1,8 +1,10 @@
 """Edge cases of each operator: nulls, empty and very long texts, ties, repeats, empty tables, clashing columns, hot keys."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -90,6 +92,29 @@ def test_gray_index_loses_no_close_pair():
     assert got == want
 
 
+def test_gray_index_holds_a_block_of_pairs_only():
+    """A shard of many unlike bags, whose masks prove nothing: all pairs of its nodes at once would be gigabytes."""
+    fp = np.random.default_rng(1).integers(0, 2**63, (4000, neardup.FP_WORDS)).astype(np.uint64)
+    fp[-1] = fp[0]
+    tracemalloc.start()
+    x, y = neardup.GrayIndex(np.zeros(4000, np.int64), np.full(4000, 300), fp, 0.8).pairs(0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {*x.tolist(), *y.tolist()} >= {0, 3999} and peak < 100e6
+
+
+def test_counts_prove_that_long_bags_differ():
+    """Fingerprints of long unlike bags differ in half of their bits at most, which is less than the bound."""
+    texts = [" ".join(block(i, 600 if i < 40 else 60, 3000)) for i in range(50)]
+    texts += [" ".join(edited(block(0, 600, 3000), 30, 1)), " ".join(["w1"] * 900 + block(3, 90, 3000)), " ".join(["w1"] * 1000 + block(3, 90, 3000))]
+    bags = next(neardup._bags(40)(iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "code_block"])])))
+    entries = neardup._entries(np.full(1 << neardup.SKETCH_LOG2, 2, np.uint32), 0.8)
+    (found,) = entries(iter([bags.select(["id", "n", "words", "counts"])]))
+    found = found.take(pa.array(np.unique(found.column(1).to_numpy(), return_index=True)[1]))  # one entry of each bag, all in one shard
+    (first,) = neardup._shard_pairs(0.8)(iter([pa.RecordBatch.from_arrays([pa.array(np.zeros(found.num_rows, np.int64)), *found.columns[1:]], names=found.schema.names)]))
+    assert list(zip(*(c.to_pylist() for c in first.columns))) == [(0, 50), (51, 52)]
+
+
 # 2
 
 PATHS = {
