@@ -2,6 +2,7 @@
 
 import random
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -193,6 +194,44 @@ def test_grammar_finds_the_frequent_digrams(spark):
     assert len(rules) > 2 and left[0] < 40 and left[2] == 1000 and grammar.infer(df.limit(0)) == []
 
 
+def test_whole_grammar_ends_when_no_digram_occurs_twice(spark, monkeypatch):
+    """Blocks of few tokens, so that one digram's two places lie in different blocks and tasks."""
+    monkeypatch.setattr(grammar, "BLOCK", 300)
+    r = random.Random(3)
+    once = [" ".join(f"u{i}_{j}" for j in range(20)) for i in range(30)]
+    texts = ["x = call(y)\n" * 40, "aaaa " * 7, "+" * 33, "", *(" ".join(r.choices(once, k=4)) for _ in range(60))]
+    rows = grammar.sequences(texts, {})
+    df = spark.createDataFrame([(i, i % 3, x.tobytes()) for i, x in enumerate(rows)], "file long, repo long, tokens binary").repartition(4)
+    first = grammar.infer(df, 1 / 50)
+    parsed = grammar.whole(df, first, 1 / 50)
+    blocks = parsed.collect()
+    assert len(blocks) > 8 and len({b.block for b in blocks}) == len(blocks)
+    symbols = [np.frombuffer(b.s, np.uint64) for b in blocks]
+    digrams = Counter(d for s in symbols for d in grammar._digrams(s)[0].tolist())
+    assert max(digrams.values()) == 1 and all(max(grammar._digrams(s)[1], default=1) == 1 for s in symbols)
+    chars, held = Counter(), {}
+    for b, s in zip(blocks, symbols):
+        for f, g, piece in zip(np.frombuffer(b.file, np.int64).tolist(), np.frombuffer(b.repo, np.int64).tolist(), np.split(s, np.flatnonzero(s == 0) + 1)):
+            chars[f] += int((piece & grammar.LENGTH).sum())
+            held.update({(f, g, rule): n for rule, n in Counter(np.where(piece & grammar.RULE != 0, piece, 0)[piece != 0].astype(np.int64).tolist()).items()})
+    assert chars == {i: len(x) for i, x in enumerate(texts)}
+    assert {(x.file, x.repo, x.rule): x.uses for x in grammar.rule_uses(parsed).collect()} == held
+    assert grammar.whole(df.limit(0), []).count() == 0
+
+
+def test_reuse_counts_rules_of_any_frequency(spark):
+    """Code that stands in two files only is far below the share that infer() stops at."""
+    rare = {p: " ".join(f"{p}{j}" for j in range(30)) for p in "abc"}
+    code = [("r", "a1", rare["a"]), ("q", "a2", rare["a"]), ("r", "b1", rare["b"]), ("r", "b2", rare["b"]), ("r", "c1", rare["c"]), (None, "a3", rare["a"])]
+    code += [("s", f"other{i}", _function(i)) for i in range(150)]
+    f = spark.createDataFrame([(i, *x[:2], 4000) for i, x in enumerate(code)], "id long, repo_name string, path string, size_bytes long")
+    s = spark.createDataFrame([(i, *x[:2], 30, x[2]) for i, x in enumerate(code)], "id long, repo_name string, file_path string, end_line int, code_block string")
+    got = {code[x.file_id][1]: x for x in generated.file_origins(f, s).collect()}
+    assert got["a1"].rule_share == got["b1"].rule_share == 1 / 59 and got["c1"].rule_share == 1
+    assert [(got[p].rule_reuse, got[p].rule_within, got[p].rule_spread) for p in ("a1", "b1", "c1")] == [(3, 1, 3), (2, 2, 1), (0, 0, 0)]
+    assert got["a2"].rule_spread == 3 and got["a3"].rule_share == 0 and all(x.origin is None for x in got.values())
+
+
 # 3
 
 
