@@ -2,7 +2,7 @@
 
 Bad input gives {"error": ...}, never an exception; batch tools give an error for each item. The work is distributed, the
 answer is collected: at most MAX_ROWS rows of a list, and an answer that leaves out more says `truncated`. Counts beside
-a list are of all there is.
+a list are of all there is. The sections of a document are all given: they are no more than the text that was read here.
 """
 
 from __future__ import annotations
@@ -176,7 +176,8 @@ class Service:
 
         with open(self._inside(name), encoding="utf-8", errors="replace") as f:
             text = self.spark.createDataFrame([(0, f.read())], "doc_id int, text string")
-        return {"file": name, "sections": [{"title": r["title"], "content": r["content"]} for r in self._rows(sections(text).orderBy("position"))]}
+        cut = sections(text.coalesce(1)).orderBy("position").select("title", "content").collect()  # no more than the text itself
+        return {"file": name, "sections": [r.asDict() for r in cut]}
 
     @tool()
     def get_code_by_symbol(self, symbol_name, depth: int = 1) -> dict:

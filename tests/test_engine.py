@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quarry.functions import embedders
 from quarry.index_job import forget, index
 from quarry.operators import memories
-from quarry.service import TOOLS, Service, enabled
+from quarry.service import MAX_ROWS, TOOLS, Service, enabled
 from quarry.store import Store
 from quarry.streaming import watch
 
@@ -139,6 +139,12 @@ def test_service_batches_and_bounds(spark, tree, tmp_path, monkeypatch):
         assert s.search_code_patterns(pattern)["result_count"] > 0
 
 
+def test_rules_of_more_sections_than_a_list_holds(spark, tree, tmp_path):
+    (tree / "ARCHITECTURE.md").write_text("top\n" + "".join(f"## file {i}\n\n{i} symbols\n" for i in range(MAX_ROWS + 5)))
+    answer = Service(spark, Store(spark, str(tmp_path / "store")), str(tree), "demo").read_architecture_rules()
+    assert answer["sections"] == [{"title": "", "content": "top"}, *({"title": f"file {i}", "content": f"{i} symbols"} for i in range(MAX_ROWS + 5))]
+
+
 def _folder(path, words, matrix):
     path.mkdir()
     body = matrix.astype("<f4").tobytes()
